@@ -9,6 +9,7 @@ lengths; pieces then find their place by their rank within their length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -22,32 +23,61 @@ from tokenizers import Tokenizer
 from wegloom.llm import common
 
 WINDOW, END_ID = 4096, 2
-REMEMBERED = 700_000
-CONTROL = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
+REMEMBERED = 400_000
+_LATIN = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+LETTERS = re.compile(f"[{_LATIN}]+")
+PARTS = re.compile(f"[{_LATIN}]+|[^{_LATIN}\\t-\\r \\x85\\xa0]+")
+#: Beyond Latin, where lower case and composition may differ; an apostrophe; the start of a special token.
+UNLIKE = re.compile("[^\\x00-\u012f\u0131-\u017f]|'|<\\|")
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
 
 class Coder:
-    """Ids of the stretches between ASCII white space, as little-endian 32-bit bytes; remembered.
+    """Ids of a text as little-endian 32-bit bytes, put together from remembered ids of its parts.
 
-    The tokenizer drops white space and looks at nothing beyond it, so a text's ids are its stretches' ids in turn.
+    The tokenizer lower-cases, drops white space, and splits into letters, single digits and runs of other characters,
+    looking at nothing beyond a part. Texts of Latin letters without apostrophes (contractions) and special tokens are
+    cut there; each run of letters gives ids of which the last alone has the mark of a word's end, so that new ones are
+    encoded many at a time. Other texts are cut at ASCII white space.
     """
 
     def __init__(self, json: str):
         self.tokenizer = Tokenizer.from_str(json)
+        last = [0] * (max(self.tokenizer.get_vocab().values()) + 1)
+        for piece, i in self.tokenizer.get_vocab().items():
+            last[i] = piece.endswith("</w>")
+        self.ends = np.array(last, bool)
         self.known: dict[str, bytes] = {}
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str]) -> None:
+        words = [w for w in parts if LETTERS.fullmatch(w)]
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            ids = np.array(self.encode([" ".join(some)])[0], "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("a run of letters isn't one word of the tokenizer")
+            data, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * cuts).tolist()):
+                self.known[w] = data[start:end]
+                start = end
+        rest = [w for w in parts if w not in self.known]
+        for w, ids in zip(rest, self.encode(rest)):
+            self.known[w] = np.array(ids, "<u4").tobytes()
+
     def bytes_of(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if t.isascii() and not CONTROL.search(t) else ascii_split(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        split = [PARTS.findall(t.lower()) if not UNLIKE.search(t) else ascii_split(t) for t in texts]
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = list({w for parts in split for w in parts if w not in known})
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list({w for parts in split for w in parts})
+        self.learn(new)
+        return [b"".join([known[w] for w in parts]) for parts in split]
 
 
 def ascii_split(text: str) -> list[str]:
