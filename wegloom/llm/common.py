@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,47 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-WORD = rb"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a local one is set and kept for the session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("wegloom.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="wegloom-")
-        spark.conf.set("wegloom.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; Hadoop removes it when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
+from wegloom.plans.shared import drop_path, materialize, new_path, shared_dir  # noqa: F401
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
-
-    The shuffle files of the writing job are removed when it has ended, so a chain of such steps holds one step's
-    shuffle at a time.
-    """
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+WORD = rb"[^\x20\x09-\x0D]+"
 
 
 def plan_bytes(df: DataFrame) -> int:
