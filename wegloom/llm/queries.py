@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wegloom.llm import common, fingerprints, packing, quality, sentencepiece_codec, sharding, warc
+from wegloom.llm import common, fingerprints, minhash, packing, quality, sentencepiece_codec, sharding, warc
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op4_warc, op5_packing, op6_quality, op8_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints)}
 ORACLES: dict[str, str] = {}
