@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wegloom.llm import common, fingerprints, minhash, packing, quality, sentencepiece_codec, sharding, warc
+from wegloom.llm import common, fingerprints, minhash, packing, quality, sentencepiece_codec, sharding, substring_dedup, warc
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(common.documents(spark, sf_dir))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(common.documents(spark, sf_dir))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -36,5 +40,5 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints)}
 ORACLES: dict[str, str] = {}
