@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wegloom.llm import common, fingerprints, minhash, packing, ppm, quality, sentencepiece_codec, sharding, substring_dedup, warc
+from wegloom.llm import common, fingerprints, media, minhash, packing, ppm, quality, sentencepiece_codec, sharding, substring_dedup, warc
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(common.documents(spark, sf_dir))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(common.documents(spark, sf_dir))
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints, op10_ppm)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints, op9_media, op10_ppm)}
 ORACLES: dict[str, str] = {}
