@@ -3,11 +3,12 @@
 Texts with equal shingle sets are one class, of which the smallest doc_id stands for all. A class is posted under each
 pair of coordinate and value of its MinHash signature. Within a posting list of up to SHORT classes every pair is a
 candidate; the members of a longer one are posted again under three coordinates in a row, and where that list is long
-too, each is paired with the list's PIVOTS, chosen by a hash and thus the same ones all over a group of near copies.
-Prefix and skip: classes of which the smaller has under 85 % of the larger's shingles are never paired, and pairs that
-are connected already are not verified again. Pairs with at least MATCHES equal coordinates are verified on their full
-sets: first each class with its smallest partner, then all pairs that this leaves unconnected; if a long list still
-holds several components, its members are paired with new pivots until a round adds no link.
+too, each is paired with two pivots of the list: the member in the most long lists, which is near to all others of a
+group of near copies, and one drawn by a hash. Prefix and skip: classes of which the smaller has under 85 % of the
+larger's shingles are never paired, and pairs that are connected already are not verified again. Pairs with at least
+MATCHES equal coordinates are verified on their full sets: first each class with its smallest partner, then all pairs
+that this leaves unconnected. What long lists join but no link has connected yet is held against all of its crowd,
+block against block, on the full sets.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wegloom.llm import common
@@ -26,7 +27,7 @@ from wegloom.operators.components import components
 SHINGLE, COORDINATES = 5, 32
 #: A pair at 0.85 has fewer equal coordinates with a probability of about 3e-8.
 MATCHES = 14
-SHORT, PIVOTS, ROUNDS = 24, 2, 4
+SHORT, BLOCK = 24, 512
 LIKE, WHOLE = 85, 100
 
 _rng = np.random.default_rng(20)
@@ -82,11 +83,21 @@ def fits(a, b):
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * LIKE
 
 
-def listed(posts: DataFrame, turn: int) -> DataFrame:
-    """key, m, pivots: of posting lists with two members or more; counted before they are shuffled."""
-    own = lambda p: F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + p)).alias("h"), "rep", "n")).alias(f"p{p}")
-    pivots = F.array(*[F.col(f"p{p}") for p in range(PIVOTS)])
-    return posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[own(p) for p in range(PIVOTS)]).where("m > 1").select("key", "m", pivots.alias("pivots"))
+def central(salt: int) -> Column:
+    """Struct rep, n: the row in the most long lists (w); of equal ones one drawn by a hash."""
+    top = F.max(F.struct("w", F.xxhash64("rep", F.lit(salt)).alias("h"), "rep", "n"))
+    return F.struct(top["rep"].alias("rep"), top["n"].alias("n"))
+
+
+def listed(posts: DataFrame) -> DataFrame:
+    """key, m, pivots: of posting lists with two members or more; counted before they are shuffled.
+
+    A pivot is a member in the most long lists (w): a group's texts have the coordinates of what they have in common,
+    so the one with the most of them is nearest to all others. The second is drawn by a hash.
+    """
+    pick = F.max(F.struct(F.xxhash64("rep").alias("h"), "rep", "n"))
+    drawn = F.struct(pick["rep"].alias("rep"), pick["n"].alias("n"))
+    return posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(central(0), drawn)).alias("pivots")).where("m > 1")
 
 
 def short_pairs(posts: DataFrame) -> DataFrame:
@@ -139,6 +150,60 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "rep bigint, set binary")
 
 
+def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between texts of two blocks that are of different components, counted through an index of the right one.
+
+    Enough links to connect all that the blocks' texts connect come out, no others.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        reps, comps = right.column("rep").to_pylist(), right.column("component").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("set")]
+        size = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for rep, comp, data in zip(left.column("rep").to_pylist(), left.column("component").to_pylist(), left.column("set")):
+            own = np.frombuffer(data.as_buffer(), np.uint64)
+            lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            shared = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero(WHOLE * shared >= LIKE * (len(own) + size - shared)).tolist():
+                x, y = find(comp), find(comps[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(rep, reps[j]), max(rep, reps[j])))
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+
+def crowd_links(crowded: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that long lists still hide: a, b.
+
+    Texts that long lists join are a crowd. Those outside its largest component are held against all of it, block
+    against block, so that no pair is written out.
+    """
+    step = common.materialize
+    joined = components(crowded.select(F.col("rep").alias("a"), F.col("pivots")[0]["rep"].alias("b")))
+    placed = step(joined.select(F.col("node").alias("rep"), F.col("component").alias("crowd")).join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "crowd", F.coalesce("component", "rep").alias("component")), "placed")
+    parts = placed.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("crowd").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top")).where(F.col("top.c") < F.col("size"))
+    sizes = sizes.select("crowd", F.col("top.component").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("stray_blocks"))
+    rows = step(placed.join(sizes, "crowd").join(sets, "rep"), "crowds")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = rows.where("component != main").select("rep", "component", "set", "crowd", own("stray_blocks").alias("i"), every("blocks").alias("j"))
+    members = rows.select("rep", "component", "set", "crowd", every("stray_blocks").alias("i"), own("blocks").alias("j"))
+    return strays.groupBy("crowd", "i", "j").cogroup(members.groupBy("crowd", "i", "j")).applyInArrow(block_links, "a bigint, b bigint")
+
+
 def unconnected(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -151,12 +216,12 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE) -> DataFram
     step = common.materialize
     coordinates = reps.select("rep", "n", F.posexplode("signature").alias("c", "v"))
     posts = coordinates.select("rep", "n", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v")).alias("key"))
-    known = step(posts.join(listed(posts, 0).where("m > 1"), "key").select("rep", "n", "key", "m", F.when(F.col("m") > SHORT, F.col("pivots")).alias("pivots")), "posts")
-    long = known.where(F.col("m") > SHORT).select("rep").distinct()
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    known = step(posts.join(sizes, "key").select("rep", "n", "key", "m"), "posts")
+    long = known.where(F.col("m") > SHORT).groupBy("rep").agg(F.count(F.lit(1)).alias("w"))
     three = lambda c: [F.element_at("signature", (c + i) % COORDINATES + 1).cast("bigint") for i in range(3)]
-    again = reps.join(long, "rep", "left_semi").select("rep", "n", F.explode(F.array(*[F.xxhash64(F.lit(c), *three(F.lit(c))) for c in range(COORDINATES)])).alias("key"))
-    lists = listed(again, 0)
-    deep = step(again.join(lists, "key").select("rep", "n", "key", "m", F.when(F.col("m") > SHORT, F.col("pivots")).alias("pivots")), "posts")
+    again = reps.join(long, "rep").select("rep", "n", "w", F.explode(F.array(*[F.xxhash64(F.lit(c), *three(F.lit(c))) for c in range(COORDINATES)])).alias("key"))
+    deep = step(again.join(listed(again), "key").select("rep", "n", "w", "key", "m", F.when(F.col("m") > SHORT, F.col("pivots")).alias("pivots")), "posts")
     raw = short_pairs(known.where(F.col("m") <= SHORT)).union(short_pairs(deep.where(F.col("m") <= SHORT))).union(pivot_pairs(deep.where(F.col("m") > SHORT)))
     pairs = step(alike(raw, reps), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
@@ -168,18 +233,9 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE) -> DataFram
     if more.limit(1).count():
         links = links.union(more)
         comps = components(links)
-    for turn in range(1, ROUNDS):
-        # long lists that hold several components: new pivots, until a round links nothing
-        side = comps.select(F.col("node").alias("rep"), "component")
-        placed = crowded.select("rep", "n", "key").join(side, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        left = placed.join(mixed, "key", "left_semi").select("rep", "n", "key")
-        fresh = pivot_pairs(left.join(listed(left, turn), "key"))
-        more = step(verified(unconnected(alike(fresh, reps), comps), sets), "links")
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        comps = components(links)
+    more = step(crowd_links(deep.where(F.col("m") > SHORT), comps, sets), "links")
+    if more.limit(1).count():
+        comps = components(links.union(more))
     return comps
 
 
