@@ -81,7 +81,7 @@ def split_restrictions(restrictions: DataFrame, ways: DataFrame) -> tuple[DataFr
     t = F.col("tags")
     pick = lambda kind, role: F.transform(F.filter("members", lambda m: (m["mtype"] == kind) & (m["role"] == role)), lambda m: m["mid"])
     r = restrictions.select("id", "tags", pick(1, "from").alias("fr"), pick(1, "to").alias("to"), pick(0, "via").alias("via"), pick(1, "via").alias("via_ways"))
-    known = r.select("id", F.explode("fr").cast("string").alias("way")).join(ways.select(F.col("id").cast("string").alias("way")), "way", "left_semi").select("id").distinct()
+    known = r.select("id", F.explode(F.col("fr").cast("array<string>")).alias("way")).join(ways.select(F.col("id").cast("string").alias("way")), "way", "left_semi").select("id").distinct()
     kind = tags.first_tag(t, "restriction:motorcar", "restriction:motor_vehicle", "restriction")
     excepted = F.arrays_overlap(F.split(tags.tag(t, "except", ""), ";"), F.array(*[F.lit(x) for x in C.TURN_EXCEPTIONS]))
     r = r.join(known, "id", "left_semi").withColumn("kind", kind).where(F.col("kind").isNotNull() & ~excepted)
