@@ -119,10 +119,10 @@ def test_demo_and_detour(spark):
     start = spark.createDataFrame([(1, "pagi", "a")], "query_id bigint, scenario string, start string")
     allowed = turns.transitions(edges, rule)
     best = search.cheapest_goal(c, allowed, start, goal).first()
-    assert (best["goal"], best["cost_s"]) == ("c", pytest.approx(31.5))
+    assert (best["goal"], best["cost_s"], best["first_edge"]) == ("c", pytest.approx(31.5), "ab")
     first = start.join(c.select("scenario", F.col("u").alias("start"), F.col("id").alias("node"), F.col("cost_s").alias("cost")), ["scenario", "start"]).select("query_id", "scenario", "node", "cost")
     states = search.relax(search.edge_arcs(c, allowed), first, ["query_id", "scenario"])
-    path = search.walk_back(states, spark.createDataFrame([(1, "pagi", best["last_edge"])], "query_id bigint, scenario string, node string"), ["query_id", "scenario"])
+    path = search.walk_back(states, spark.createDataFrame([(1, "pagi", "dc")], "query_id bigint, scenario string, node string"), ["query_id", "scenario"])
     parts = search.path_parts(path, c, ["query_id", "scenario"]).first()
     assert parts["edges"] == ["ab", "bd", "dc"] and parts["length_m"] == 350
     core = spark.createDataFrame([("d",)], "node string")
