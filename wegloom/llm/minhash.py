@@ -71,11 +71,11 @@ def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         for batch in common.slices(batches, most=4 << 20):
             sets = shingle_sets(common.texts_of(batch), k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            sig = signatures(sets).astype(np.int64)
+            sig = signatures(sets).view(np.int32)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), rows], ["doc_id", "n_shingles", "digest", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, signature array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, signature array<int>")
 
 
 def fits(a, b):
@@ -215,11 +215,11 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE) -> DataFram
     """node, component over the classes that are linked with another one. reps: rep, n, signature."""
     step = common.materialize
     coordinates = reps.select("rep", "n", F.posexplode("signature").alias("c", "v"))
-    posts = coordinates.select("rep", "n", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v")).alias("key"))
+    posts = coordinates.select("rep", "n", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key"))
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     known = step(posts.join(sizes, "key").select("rep", "n", "key", "m"), "posts")
     long = known.where(F.col("m") > SHORT).groupBy("rep").agg(F.count(F.lit(1)).alias("w"))
-    three = lambda c: [F.element_at("signature", (c + i) % COORDINATES + 1).cast("bigint") for i in range(3)]
+    three = lambda c: [F.element_at("signature", (c + i) % COORDINATES + 1) for i in range(3)]
     again = reps.join(long, "rep").select("rep", "n", "w", F.explode(F.array(*[F.xxhash64(F.lit(c), *three(F.lit(c))) for c in range(COORDINATES)])).alias("key"))
     deep = step(again.join(listed(again), "key").select("rep", "n", "w", "key", "m", F.when(F.col("m") > SHORT, F.col("pivots")).alias("pivots")), "posts")
     raw = short_pairs(known.where(F.col("m") <= SHORT)).union(short_pairs(deep.where(F.col("m") <= SHORT))).union(pivot_pairs(deep.where(F.col("m") > SHORT)))
