@@ -92,11 +92,20 @@ def split_by(keys: np.ndarray, values: np.ndarray) -> tuple[list, list[np.ndarra
     return found.tolist(), np.split(values[order], first[1:])
 
 
-FOUND = "kind string, bucket int, doc_id bigint, data binary"
+FOUND = "kind string, bucket int, docs binary, counts binary, data binary"
+_FOUND = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+_NAMES = ["kind", "bucket", "docs", "counts", "data"]
 
 
-def merge(posts: pa.Table, runs: pa.Table, store: bool) -> pa.Table:
-    """One bucket: hits of the batch in the runs or under a smaller doc_id of the batch, and the run of what is new."""
+def group_of(docs: np.ndarray, groups: int) -> np.ndarray:
+    return ((docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+
+
+def merge(posts: pa.Table, runs: pa.Table, store: bool, groups: int) -> pa.Table:
+    """One bucket: hits of the batch in the runs or under a smaller doc_id of the batch, and the run of what is new.
+
+    Hits go out in one row for each group of documents (in the place of the bucket): docs, counts and hashes.
+    """
     rows: list[tuple] = []
     bucket = None
     if posts.num_rows:
@@ -115,11 +124,21 @@ def merge(posts: pa.Table, runs: pa.Table, store: bool) -> pa.Table:
             old |= run[np.minimum(at, len(run) - 1)] == distinct
         group = np.cumsum(lead) - 1
         hit = old[group] | (d > smallest[group])
-        for doc, part in zip(*split_by(d[hit], h[hit])):
-            rows.append(("hit", bucket, doc, part.tobytes()))
+        h, d = h[hit], d[hit]
+        for g, at in zip(*split_by(group_of(d, groups), np.arange(len(d)))):
+            at = at[np.argsort(d[at], kind="stable")]
+            docs, counts = np.unique(d[at], return_counts=True)
+            rows.append(("hit", g, docs.tobytes(), counts.astype(np.uint32).tobytes(), h[at].tobytes()))
         if store and not old.all():
-            rows.append(("run", bucket, None, planes(distinct[~old])))
-    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["kind", "bucket", "doc_id", "data"])
+            rows.append(("run", bucket, None, None, planes(distinct[~old])))
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, _FOUND)], names=_NAMES)
+
+
+def per_document(t: pa.Table) -> pa.Table:
+    """A group's hits as one row a document: doc_id, data."""
+    read = lambda c, k: np.concatenate([np.frombuffer(x.as_buffer(), k) for x in t.column(c)])
+    docs, parts = split_by(np.repeat(read("docs", np.int64), read("counts", np.uint32)), read("data", np.uint64))
+    return pa.table([pa.array(docs, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "data"])
 
 
 @dataclass
@@ -143,9 +162,10 @@ class FingerprintIndex:
         posts = common.materialize(windows(docs, self.buckets, self.window), "windows", dealt)
         grouped = posts.where("bucket >= 0").repartition(self.buckets, "bucket").groupBy("bucket")
         past = self.history().repartition(self.buckets, "bucket").groupBy("bucket")
-        path = common.new_path(self.spark, "run")
-        found = common.materialize(grouped.cogroup(past).applyInArrow(lambda a, b: merge(a, b, store), FOUND), "run", path)
-        hits = common.materialize(found.where("kind = 'hit'").select("doc_id", "data", F.lit(None).cast("binary").alias("spans")).unionByName(posts.where("bucket < 0").select("doc_id", F.lit(None).cast("binary").alias("data"), "spans")), "hits")
+        path, groups = common.new_path(self.spark, "run"), self.buckets
+        found = common.materialize(grouped.cogroup(past).applyInArrow(lambda a, b: merge(a, b, store, groups), FOUND), "run", path)
+        own = found.where("kind = 'hit'").select("bucket", "docs", "counts", "data").repartition(groups, "bucket").groupBy("bucket").applyInArrow(per_document, "doc_id bigint, data binary")
+        hits = common.materialize(own.select("doc_id", "data", F.lit(None).cast("binary").alias("spans")).unionByName(posts.where("bucket < 0").select("doc_id", F.lit(None).cast("binary").alias("data"), "spans")), "hits")
         common.drop_path(self.spark, dealt)
         if store:
             self.runs.append((0, path))
@@ -163,7 +183,7 @@ class FingerprintIndex:
             def join(t: pa.Table) -> pa.Table:
                 every = np.concatenate([unplanes(x.as_buffer()) for x in t.column("data")])
                 every.sort(kind="stable")
-                return pa.table([pa.array(["run"]), t.column("bucket").slice(0, 1).combine_chunks(), pa.array([None], pa.int64()), pa.array([planes(every)], pa.binary())], names=["kind", "bucket", "doc_id", "data"])
+                return pa.table([pa.array(c, k) for c, k in zip((["run"], t.column("bucket").slice(0, 1).to_pylist(), [None], [None], [planes(every)]), _FOUND)], names=_NAMES)
 
             path = common.new_path(self.spark, "run")
             common.materialize(both.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(join, FOUND), "run", path)
