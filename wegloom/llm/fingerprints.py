@@ -25,10 +25,10 @@ def paragraph_words(text: Column) -> Column:
     """Array of eight sums modulo 2**32 over the text's lines; empty lines don't count."""
     lines = F.filter(F.split(text, "\n"), lambda p: p != "")
 
-    def total(j: int) -> Column:
-        return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, p: (a + F.xxhash64(p, F.lit(j)).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)))
+    def add(sums: Column, p: Column) -> Column:
+        return F.array(*[(sums[j] + F.xxhash64(p, F.lit(j)).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)) for j in range(WORDS)])
 
-    return F.array(*[total(j) for j in range(WORDS)])
+    return F.aggregate(lines, F.array(*[F.lit(0).cast("bigint")] * WORDS), add)
 
 
 def clause_sums(clause: Column) -> list[Column]:
@@ -61,7 +61,9 @@ def fingerprint(texts: DataFrame, key: list[str], text: str = "text") -> DataFra
     If texts is partitioned by the first key column, nothing is shuffled.
     """
     t = F.col(text)
-    clauses = texts.select(*key, paragraph_words(t).alias("words"), F.explode_outer(F.split(t, CLAUSE_END)).alias("clause"))
+    # both are made below the explosion, once a text, and the text itself is not carried through it
+    cut = texts.select(*key, paragraph_words(t).alias("words"), F.split(t, CLAUSE_END).alias("clauses"))
+    clauses = cut.select(*key, "words", F.explode_outer("clauses").alias("clause"))
     counted = clauses.groupBy(*key).agg(F.first("words").alias("words"), F.sum(F.when(F.trim("clause") != "", 1).otherwise(0)).alias("n"), *clause_sums(F.col("clause")))
     packed = counted.select(*key, "words", "n", F.array(*[F.col(f"s{i}") for i in range(SUMS)]).alias("sums"))
     text_of = F.concat_ws(":", F.array_join(F.transform("words", lambda w: F.lpad(F.lower(F.hex(w)), 8, "0")), ""), F.col("n").cast("string"), F.array_join(F.transform("sums", lambda s: F.lower(F.hex(s))), ","))
