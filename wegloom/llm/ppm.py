@@ -1,13 +1,14 @@
 """Language-model scoring by prediction by partial matching, with a word-count baseline.
 
-A trie of byte contexts, up to four bytes deep, is counted over all learning documents. A symbol's probability is that
-in the longest context at hand, or an escape, as likely as the context's number of distinct symbols says (method C),
-times the probability in the next shorter context, where all symbols of the longer one are excluded; after the empty
-context all bytes left are equally likely. As a shorter context has all symbols of a longer one, each context's row of
-256 code lengths, escapes and exclusions in it, is a table of the model, and a text's code length a sum over its bytes.
-
-Documents are packed into batches once, with their distinct words and byte strings already counted; words and contexts
-are then summed up over hash buckets, and each batch gets back the counts of its own words.
+All byte contexts, up to four bytes deep, are counted over all learning documents. A symbol's probability is that in
+the longest context at hand, or an escape, as likely as the context's number of distinct symbols says (method C), times
+the probability in the next shorter context, where all symbols of the longer one are excluded; after the empty context
+all bytes left are equally likely. So a byte's code length depends on itself and the four bytes before it alone. As a
+shorter context has all symbols of a longer one, what an exclusion leaves is a difference of two contexts' sums.
+
+Documents are packed into batches once, with their distinct words and byte strings already counted; words and strings
+are then summed up over hash buckets, and each batch gets back the counts of its own words and the code lengths of its
+own strings. The model stays dealt over the buckets: only the counts of pairs of bytes, at most 65,536, are shared.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +27,6 @@ from wegloom.llm import common
 from wegloom.llm.words import LOWER, Words
 
 FOLDS, HELD_OUT, DEPTH = 7, 2, 4
-#: The most contexts of two, three and four bytes that the trie keeps: those with the highest counts over all learning
-#: documents. They bound the model (and its broadcast) whatever the corpus; those of one byte and the empty one stay.
-LIMITS = {2: 8192, 3: 16384, 4: 16384}
 BATCH = 8 << 20
 
 PACKED = "kind string, batch string, bucket int, ids binary, sizes binary, texts binary, keys binary, counts binary"
@@ -43,7 +42,7 @@ def held_out(doc_id: int | None) -> bool:
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes with DEPTH zeros before each text, and where the texts' bytes are in them."""
     gap = b"\0" * DEPTH
-    data = np.frombuffer(gap + gap.join(texts), np.uint8)
+    data = np.frombuffer(gap.join([b"", *texts]), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(np.concatenate([[0], sizes + DEPTH]))[:-1] + DEPTH
     inside = np.ones(len(data), bool)
@@ -52,13 +51,18 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.flatnonzero(inside)
 
 
-def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of DEPTH context bytes and a symbol, as integers, and their counts."""
-    data, at = padded(texts)
+def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The strings of DEPTH context bytes and the symbol at these places, as integers."""
     keys = np.zeros(len(at), np.uint64)
     for d in range(DEPTH, -1, -1):
         keys <<= np.uint64(8)
         keys |= data[at - d]
+    return keys
+
+
+def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of DEPTH context bytes and a symbol, and their counts."""
+    keys = grams(*padded(texts))
     keys.sort()
     lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     return keys[lead], np.diff(np.concatenate([lead, [len(keys)]])).astype(np.uint32)
@@ -73,7 +77,8 @@ def cut_by(bucket: np.ndarray, *columns: np.ndarray):
 
 
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Batches (kind 'text'), and for each batch its words ('word') and learning documents' strings ('gram') by bucket."""
+    """Batches (kind 'text'), and for each batch its words ('word') and strings ('gram') by bucket, those that only held
+    out documents have with a count of 0, and its learning documents' pairs of bytes ('pair')."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -90,6 +95,11 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
             for b, k, c in cut_by((keys >> np.uint64(20)) % np.uint64(buckets), keys, counts):
                 rows.append(("word", own, b, None, None, None, k.tobytes(), c.tobytes()))
             keys, counts = gram_counts([t for t, x in zip(texts, learn.tolist()) if x])
+            own_pairs = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), counts, 1 << 16).astype(np.int64)
+            pairs = np.flatnonzero(own_pairs)
+            rows.append(("pair", own, None, None, None, None, pairs.tobytes(), own_pairs[pairs].tobytes()))
+            more = np.setdiff1d(gram_counts([t for t, x in zip(texts, learn.tolist()) if not x])[0], keys, assume_unique=True)
+            keys, counts = np.concatenate([keys, more]), np.concatenate([counts, np.zeros(len(more), np.uint32)])
             # the two bytes before the symbol deal the buckets, so that contexts of two bytes on are whole in one
             for b, k, c in cut_by((keys >> np.uint64(8)) % np.uint64(1 << 16) * np.uint64(40503) % np.uint64(1 << 16) % np.uint64(buckets), keys, counts):
                 rows.append(("gram", own, b, None, None, None, k.tobytes(), c.tobytes()))
@@ -119,169 +129,116 @@ def word_counts(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.where("kind = 'word'").select("bucket", "batch", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "batch string, keys binary, counts binary, tokens bigint, distinct bigint")
 
 
-def contexts(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket and depth (1 to DEPTH): strings of depth + 1 bytes, their counts, and the logarithmic histogram of
-    their contexts' totals (a step above, its number below 40 bits). Those of depth 1 are a bucket's share, the others whole."""
-
-    def run(t: pa.Table) -> pa.Table:
-        keys, counts, _ = summed(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")]), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("counts")]))
-        out = []
-        for depth in range(DEPTH, 0, -1):
-            totals = summed(keys >> np.uint64(8), counts)[1]
-            step, n = np.unique((8 * np.log2(totals)).astype(np.int64), return_counts=True)
-            out.append((depth, keys.tobytes(), counts.tobytes(), (step << 40 | n).tolist()))
-            keys, counts, _ = summed(keys & np.uint64((1 << (8 * depth)) - 1), counts)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["depth", "keys", "counts", "steps"])
-
-    return rows.where("kind = 'gram'").select("bucket", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "depth int, keys binary, counts binary, steps array<bigint>")
-
-
-def trie(counted: DataFrame, limits: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """depth -> strings and counts of the contexts kept; at most `limits` contexts of a depth come to the driver."""
-    steps = counted.select("depth", F.explode("steps").alias("x")).select("depth", F.shiftright("x", 40).alias("step"), F.col("x").bitwiseAND((1 << 40) - 1).alias("n")).groupBy("depth", "step").agg(F.sum("n").alias("n")).collect()
-    least = {}
-    for depth, limit in limits.items():
-        total, least[depth] = 0, 512
-        for r in sorted((r for r in steps if r["depth"] == depth), key=lambda r: -r["step"]):
-            total += r["n"]
-            if total > limit:
-                break
-            least[depth] = r["step"]
+def pair_counts(rows: DataFrame) -> np.ndarray:
+    """How often each byte follows each other one in the learning documents: 256 x 256."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for depth, keys, counts in zip(batch.column("depth").to_pylist(), batch.column("keys"), batch.column("counts")):
-                k, c = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
-                if depth > 1 and len(k):
-                    _, totals, back = summed(k >> np.uint64(8), c)
-                    keep = ((8 * np.log2(totals)).astype(np.int64) >= least[depth])[back]
-                    k, c = k[keep], c[keep]
-                out.append((depth, k.tobytes(), c.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["depth", "keys", "counts"])
-
-    some = counted.select("depth", "keys", "counts")
-    parts = some.where("depth > 1").mapInArrow(run, "depth int, keys binary, counts binary").where("length(keys) > 0").collect()
-    found = {}
-    for depth in limits:
-        mine = [r for r in parts if r["depth"] == depth]
-        k = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in mine]])
-        c = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in mine]])
-        order = np.argsort(k)
-        found[depth] = (k[order], c[order])
-
-    def pairs(batches):  # at most 65,536 rows of a byte and a symbol
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for keys, counts in zip(batch.column("keys"), batch.column("counts")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), np.int64)), pa.array(np.frombuffer(counts.as_buffer(), np.int64))], ["key", "n"])
-
-    one = some.where("depth = 1").mapInArrow(pairs, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    found[1] = (np.array([r["key"] for r in one], np.uint64), np.array([r["n"] for r in one], np.int64))
-    return found
-
-
-class Model:
-    """Code lengths (log10 probabilities) of all symbols in all contexts kept, and how to find a context."""
-
-    def __init__(self, strings: dict[int, tuple[np.ndarray, np.ndarray]]):
-        one = np.zeros((256, 256))
-        k, c = strings[1]
-        one[(k >> np.uint64(8)).astype(int), (k & np.uint64(255)).astype(int)] = c
-        counts = [one.sum(0)[None], one]
-        parents = [np.zeros(1, np.int64), np.zeros(256, np.int64)]
-        self.find: list[np.ndarray] = []
-        before = np.arange(256, dtype=np.int64)  # the contexts of the last depth
-        for depth in sorted(strings)[1:]:
-            k, c = strings[depth]
-            own, back = np.unique(k >> np.uint64(8), return_inverse=True)
-            # a context stays if the next shorter one does
-            short = (own & np.uint64((1 << (8 * (depth - 1))) - 1)).astype(np.int64)
-            at = np.minimum(np.searchsorted(before, short), max(0, len(before) - 1))
-            stay = before[at] == short if len(before) else np.zeros(len(own), bool)
-            place = np.cumsum(stay) - 1
-            dense = np.zeros((int(stay.sum()), 256))
-            keep = stay[back]
-            dense[place[back[keep]], (k[keep] & np.uint64(255)).astype(int)] = c[keep]
-            counts.append(dense)
-            parents.append(at[stay])
-            # from a shorter context (counted from 1) and the byte before it to the longer one (counted from 1)
-            table = np.zeros((len(before) + 1) * 256, np.int32)
-            own, at = own[stay].astype(np.int64), at[stay]
-            table[(at + 1) * 256 + (own >> (8 * (depth - 1)))] = np.arange(1, len(own) + 1)
-            self.find.append(table)
-            before = own
-        self.base = np.cumsum([0] + [len(x) for x in counts])
-        self.logs = np.empty((self.base[-1], 256), np.float32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = (counts[0] > 0).sum()
-            tail = np.full((1, 256), -np.log10(max(1, 256 - seen)))
-            for depth, (n, parent) in enumerate(zip(counts, parents)):
-                rows = np.empty((len(n), 256))
-                for lo in range(0, len(n), 2048):
-                    mine, up = n[lo : lo + 2048], parent[lo : lo + 2048]
-                    if depth:
-                        above = counts[depth - 1][up]
-                        left = np.where(mine > 0, 0, above)
-                        t, d = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-                        further = np.where(d > 0, np.log10(d / np.maximum(t + d, 1)), 0) + tail[up]
-                        rows[lo : lo + 2048] = np.where(left > 0, np.log10(left / np.maximum(t + d, 1)), further)
-                    else:
-                        rows[:] = tail
-                    t, d = mine.sum(1, keepdims=True), (mine > 0).sum(1, keepdims=True)
-                    escape = np.where((d > 0) & (d < 256), d, 0)  # nothing is left to escape to after all bytes
-                    p = np.where(mine > 0, np.log10(mine / np.maximum(t + escape, 1)), np.where(d > 0, np.log10(np.maximum(d, 1) / np.maximum(t + d, 1)), 0) + rows[lo : lo + 2048])
-                    self.logs[self.base[depth] + lo : self.base[depth] + lo + len(mine)] = p
-                tail = rows
-                if depth:
-                    counts[depth - 1] = None
-        self.flat = self.logs.ravel()
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        data, at = padded(texts)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        parts = np.empty(len(at), np.float32)
-        for lo in range(0, len(at), 1 << 20):
-            here = at[lo : lo + (1 << 20)]
-            node = data[here - 1].astype(np.int64)
-            inner = node + 1
-            node += self.base[1]
-            for depth, table in enumerate(self.find, 2):
-                inner = table[inner * 256 + data[here - depth]]
-                deep = np.flatnonzero(inner)
-                node[deep] = inner[deep] + (self.base[depth] - 1)
-            parts[lo : lo + len(here)] = self.flat[node * 256 + data[here]]
-        total = np.concatenate([[0.0], np.cumsum(parts, dtype=np.float64)])
-        ends = np.cumsum(sizes)
-        return total[ends] - total[ends - sizes]
-
-
-_models: dict[str, Model] = {}
-
-
-def score(docs: DataFrame, limits: dict[int, int] = LIMITS) -> DataFrame:
+                total[np.frombuffer(keys.as_buffer(), np.int64)] += np.frombuffer(counts.as_buffer(), np.int64)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["key", "n"])
+
+    one = np.zeros(1 << 16, np.int64)
+    for r in rows.where("kind = 'pair'").select("keys", "counts").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        one[r["key"]] = r["n"]
+    return one.reshape(256, 256)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted ones of some sorted keys; 0 for those that aren't among them."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def code_lengths(keys: np.ndarray, counts: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of each string's symbol after its context.
+
+    keys: distinct strings, sorted, with all learnt ones that share two bytes before the symbol with any of them; counts:
+    how often each was learnt (0: never); one: pair_counts.
+    """
+    cut = lambda k, d: k & np.uint64((1 << (8 * (d + 1))) - 1)
+    k, c = keys[counts > 0], counts[counts > 0]
+    strings = {DEPTH: (k, c)}
+    for depth in range(DEPTH - 1, 1, -1):
+        k, c, _ = summed(cut(k, depth), c)
+        strings[depth] = k, c
+    for depth, n in ((1, one.ravel()), (0, one.sum(0))):
+        found = np.flatnonzero(n)
+        strings[depth] = found.astype(np.uint64), n[found]
+    out, left = np.zeros(len(keys)), np.ones(len(keys), bool)
+    gone = kinds_gone = np.zeros(len(keys), np.int64)
+    for depth in range(DEPTH, -1, -1):
+        k, c = strings[depth]
+        own, total, back = summed(k >> np.uint64(8), c)
+        kinds = np.bincount(back, minlength=len(own))
+        wanted = cut(keys, depth)
+        n, context = looked_up(k, c, wanted), wanted >> np.uint64(8)
+        all_kinds = looked_up(own, kinds, context)
+        t, d = looked_up(own, total, context) - gone, all_kinds - kinds_gone
+        some = left & (d > 0)
+        out[some] += np.log10(np.where(n > 0, n, d)[some] / (t + d)[some])
+        left &= n == 0
+        if depth:  # what the next shorter context has of this one's symbols
+            above = looked_up(*strings[depth - 1], cut(k, depth - 1))
+            gone, kinds_gone = looked_up(own, np.bincount(back, above, len(own)).astype(np.int64), context), all_kinds
+    out[left] -= np.log10(max(1, 256 - len(strings[0][0])))
+    return out
+
+
+def gram_lengths(rows: DataFrame, buckets: int, one: np.ndarray) -> DataFrame:
+    """For each batch and bucket its strings with their code lengths under the counts of all learning documents."""
+    shared = rows.sparkSession.sparkContext.broadcast(one)
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")]
+        found, total, back = summed(np.concatenate(parts), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("counts")]))
+        lengths = code_lengths(found, total, shared.value).astype(np.float32)
+        ends = np.cumsum([0] + [len(p) for p in parts])
+        out = [(b, p.tobytes(), lengths[back[i:j]].tobytes()) for b, p, i, j in zip(t.column("batch").to_pylist(), parts, ends, ends[1:])]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], names=["batch", "keys", "lengths"])
+
+    return rows.where("kind = 'gram'").select("bucket", "batch", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "batch string, keys binary, lengths binary")
+
+
+def scores(texts: list[bytes], keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each text's sum of its strings' code lengths."""
+    data, at = padded(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    parts = np.empty(len(at), np.float32)
+    known = pa.array(keys)
+    for lo in range(0, len(at), 1 << 20):
+        here = at[lo : lo + (1 << 20)]
+        place = pc.index_in(pa.array(grams(data, here)), value_set=known)
+        parts[lo : lo + len(here)] = lengths[place.to_numpy(zero_copy_only=False)]
+    total = np.concatenate([[0.0], np.cumsum(parts, dtype=np.float64)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     Learning documents are those with crc32(doc_id as text) mod FOLDS other than HELD_OUT. Words are told apart by 64-bit
     hashes. A null or empty text is one token, its end, and has a score of 0; repeated rows count and are scored each; a
     row without doc_id is learnt from and has a null held_out; an empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     buckets = common.parts_for(docs, 16 << 20)
     rows = common.materialize(packed(docs, buckets), "packed")
     words = common.materialize(word_counts(rows, buckets), "words")
     total = words.where("batch is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    strings = trie(common.materialize(contexts(rows, buckets), "contexts"), limits)
+    lengths = common.materialize(gram_lengths(rows, buckets, pair_counts(rows)), "lengths")
     ends = docs.where(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)).count()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, strings))
 
     def run(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        name, found = shared.value
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model(found)
-        keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in counted.column("keys")]])
-        counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in counted.column("counts")]])
+        side = lambda t, c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]])
+        word, gram = counted.filter(pc.is_valid(counted.column("counts"))), counted.filter(pc.is_valid(counted.column("lengths")))
+        keys, counts = side(word, "keys", np.uint64), side(word, "counts", np.int64)
+        strings, lengths = side(gram, "keys", np.uint64), side(gram, "lengths", np.float32)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         out: list[list] = [[], [], [], [], [], []]
@@ -299,11 +256,12 @@ def score(docs: DataFrame, limits: dict[int, int] = LIMITS) -> DataFrame:
             first = words.first
             end = np.log10((ends + 1) / (n + v + 1))
             plain = [i if k else None for i, k in zip(ids.tolist(), known.tolist())]
-            for col, x in zip(out, (plain, [None if i is None else held_out(i) for i in plain], (np.diff(first) + 1).tolist(), (np.diff(seen[first]) + (ends > 0)).tolist(), (np.diff(sums[first]) + end).tolist(), _models[name].scores(parts).tolist())):
+            for col, x in zip(out, (plain, [None if i is None else held_out(i) for i in plain], (np.diff(first) + 1).tolist(), (np.diff(seen[first]) + (ends > 0)).tolist(), (np.diff(sums[first]) + end).tolist(), scores(parts, strings, lengths).tolist())):
                 col.extend(x)
         return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     left = rows.where("kind = 'text'").select("batch", "ids", "sizes", "texts")
-    right = words.where("batch is not null").select("batch", "keys", "counts")
+    right = words.where("batch is not null").select("batch", "keys", "counts", F.lit(None).cast("binary").alias("lengths"))
+    right = right.union(lengths.select("batch", "keys", F.lit(None).cast("binary"), "lengths"))
     out = left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"), "base_score", "score")
