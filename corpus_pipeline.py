@@ -18,8 +18,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies: five words, a similarity of 0.85."""
-    return minhash.keep_first(docs)
+    """One document, that with the smallest doc_id, of each group of near copies: five words, a similarity of 0.8."""
+    return minhash.keep_first(docs, like=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ Texts with equal shingle sets are one class, of which the smallest doc_id stands
 pair of coordinate and value of its MinHash signature. Within a posting list of up to SHORT classes every pair is a
 candidate; the members of a longer one are posted again under three coordinates in a row, and where that list is long
 too, each is paired with two pivots of the list: the member in the most long lists, which is near to all others of a
-group of near copies, and one drawn by a hash. Prefix and skip: classes of which the smaller has under 85 % of the
-larger's shingles are never paired, and pairs that are connected already are not verified again. Pairs with at least
-MATCHES equal coordinates are verified on their full sets: first each class with its smallest partner, then all pairs
+group of near copies, and one drawn by a hash. Prefix and skip: classes of which the smaller has under 85 % (or
+what else is asked for) of the larger's shingles are never paired, and pairs that are connected already are not verified again. Pairs with at least
+matches() equal coordinates are verified on their full sets: first each class with its smallest partner, then all pairs
 that this leaves unconnected. What long lists join but no link has connected yet is held against all of its crowd,
 block against block, on the full sets.
 """
@@ -14,6 +14,7 @@ block against block, on the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from wegloom.llm.words import LOWER, Words
 from wegloom.operators.components import components
 
 SHINGLE, COORDINATES = 5, 32
-#: A pair at 0.85 has fewer equal coordinates with a probability of about 3e-8.
-MATCHES = 14
+#: A pair at the similarity asked for has fewer than matches() equal coordinates with a probability of at most this.
+MISSED = 5e-8
 SHORT, BLOCK = 24, 512
 LIKE, WHOLE = 85, 100
 
@@ -78,9 +79,17 @@ def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, signature array<int>")
 
 
-def fits(a, b):
+def matches(like: int = LIKE) -> int:
+    """How many equal coordinates a pair has that is alike enough: 14 at 85 %."""
+    p, total, n = like / WHOLE, 0.0, 0
+    while (total := total + math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)) <= MISSED:
+        n += 1
+    return n
+
+
+def fits(a, b, like: int = LIKE):
     """Whether two sets of these sizes can be alike enough."""
-    return F.least(a, b) * WHOLE >= F.greatest(a, b) * LIKE
+    return F.least(a, b) * WHOLE >= F.greatest(a, b) * like
 
 
 def central(salt: int) -> Column:
@@ -100,28 +109,28 @@ def listed(posts: DataFrame) -> DataFrame:
     return posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(central(0), drawn)).alias("pivots")).where("m > 1")
 
 
-def short_pairs(posts: DataFrame) -> DataFrame:
+def short_pairs(posts: DataFrame, like: int = LIKE) -> DataFrame:
     """Pairs within lists known to be short."""
     left, right = posts.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), posts.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b")
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"), like)).select("a", "b")
 
 
-def pivot_pairs(posts: DataFrame) -> DataFrame:
+def pivot_pairs(posts: DataFrame, like: int = LIKE) -> DataFrame:
     """Each member of a long list with the list's pivots."""
-    d = posts.select("rep", "n", F.explode("pivots").alias("p")).where((F.col("rep") != F.col("p.rep")) & fits(F.col("n"), F.col("p.n")))
+    d = posts.select("rep", "n", F.explode("pivots").alias("p")).where((F.col("rep") != F.col("p.rep")) & fits(F.col("n"), F.col("p.n"), like))
     return d.select(F.least("rep", F.col("p.rep")).alias("a"), F.greatest("rep", F.col("p.rep")).alias("b"))
 
 
-def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs with at least MATCHES equal coordinates."""
+def alike(pairs: DataFrame, reps: DataFrame, like: int = LIKE) -> DataFrame:
+    """Distinct pairs with at least matches() equal coordinates."""
     sig = reps.select("rep", "signature")
     d = pairs.distinct().join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
     same = sum((F.col("sa")[c] == F.col("sb")[c]).cast("int") for c in range(COORDINATES))
-    return d.where(same >= MATCHES).select("a", "b")
+    return d.where(same >= matches(like)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets have an intersection of at least LIKE / WHOLE of their union."""
+def verified(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
+    """Pairs whose full sets have an intersection of at least like / WHOLE of their union."""
 
     def run(batches):
         for batch in batches:
@@ -131,7 +140,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(WHOLE * shared >= LIKE * (len(x) + len(y) - shared))
+                keep.append(WHOLE * shared >= like * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
@@ -150,7 +159,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "rep bigint, set binary")
 
 
-def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+def block_links(left: pa.Table, right: pa.Table, like: int = LIKE) -> pa.Table:
     """Links between texts of two blocks that are of different components, counted through an index of the right one.
 
     Enough links to connect all that the blocks' texts connect come out, no others.
@@ -176,7 +185,7 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
             n = hi - lo
             at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
             shared = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero(WHOLE * shared >= LIKE * (len(own) + size - shared)).tolist():
+            for j in np.flatnonzero(WHOLE * shared >= like * (len(own) + size - shared)).tolist():
                 x, y = find(comp), find(comps[j])
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -184,7 +193,7 @@ def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def crowd_links(crowded: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+def crowd_links(crowded: DataFrame, comps: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
     """Links that long lists still hide: a, b.
 
     Texts that long lists join are a crowd. Those outside its largest component are held against all of it, block
@@ -201,7 +210,7 @@ def crowd_links(crowded: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFr
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = rows.where("component != main").select("rep", "component", "set", "crowd", own("stray_blocks").alias("i"), every("blocks").alias("j"))
     members = rows.select("rep", "component", "set", "crowd", every("stray_blocks").alias("i"), own("blocks").alias("j"))
-    return strays.groupBy("crowd", "i", "j").cogroup(members.groupBy("crowd", "i", "j")).applyInArrow(block_links, "a bigint, b bigint")
+    return strays.groupBy("crowd", "i", "j").cogroup(members.groupBy("crowd", "i", "j")).applyInArrow(lambda left, right: block_links(left, right, like), "a bigint, b bigint")
 
 
 def unconnected(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -211,7 +220,7 @@ def unconnected(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return d.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE) -> DataFrame:
+def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
     """node, component over the classes that are linked with another one. reps: rep, n, signature."""
     step = common.materialize
     coordinates = reps.select("rep", "n", F.posexplode("signature").alias("c", "v"))
@@ -222,25 +231,25 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE) -> DataFram
     three = lambda c: [F.element_at("signature", (c + i) % COORDINATES + 1) for i in range(3)]
     again = reps.join(long, "rep").select("rep", "n", "w", F.explode(F.array(*[F.xxhash64(F.lit(c), *three(F.lit(c))) for c in range(COORDINATES)])).alias("key"))
     deep = step(again.join(listed(again), "key").select("rep", "n", "w", "key", "m", F.when(F.col("m") > SHORT, F.col("pivots")).alias("pivots")), "posts")
-    raw = short_pairs(known.where(F.col("m") <= SHORT)).union(short_pairs(deep.where(F.col("m") <= SHORT))).union(pivot_pairs(deep.where(F.col("m") > SHORT)))
-    pairs = step(alike(raw, reps), "pairs")
+    raw = short_pairs(known.where(F.col("m") <= SHORT), like).union(short_pairs(deep.where(F.col("m") <= SHORT), like)).union(pivot_pairs(deep.where(F.col("m") > SHORT), like))
+    pairs = step(alike(raw, reps, like), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
     crowded = deep.where(F.col("m") > SHORT)
     sets = step(full_sets(docs, ends.union(crowded.select("rep")).distinct(), k), "sets")
-    links = step(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "links")
+    links = step(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, like), "links")
     comps = components(links)
-    more = step(verified(unconnected(pairs, comps), sets), "links")
+    more = step(verified(unconnected(pairs, comps), sets, like), "links")
     if more.limit(1).count():
         links = links.union(more)
         comps = components(links)
-    more = step(crowd_links(deep.where(F.col("m") > SHORT), comps, sets), "links")
+    more = step(crowd_links(deep.where(F.col("m") > SHORT), comps, sets, like), "links")
     if more.limit(1).count():
         comps = components(links.union(more))
     return comps
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; linked are those alike by `like` per cent or more.
 
     A document without words (null, empty, white space) has no shingles, is linked with nothing and kept. Ties go to
     the smallest doc_id; doc_id must be unique (repeated rows are told by their doc_id alone). An empty table gives no
@@ -249,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     all_signed = common.materialize(signed(docs, k), "signed")
     some = all_signed.where("digest is not null")
     classes = common.materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    comps = link_classes(docs, classes.select("rep", "n", "signature"), k)
+    comps = link_classes(docs, classes.select("rep", "n", "signature"), k, like)
     # only classes with copies or links change their documents' component
     of_class = classes.select("digest", "rep", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")
     own = of_class.select("digest", F.coalesce("component", "rep").alias("component"))
@@ -257,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def keep_first(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
     """docs, with all their columns, without the documents that aren't the first of their group."""
-    later = near_duplicates(docs, k).where("not kept").select("doc_id")
+    later = near_duplicates(docs, k, like).where("not kept").select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

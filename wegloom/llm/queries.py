@@ -33,7 +33,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(common.documents(spark, sf_dir))
+    return minhash.near_duplicates(common.documents(spark, sf_dir), like=85)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
