@@ -11,9 +11,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a local one is set and kept for the session."""
+    """The folder named by spark.checkpoint.dir; where unset, a local master gets one of its own, kept for the session.
+
+    On a cluster an unset folder is an error: executors would not see one of the driver's machine.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("wegloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="wegloom-")
         spark.conf.set("wegloom.shared.dir", found)
     return found.rstrip("/")
@@ -47,3 +52,22 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one computation, dropped together when its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        return materialize(df, name, path)
+
+    def drop(self, but: int = 0) -> None:
+        """Drop all tables, or all but the last `but`."""
+        cut = len(self.paths) - but
+        for p in self.paths[:cut]:
+            drop_path(self.spark, p)
+        self.paths = self.paths[cut:]
