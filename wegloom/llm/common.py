@@ -11,20 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wegloom.plans.shared import drop_path, materialize, new_path, shared_dir  # noqa: F401
+from wegloom.plans.shared import Scratch, drop_path, materialize, new_path, shared_dir  # noqa: F401
 
 WORD = rb"[^\x20\x09-\x0D]+"
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df; used for partition counts only, never for what is computed."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """UTF-8 bytes of all texts, by one aggregate: size estimates of plans are wrong without statistics of files."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int | None = None, most: int = 1 << 16) -> int:
-    """How many parts of about bytes_each an input of df's estimated size gives."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if least is None else least
-    return max(least, min(most, -(-plan_bytes(df) // bytes_each)))
+def parts_for(docs: DataFrame, bytes_each: int, column: str = "text") -> int:
+    """How many parts of about bytes_each the texts give; the session's number of shuffle partitions at least."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, column) // bytes_each))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
