@@ -1,14 +1,16 @@
 """Near duplicates by an inverted join on signature coordinates.
 
-Texts with equal shingle sets are one class, of which the smallest doc_id stands for all. A class is posted under each
-pair of coordinate and value of its MinHash signature. Within a posting list of up to SHORT classes every pair is a
-candidate; the members of a longer one are posted again under three coordinates in a row, and where that list is long
-too, each is paired with two pivots of the list: the member in the most long lists, which is near to all others of a
-group of near copies, and one drawn by a hash. Prefix and skip: classes of which the smaller has under 85 % (or
-what else is asked for) of the larger's shingles are never paired, and pairs that are connected already are not verified again. Pairs with at least
-matches() equal coordinates are verified on their full sets: first each class with its smallest partner, then all pairs
-that this leaves unconnected. What long lists join but no link has connected yet is held against all of its crowd,
-block against block, on the full sets.
+Texts with equal shingle sets are one class, of which the smallest doc_id stands for all. A class is posted under POSTED
+of its signature's pairs of coordinate and value (the prefix). Within a posting list of up to SHORT classes every pair
+collides once; collisions are counted per pair. Skip merging: the coordinates that were not posted, or are in longer
+lists, are looked up in the signatures, and only for pairs whose count, with all of them equal, would reach matches().
+Pairs that do have matches() equal coordinates are verified on their full sets: first each class with its smallest
+partner, then all pairs that this leaves unconnected; sizes that can't be alike enough are never paired.
+
+The members of a longer list (a hot shingle, a large group of near copies) are posted again under three coordinates in a
+row; where that list is long too, no pairs of it are made: each member is paired with two pivots of the list, the member
+in the most long lists, which is near to all others of a group of near copies, and one drawn by a hash. What long lists
+join but no link has connected yet is held against all of its crowd, block against block, on the full sets.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from wegloom.llm import common
 from wegloom.llm.words import LOWER, Words
 from wegloom.operators.components import components
 
-SHINGLE, COORDINATES = 5, 32
+SHINGLE, COORDINATES, POSTED = 5, 32, 24
 #: A pair at the similarity asked for has fewer than matches() equal coordinates with a probability of at most this.
 MISSED = 5e-8
 SHORT, BLOCK = 24, 512
@@ -52,16 +54,17 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The smallest 32 bits of each set under each coordinate's hash; zeros for an empty set."""
-    out = np.zeros((len(sets), COORDINATES), np.uint32)
+    """The smallest 64-bit value of each set under each coordinate's hash; zeros for an empty set.
+
+    With fewer bits, unrelated sets of a large corpus would share values by chance.
+    """
+    out = np.zeros((len(sets), COORDINATES), np.uint64)
     some = [i for i, s in enumerate(sets) if len(s)]
     if some:
         every = np.concatenate([sets[i] for i in some])
         starts = np.cumsum([0] + [len(sets[i]) for i in some])[:-1]
         for c in range(COORDINATES):
-            h = (every ^ _XOR[c]) * _MUL[c]
-            h >>= np.uint64(32)
-            out[some, c] = np.minimum.reduceat(h.astype(np.uint32), starts)
+            out[some, c] = np.minimum.reduceat((every ^ _XOR[c]) * _MUL[c], starts)
     return out
 
 
@@ -72,11 +75,11 @@ def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         for batch in common.slices(batches, most=4 << 20):
             sets = shingle_sets(common.texts_of(batch), k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            sig = signatures(sets).view(np.int32)
+            sig = signatures(sets).view(np.int64)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), rows], ["doc_id", "n_shingles", "digest", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, signature array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, signature array<bigint>")
 
 
 def matches(like: int = LIKE) -> int:
@@ -109,10 +112,27 @@ def listed(posts: DataFrame) -> DataFrame:
     return posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(central(0), drawn)).alias("pivots")).where("m > 1")
 
 
-def short_pairs(posts: DataFrame, like: int = LIKE) -> DataFrame:
-    """Pairs within lists known to be short."""
+def postings(reps: DataFrame) -> DataFrame:
+    """rep, n, key: each class under POSTED of its pairs of coordinate and value."""
+    return reps.select("rep", "n", F.posexplode(F.slice("signature", 1, POSTED)).alias("c", "v")).select("rep", "n", F.xxhash64("c", "v").alias("key"))
+
+
+def collisions(posts: DataFrame, like: int = LIKE) -> DataFrame:
+    """a, b, shared: pairs that meet in lists known to be short, and in how many of them."""
     left, right = posts.select("key", F.col("rep").alias("a"), F.col("n").alias("na")), posts.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"), like)).select("a", "b")
+    met = left.join(right, "key").where((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"), like))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def reaching(counted: DataFrame, long: DataFrame, like: int = LIKE) -> DataFrame:
+    """Counted pairs that could have matches() equal coordinates if all of them that no short list shows were equal.
+
+    long: rep, w: how many of a class's posted coordinates are in long lists.
+    """
+    side = lambda c: long.select(F.col("rep").alias(c), F.col("w").alias(f"w{c}"))
+    d = counted.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    hidden = F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) + COORDINATES - POSTED
+    return d.where(F.col("shared") + hidden >= matches(like)).select("a", "b")
 
 
 def pivot_pairs(posts: DataFrame, like: int = LIKE) -> DataFrame:
@@ -155,7 +175,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(common.texts_of(batch), k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "set"])
 
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # the same join at every size of `wanted`
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
     return texts.mapInArrow(run, "rep bigint, set binary")
 
 
@@ -193,13 +214,13 @@ def block_links(left: pa.Table, right: pa.Table, like: int = LIKE) -> pa.Table:
     return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def crowd_links(crowded: DataFrame, comps: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
+def crowd_links(crowded: DataFrame, comps: DataFrame, sets: DataFrame, tables: common.Scratch, like: int = LIKE) -> DataFrame:
     """Links that long lists still hide: a, b.
 
     Texts that long lists join are a crowd. Those outside its largest component are held against all of it, block
     against block, so that no pair is written out.
     """
-    step = common.materialize
+    step = tables.keep
     joined = components(crowded.select(F.col("rep").alias("a"), F.col("pivots")[0]["rep"].alias("b")))
     placed = step(joined.select(F.col("node").alias("rep"), F.col("component").alias("crowd")).join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "crowd", F.coalesce("component", "rep").alias("component")), "placed")
     parts = placed.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -222,19 +243,19 @@ def unconnected(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
     """node, component over the classes that are linked with another one. reps: rep, n, signature."""
-    step = common.materialize
-    coordinates = reps.select("rep", "n", F.posexplode("signature").alias("c", "v"))
-    posts = coordinates.select("rep", "n", (F.shiftleft(F.col("c").cast("bigint"), 32) + F.col("v").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("key"))
+    tables = common.Scratch(docs.sparkSession)
+    step = tables.keep
+    posts = postings(reps)
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     known = step(posts.join(sizes, "key").select("rep", "n", "key", "m"), "posts")
-    long = known.where(F.col("m") > SHORT).groupBy("rep").agg(F.count(F.lit(1)).alias("w"))
+    long = step(known.where(F.col("m") > SHORT).groupBy("rep").agg(F.count(F.lit(1)).alias("w")), "long")
     three = lambda c: [F.element_at("signature", (c + i) % COORDINATES + 1) for i in range(3)]
     again = reps.join(long, "rep").select("rep", "n", "w", F.explode(F.array(*[F.xxhash64(F.lit(c), *three(F.lit(c))) for c in range(COORDINATES)])).alias("key"))
     deep = step(again.join(listed(again), "key").select("rep", "n", "w", "key", "m", F.when(F.col("m") > SHORT, F.col("pivots")).alias("pivots")), "posts")
-    raw = short_pairs(known.where(F.col("m") <= SHORT), like).union(short_pairs(deep.where(F.col("m") <= SHORT), like)).union(pivot_pairs(deep.where(F.col("m") > SHORT), like))
+    crowded = deep.where(F.col("m") > SHORT)
+    raw = reaching(collisions(known.where(F.col("m") <= SHORT), like), long, like).union(collisions(deep.where(F.col("m") <= SHORT), like).select("a", "b")).union(pivot_pairs(crowded, like))
     pairs = step(alike(raw, reps, like), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    crowded = deep.where(F.col("m") > SHORT)
     sets = step(full_sets(docs, ends.union(crowded.select("rep")).distinct(), k), "sets")
     links = step(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, like), "links")
     comps = components(links)
@@ -242,9 +263,10 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, like: int =
     if more.limit(1).count():
         links = links.union(more)
         comps = components(links)
-    more = step(crowd_links(deep.where(F.col("m") > SHORT), comps, sets, like), "links")
+    more = step(crowd_links(crowded, comps, sets, tables, like), "links")
     if more.limit(1).count():
         comps = components(links.union(more))
+    tables.drop()
     return comps
 
 
@@ -252,21 +274,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> Data
     """doc_id, n_shingles, component_id, kept for every document; linked are those alike by `like` per cent or more.
 
     A document without words (null, empty, white space) has no shingles, is linked with nothing and kept. Ties go to
-    the smallest doc_id; doc_id must be unique (repeated rows are told by their doc_id alone). An empty table gives no
-    rows. Other columns of docs are not read.
+    the smallest doc_id. Rows with the same doc_id are judged each by its own text; a row without doc_id is linked with
+    nothing, has a null component_id and is kept. An empty table gives no rows. Other columns of docs are not read.
     """
     all_signed = common.materialize(signed(docs, k), "signed")
-    some = all_signed.where("digest is not null")
+    some = all_signed.where("digest is not null and doc_id is not null")
     classes = common.materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     comps = link_classes(docs, classes.select("rep", "n", "signature"), k, like)
     # only classes with copies or links change their documents' component
     of_class = classes.select("digest", "rep", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")
     own = of_class.select("digest", F.coalesce("component", "rep").alias("component"))
-    out = all_signed.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = all_signed.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
-    """docs, with all their columns, without the documents that aren't the first of their group."""
+    """docs, with all their columns, without the documents that aren't the first of their group (with all rows of a
+    doc_id that has such a one); rows without doc_id stay."""
     later = near_duplicates(docs, k, like).where("not kept").select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
