@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from wegloom.functions import constants as C
 from wegloom.functions import geo, tags
 from wegloom.operators.components import components
+from wegloom.plans.shared import materialize
 
 
 def classified(ways: DataFrame, policy: tags.Policy = tags.road_policy) -> DataFrame:
@@ -134,12 +135,14 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, reach: float = C.HOSPITAL
         own = nodes.select("node", "x", "y", F.struct(geo.cell(F.col("x"), size).alias("cx"), geo.cell(F.col("y"), size).alias("cy")).alias("c"))
         gap = geo.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
         near = around.join(own, "c").withColumn("gap", gap).where(F.col("gap") <= size).groupBy("point_id").agg(F.min(F.struct("gap", "node")).alias("best"))
-        got = near.select("point_id", F.col("best.node").alias("road_node"), F.col("best.gap").alias("gap_m"))
+        got = materialize(near.select("point_id", F.col("best.node").alias("road_node"), F.col("best.gap").alias("gap_m")), "near")
         found = got if found is None else found.unionByName(got)
         if size > span:
             break
         size *= 4
-        left = left.join(got, "point_id", "left_anti")
+        left = materialize(left.join(got, "point_id", "left_anti"), "left")
+        if not left.limit(1).count():
+            break
     return points.join(found, "point_id", "left")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wegloom.functions import geo, tags, text
 
-KEY = text.place_key_udf
+KEY = text.place_key
 ROAD_CELL_M = 2000.0
 
 
@@ -28,7 +28,8 @@ def goal_places(goals: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def index(places: DataFrame, key=KEY, extra: DataFrame | None = None) -> DataFrame:
-    """places (seq, name, kind, lat, lon, aliases, address) without later ones of the same key; with key and name_key.
+    """places (seq, name, kind, lat, lon, aliases, address) without later ones of the same key; with key, name_key and
+    alias_keys (those of the parts between semicolons).
 
     Roads are the same within a 2 km cell, others within 4 digits of a degree.
     """
@@ -40,12 +41,13 @@ def index(places: DataFrame, key=KEY, extra: DataFrame | None = None) -> DataFra
     d = p.withColumn("name_key", key(F.col("name"))).withColumn("_at", where)
     w = Window.partitionBy("name_key", (F.when(F.col("kind") == "road", 1).otherwise(0)), "_at").orderBy("seq")
     d = d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
+    d = d.withColumn("alias_keys", F.transform(F.split(text.unmarked(blank("aliases")), ";"), text.joined_words))
     return d.withColumn("key", key(F.concat_ws(" ", F.col("name"), blank("aliases"), blank("address"))))
 
 
 def search(indexed: DataFrame, query: str, most: int = 12) -> DataFrame:
     """The best `most` places, with the number of all that match; an error for a query under 2 or over 100 letters."""
-    q = text.place_key(query)
+    q = text.key_of(indexed.sparkSession, text.place_key, query)
     if not 2 <= len(q) <= 100:
         raise ValueError("a query has 2 to 100 letters")
     return ranked(indexed, q, most)
@@ -53,7 +55,7 @@ def search(indexed: DataFrame, query: str, most: int = 12) -> DataFrame:
 
 def ranked(indexed: DataFrame, q: str, most: int) -> DataFrame:
     words = q.split()
-    alias = F.exists(F.split(F.coalesce("aliases", F.lit("")), ";"), lambda a: text.place_key_column(a) == q)
+    alias = F.array_contains("alias_keys", q)
     found = indexed.where(text.contains_all(F.col("key"), words))
     order: list[Column] = [F.col("name_key") != q, ~alias, ~F.col("name_key").startswith(q), ~text.contains_all(F.col("name_key"), words), F.length("name"), F.col("name"), F.col("lat")]
     top = found.orderBy(*order).limit(most)
@@ -64,15 +66,15 @@ def window_places(places: DataFrame) -> DataFrame:
     """Places inside the window of the province, each key and point (5 digits) once, with search_key."""
     d = places.where((F.col("lat") > -8.5) & (F.col("lat") < -7.0) & (F.col("lon") > 109.5) & (F.col("lon") < 111.0) & (F.trim("name") != ""))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    d = d.withColumn("_k", text.plain_key_udf(F.trim("name")))
+    d = d.withColumn("_k", text.plain_key(F.trim("name")))
     w = Window.partitionBy("_k", F.bround("lat", 5), F.bround("lon", 5)).orderBy("seq")
     d = d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_k")
-    return d.withColumn("search_key", text.plain_key_udf(F.concat_ws(" ", "name", blank("aliases"), blank("address"))))
+    return d.withColumn("search_key", text.plain_key(F.concat_ws(" ", "name", blank("aliases"), blank("address"))))
 
 
 def quick_search(windowed: DataFrame, query: str, most: int = 15) -> DataFrame:
     """The simpler ranking: prefix, length, name; nothing under 2 letters."""
-    q = text.plain_key(query)
+    q = text.key_of(windowed.sparkSession, text.plain_key, query)
     found = windowed.where(text.contains_all(F.col("search_key"), q.split()) if len(q) >= 2 else F.lit(False))
     return found.orderBy(~F.col("search_key").startswith(q), F.length("name"), "name").limit(most)
 

@@ -63,30 +63,31 @@ def in_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return network.in_degree(D.edges(spark, sf))
 
 
-SPARSE = """few AS (SELECT u, v FROM edges WHERE way_id % 40 = 0), twin AS (SELECT u, v FROM few UNION SELECT v, u FROM few),
-reach AS (SELECT DISTINCT u AS node, u AS other FROM twin UNION SELECT r.node, b.v FROM reach r JOIN twin b ON b.u = r.other)"""
+LABELS = """twin AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges UNION SELECT u, u FROM edges UNION SELECT v, v FROM edges),
+label AS (SELECT DISTINCT 0 AS lvl, u AS node, u AS c FROM twin UNION ALL SELECT lvl + 1, v, min(c) FROM label JOIN twin ON u = node WHERE lvl < 40 GROUP BY lvl, v),
+weak AS (SELECT node, c AS component FROM label WHERE lvl = 40)"""
 
 
-@query(SPARSE + " SELECT node, min(other) AS component, count(*) AS size FROM reach GROUP BY node")
+@query(LABELS + " SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM weak")
 def weak_components(spark: SparkSession, sf: str) -> DataFrame:
-    return network.weak_components(D.edges(spark, sf).where("way_id % 40 = 0"))
+    return network.weak_components(D.edges(spark, sf))
 
 
-@query(SPARSE + """, c AS (SELECT node, min(other) AS component FROM reach GROUP BY node), s AS (SELECT component, count(*) AS size FROM c GROUP BY component)
-    SELECT (SELECT count(*) FROM few) AS directed_edges, (SELECT count(DISTINCT way_id) FROM edges WHERE way_id % 40 = 0) AS ways, (SELECT count(*) FROM c) AS nodes, count(*) AS weak_components, max(size) AS largest_component_nodes FROM s""")
+@query(LABELS + """, s AS (SELECT component, count(*) AS size FROM weak GROUP BY component)
+    SELECT (SELECT count(*) FROM edges) AS directed_edges, (SELECT count(DISTINCT way_id) FROM edges) AS ways, (SELECT count(*) FROM weak) AS nodes, count(*) AS weak_components, max(size) AS largest_component_nodes FROM s""")
 def network_report(spark: SparkSession, sf: str) -> DataFrame:
-    return network.network_report(D.saved_edges(spark, sf).where("way_id % 40 = 0"))
+    return network.network_report(D.saved_edges(spark, sf))
 
 
 HOSPITALS = "h AS (SELECT s_suppkey AS point_id, s_name AS name, ((s_suppkey * 6151) % 10007)::DOUBLE px, ((s_suppkey * 3079) % 10009)::DOUBLE py FROM supplier), used AS (SELECT DISTINCT n.id, n.x, n.y FROM nodes n JOIN (SELECT u AS id FROM edges UNION SELECT v FROM edges) e ON e.id = n.id)"
 
 
-@query(HOSPITALS + """, g AS (SELECT point_id, name, arg_min(used.id, (sqrt((px - x) * (px - x) + (py - y) * (py - y)), used.id)) AS road_node, min(sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS gap FROM h, used GROUP BY ALL)
-    SELECT point_id, name, road_node, round(gap, 2) AS gap_m, CASE WHEN gap <= 150 AND road_node IN (SELECT v FROM edges) THEN 'road_point_proxy' ELSE 'requires_review' END AS status FROM g""")
+@query(LABELS + ", " + HOSPITALS + """, main AS (SELECT component FROM weak GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), core AS (SELECT node FROM weak WHERE component IN (SELECT component FROM main)), g AS (SELECT point_id, name, arg_min(used.id, (sqrt((px - x) * (px - x) + (py - y) * (py - y)), used.id)) AS road_node, min(sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS gap FROM h, used GROUP BY ALL)
+    SELECT point_id, name, road_node, round(gap, 2) AS gap_m, CASE WHEN gap <= 150 AND road_node IN (SELECT v FROM edges) AND road_node IN (SELECT node FROM core) THEN 'road_point_proxy' ELSE 'requires_review' END AS status, road_node IN (SELECT node FROM core) AS in_largest_component FROM g""")
 def hospital_mapping(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
     h = D.table(spark, sf, "supplier").select(s.alias("point_id"), F.col("s_name").alias("name"), ((s * 6151) % 10007).cast("double").alias("px"), ((s * 3079) % 10009).cast("double").alias("py"))
-    return network.map_hospitals(h, D.saved_edges(spark, sf), D.nodes(spark, sf)).drop("in_largest_component")
+    return network.map_hospitals(h, D.saved_edges(spark, sf), D.nodes(spark, sf))
 
 
 SCENARIO = "sc AS (SELECT * FROM (VALUES ('pagi', 0, 20.0, 30.0, 5.0, 35.0, 45.0), ('siang', 1, 15.0, 20.0, 15.0, 25.0, 30.0), ('sore', 2, 5.0, 15.0, 25.0, 40.0, 45.0), ('malam', 3, 0.0, 5.0, 10.0, 15.0, 20.0)) t(scenario, ordinal, school_s, market_s, mall_s, signal_s, rail_s))"
@@ -136,7 +137,10 @@ def turn_transitions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(RULES + " SELECT restriction, count(*) AS n, count(DISTINCT from_way) AS ways FROM rules GROUP BY restriction")
 def turn_rule_counts(spark: SparkSession, sf: str) -> DataFrame:
-    r = turns.merged_rules(D.turn_rules(D.saved_edges(spark, sf)), D.turn_rules(D.saved_edges(spark, sf)))
+    e = D.saved_edges(spark, sf)
+    r = D.turn_rules(e)
+    # two sources that overlap in a third of the rules
+    r = turns.merged_rules(r.where("via % 3 < 2"), r.where("via % 3 > 0"))
     return r.groupBy("restriction").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("from_way").alias("ways"))
 
 
@@ -161,50 +165,65 @@ def goal_connected(spark: SparkSession, sf: str) -> DataFrame:
     return search.reachable(e, D.goals(spark, sf, e), backwards=True)
 
 
-TO_GOAL = PRICED + ", " + RULES + ", " + GOALS + """, arcs AS (SELECT scenario, e1, e2, cost_s AS w FROM turn JOIN costs ON id = e2 WHERE scenario = 'pagi'),
-tail AS (SELECT 0 AS lvl, e.id AS state, 0.0::DOUBLE AS cost FROM edges e JOIN goals g ON g.node = e.v UNION ALL SELECT lvl + 1, e1, min(cost + w) FROM tail JOIN arcs ON e2 = state WHERE lvl < 30 GROUP BY lvl, e1),
-least AS (SELECT state, min(cost) AS cost FROM tail GROUP BY state)"""
+TO_GOAL = PRICED + ", " + RULES + ", " + GOALS + """, arcs AS (SELECT scenario, e1, e2, cost_s AS w FROM turn JOIN costs ON id = e2),
+tail AS (SELECT 0 AS lvl, sc.scenario, e.id AS state, 0.0::DOUBLE AS cost FROM edges e JOIN goals g ON g.node = e.v CROSS JOIN sc UNION ALL SELECT lvl + 1, t.scenario, e1, min(cost + w) FROM tail t JOIN arcs a ON e2 = state AND a.scenario = t.scenario WHERE lvl < 30 GROUP BY lvl, t.scenario, e1),
+least AS (SELECT scenario, state, min(cost) AS cost FROM tail GROUP BY scenario, state)"""
+
 
+def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Costs of all scenarios, turns, goals and the rules, as tables."""
+    c = materialize(D.priced_edges(spark, sf), "costs")
+    e = c.where(F.col("ordinal") == 0).select("id", "u", "v", "way_id")
+    rules = D.turn_rules(e)
+    return c, materialize(turns.transitions(e, rules), "turns"), materialize(D.goals(spark, sf, e), "goals"), rules
 
-@query(TO_GOAL + " SELECT state, round(cost, 3) AS cost FROM least")
+
+@query(TO_GOAL + " SELECT scenario, state, round(cost, 3) AS cost FROM least")
 def distance_to_goal(spark: SparkSession, sf: str) -> DataFrame:
-    """For every edge state the seconds to the nearest goal in the morning, turn rules kept."""
-    c = materialize(D.priced_edges(spark, sf).where("scenario = 'pagi'"), "costs")
-    e = c.select("id", "u", "v", "way_id")
-    allowed = materialize(turns.transitions(e, D.turn_rules(e)), "turns")
-    return search.to_goals(c, allowed, D.goals(spark, sf, e)).select(F.col("node").alias("state"), F.round("cost", 3).alias("cost"))
+    """For every edge state and scenario the seconds to the nearest goal, turn rules kept."""
+    c, allowed, goals, _ = _network(spark, sf)
+    return search.to_goals(c, allowed, goals).select("scenario", F.col("node").alias("state"), F.round("cost", 3).alias("cost"))
 
 
-START = "starts AS (SELECT DISTINCT u AS start FROM edges WHERE u % 20 = 0)"
+START = "starts AS (SELECT DISTINCT scenario, u AS start FROM edges CROSS JOIN sc)"
 
 
-def _starts(e: DataFrame) -> DataFrame:
-    return e.where("u % 20 = 0").select(F.col("u").alias("query_id"), F.col("u").alias("start")).distinct().withColumn("scenario", F.lit("pagi"))
+def _starts(c: DataFrame) -> DataFrame:
+    """Every node with an edge out, in every scenario."""
+    return c.select(F.col("u").alias("query_id"), F.col("u").alias("start"), "scenario").distinct()
 
 
-ROUTES = TO_GOAL + ", " + START + """, first AS (SELECT start, min(c.cost_s + l.cost) AS cost FROM starts JOIN costs c ON c.u = start AND c.scenario = 'pagi' JOIN least l ON l.state = c.id GROUP BY start)
-    SELECT s.start, round(CASE WHEN g.node IS NOT NULL THEN 0 ELSE f.cost END, 3)::DOUBLE AS cost_s FROM starts s LEFT JOIN first f USING (start) LEFT JOIN goals g ON g.node = s.start"""
+ROUTES = TO_GOAL + ", " + START + """, first AS (SELECT c.scenario, c.u AS start, min(c.cost_s + l.cost) AS cost FROM costs c JOIN least l ON l.state = c.id AND l.scenario = c.scenario GROUP BY ALL),
+routes AS (SELECT s.scenario, s.start, CASE WHEN g.node IS NOT NULL THEN 0 ELSE f.cost END AS cost FROM starts s LEFT JOIN first f USING (scenario, start) LEFT JOIN goals g ON g.node = s.start)"""
 
 
-@query(ROUTES)
+@query(ROUTES + " SELECT scenario, start, round(cost, 3)::DOUBLE AS cost_s FROM routes")
 def cheapest_goal(spark: SparkSession, sf: str) -> DataFrame:
-    """Seconds to the cheapest goal by relaxation, from a start at every twentieth node with an edge out."""
-    c = materialize(D.priced_edges(spark, sf).where("scenario = 'pagi'"), "costs")
-    e = c.select("id", "u", "v", "way_id")
-    allowed = materialize(turns.transitions(e, D.turn_rules(e)), "turns")
-    return search.cheapest_goal(c, allowed, _starts(e), D.goals(spark, sf, e)).select("start", F.round("cost_s", 3).alias("cost_s"))
+    """Seconds to the cheapest goal by relaxation, from every node with an edge out, in every scenario."""
+    c, allowed, goals, _ = _network(spark, sf)
+    return search.cheapest_goal(c, allowed, _starts(c), goals).select("scenario", "start", F.round("cost_s", 3).alias("cost_s"))
+
 
+@query(ROUTES + " SELECT scenario, start, round(cost, 3)::DOUBLE AS cost_s FROM routes WHERE cost IS NOT NULL AND start NOT IN (SELECT node FROM goals)")
+def route_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The cheapest routes rebuilt edge by edge from the parents of the relaxation; the sum of their parts."""
+    c, allowed, goals, _ = _network(spark, sf)
+    p = search.routes(c, allowed, _starts(c), goals)
+    return p.select("scenario", "start", F.round(F.col("base_s") + F.col("poi_s") + F.col("signal_s") + F.col("rail_s") + F.coalesce("gate_s", F.lit(0.0)), 3).alias("cost_s"))
 
-@query(ROUTES)
+
+@query(ROUTES + " SELECT scenario, start, round(cost, 3)::DOUBLE AS cost_s FROM routes")
 def route_kernel(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by heap searches over the broadcast graph, by both algorithms, which have to agree."""
-    c = materialize(D.priced_edges(spark, sf).where("scenario = 'pagi'"), "costs")
-    e = c.select("id", "u", "v", "way_id")
-    graph = kernel.collect_graph(c, D.nodes(spark, sf), D.goals(spark, sf, e), D.turn_rules(e))
-    found = kernel.route_batch(_starts(e).repartition(8, "start"), graph)
-    both = found.groupBy("start").agg(F.max("cost_s").alias("hi"), F.min("cost_s").alias("lo"))
+    """The same by heap searches over a shared graph, by both algorithms, which have to agree; by relaxation where the
+    graph is too large to be shared."""
+    c, allowed, goals, rules = _network(spark, sf)
+    graph = kernel.collect_graph(c, D.nodes(spark, sf), goals, rules)
+    if graph is None:
+        return search.cheapest_goal(c, allowed, _starts(c), goals).select("scenario", "start", F.round("cost_s", 3).alias("cost_s"))
+    found = kernel.route_batch(_starts(c).repartition(4 * spark.sparkContext.defaultParallelism), graph)
+    both = found.groupBy("scenario", "start").agg(F.max("cost_s").alias("hi"), F.min("cost_s").alias("lo"))
     checked = F.when(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)) <= 1e-6, F.col("lo")).otherwise(F.raise_error(F.lit("the algorithms disagree")).cast("double"))
-    return both.select(F.col("start").cast("bigint").alias("start"), F.round(checked, 3).alias("cost_s"))
+    return both.select("scenario", F.col("start").cast("bigint").alias("start"), F.round(checked, 3).alias("cost_s"))
 
 
 POINTS = "pts AS (SELECT c_custkey AS id, 110 + (c_custkey % 1000) / 1000.0::DOUBLE AS lon, -8 + (c_custkey % 777) / 777.0::DOUBLE AS lat FROM customer)"
@@ -215,9 +234,14 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "customer").select(c.alias("id"), (110 + (c % 1000) / 1000.0).alias("lon"), (-8 + (c % 777) / 777.0).alias("lat"))
 
 
-_E = f"(1 / 298.257223563 * (2 - 1 / 298.257223563))"
-UTM = POINTS + f""", k AS (SELECT {_E} AS e2, {_E} / (1 - {_E}) AS ep), rad AS (SELECT id, e2, ep, radians(lat) p, radians(lon) - radians(111) dl FROM pts, k), ser AS (SELECT id, e2, ep, p, 6378137.0 / sqrt(1 - e2 * sin(p) * sin(p)) n, tan(p) * tan(p) t, ep * cos(p) * cos(p) c, cos(p) * dl q, 6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * p - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * p) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * p) - (35 * e2 * e2 * e2 / 3072) * sin(6 * p)) m FROM rad),
-xy AS (SELECT id, 500000 + 0.9996 * n * (q + (1 - t + c) * q ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * q ** 5 / 120) AS x, 10000000 + 0.9996 * (m + n * tan(p) * (q * q / 2 + (5 - t + 9 * c + 4 * c * c) * q ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * q ** 6 / 720)) AS y FROM ser)"""
+def _wave(f: str, g: str) -> str:
+    """The four terms of one of the projection's sums, g telling a hyperbolic sine (-) from a cosine (+)."""
+    return " + ".join(f"a{j} * {f}({2 * j} * xi) * (exp({2 * j} * eta) {g} exp(-{2 * j} * eta)) / 2" for j in range(1, 5))
+
+
+UTM = POINTS + f""", k AS (SELECT sqrt(4 * n) / (1 + n) AS e, 0.9996 * 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS a, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM (SELECT 1 / (2 * 298.257223563 - 1)::DOUBLE AS n)),
+half AS (SELECT *, atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat))) AS q, radians(lon - 111) AS d FROM pts, k), ball AS (SELECT *, atan2((exp(q) - exp(-q)) / 2, cos(d)) AS xi, atanh(sin(d) * 2 / (exp(q) + exp(-q))) AS eta FROM half),
+xy AS (SELECT id, 500000 + a * (eta + {_wave("cos", "-")}) AS x, 10000000 + a * (xi + {_wave("sin", "+")}) AS y FROM ball)"""
 
 
 @query("WITH " + UTM + " SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM xy", base=False)
@@ -299,7 +323,7 @@ def nearest_segments(spark: SparkSession, sf: str) -> DataFrame:
     """For each customer's point the segments within 50 m and the least distance."""
     c = F.col("c_custkey")
     p = D.table(spark, sf, "customer").select(c.alias("point_id"), ((c * 3571) % 10007).cast("double").alias("px"), ((c * 7907) % 10009).cast("double").alias("py"))
-    near = catalog.near_points(catalog.celled(_catalog(spark, sf)), p, 50.0)
+    near = catalog.near_gaps(_catalog(spark, sf), p, 50.0)
     return near.groupBy("point_id").agg(F.count(F.lit(1)).alias("near"), r4(F.min("gap")).alias("gap"))
 
 
@@ -335,7 +359,13 @@ def catalog_counts(spark: SparkSession, sf: str) -> DataFrame:
     return k.agg(F.coalesce(F.sum(F.when(F.col("kind") == "blocked_segments", F.col("n"))), F.lit(0)).alias("blocked_segments"), F.coalesce(F.sum(F.when(F.col("kind") == "usable_segments", F.col("n"))), F.lit(0)).alias("usable_segments"))
 
 
-@query()
+@query("""base AS (SELECT id, u, v, CASE WHEN way_id % 11 = 5 THEN 'lane' ELSE highway END AS highway, CASE WHEN segment_index % 7 = 3 THEN length_m * 0.5 WHEN segment_index % 7 = 5 THEN -length_m ELSE length_m END AS length_m, way_id FROM edges),
+    planted AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE way_id % 13 = 1), counted AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM planted)
+    SELECT fault, count(*) AS n FROM (SELECT CASE WHEN c.n > 1 THEN 'edge id is not unique' WHEN a.blocked_xy OR b.blocked_xy THEN 'coordinates are no finite pair' WHEN highway = 'lane' THEN 'unknown road class' WHEN length_m < 0 THEN 'length is not valid' WHEN length_m + 1e-8 < sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) THEN 'length is below the straight distance' END AS fault
+    FROM counted c JOIN (SELECT *, id % 37 = 4 AS blocked_xy FROM nodes) a ON a.id = u JOIN (SELECT *, id % 37 = 4 AS blocked_xy FROM nodes) b ON b.id = v) WHERE fault IS NOT NULL GROUP BY fault""")
 def graph_faults(spark: SparkSession, sf: str) -> DataFrame:
-    """Breaches of the graph's rules; none in the derived one."""
-    return network.graph_faults(D.saved_edges(spark, sf), D.nodes(spark, sf))
+    """Breaches of the graph's rules in a copy of the network with faults planted in it."""
+    e, i = D.saved_edges(spark, sf), F.col("segment_index") % 7
+    e = e.withColumns({"highway": F.when(F.col("way_id") % 11 == 5, "lane").otherwise(F.col("highway")), "length_m": F.when(i == 3, F.col("length_m") * 0.5).when(i == 5, -F.col("length_m")).otherwise(F.col("length_m"))})
+    n = D.nodes(spark, sf).withColumn("x", F.when(F.col("id") % 37 == 4, float("nan")).otherwise(F.col("x")))
+    return network.graph_faults(e.unionByName(e.where("way_id % 13 = 1")), n).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
