@@ -1,12 +1,16 @@
 """WARC archives: a writer with a gzip member a record, and a sequential reader.
 
 An archive is a table of segments in the shared folder, each the bytes of some whole members: put together in order
-they are one .warc.gz file, and each segment is one as well. The reader also takes such files.
+they are one .warc.gz file, and each segment is one as well; export writes them as such files. The reader takes archives
+of other writers too: records of any type and id, with or without HTTP heads and digests (SHA-1 or SHA-256).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,13 +23,15 @@ from wegloom.llm import common
 LEAST = 100  # bytes of payload from which on equal payloads are revisits
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:page:"
+PAGE_ID = re.compile(f"<?{PAGE}(-?[0-9]+)>?")
 SEGMENT = 4 << 20
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
+    page_id = "none" if page_id is None else page_id
     uri = (url or f"{PAGE}{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{PAGE}{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Length: {len(block)}"]
     if refers_to is not None:
@@ -61,24 +67,49 @@ def head_of(data: bytes, at: int = 0) -> tuple[str, dict[str, str], int]:
     return first, fields, end + 4
 
 
+def digest_ok(data: bytes, stated: str | None) -> bool:
+    """Whether a labelled digest (hexadecimal or base 32) is that of data; unknown algorithms and no digest pass."""
+    name, _, value = (stated or "").partition(":")
+    kind = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}.get(name.lower().replace("-", ""))
+    if kind is None:
+        return True
+    own = kind(data)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 def parse(data: bytes) -> dict:
-    """One record: framed by its content length, its digests verified."""
+    """One record: framed by its content length, its digests verified.
+
+    page_id and refers_to are the numbers of this writer's URNs, null for other ids; payload is what follows the HTTP
+    head of a response or request, the block for records without one, null for a revisit.
+    """
     version, fields, start = head_of(data)
-    if not version.startswith("WARC/1."):
+    if not version.startswith("WARC/"):
         raise ValueError(f"no WARC record: {version[:40]!r}")
     size = int(fields["content-length"])
     block = data[start : start + size]
     if len(block) != size or data[start + size :] != b"\r\n\r\n":
         raise ValueError("the block doesn't have the length that the record gives")
-    if (own := "sha256:" + hashlib.sha256(block).hexdigest()) != fields.get("warc-block-digest", own):
-        raise ValueError(f"block digest {own} isn't the record's")
-    _, http, body = head_of(block)
-    payload, digest = block[body:], fields["warc-payload-digest"].removeprefix("sha256:")
-    kind = fields["warc-type"]
-    if kind == "response" and (len(payload) != int(http["content-length"]) or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("the payload isn't that of the record's length and digest")
-    page = lambda name: int(fields[name].strip("<>").removeprefix(PAGE)) if name in fields else None
-    return {"page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind, "refers_to": page("warc-refers-to"), "payload": payload if kind == "response" else None}
+    if not digest_ok(block, fields.get("warc-block-digest")):
+        raise ValueError("the block isn't that of the record's digest")
+    kind, stated, length = fields["warc-type"], fields.get("warc-payload-digest"), None
+    payload = block
+    if fields.get("content-type", "").startswith("application/http") and b"\r\n\r\n" in block:
+        _, http, body = head_of(block)
+        payload = block[body:]
+        length = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    if kind != "revisit":
+        if length is not None and kind == "response" and len(payload) != length and "warc-truncated" not in fields:
+            raise ValueError("the payload doesn't have the length that its head gives")
+        if not digest_ok(payload, stated):
+            raise ValueError("the payload isn't that of the record's digest")
+        length = len(payload)
+    if stated and stated.lower().startswith("sha256:"):
+        digest = stated[7:].lower()
+    else:
+        digest = stated or (hashlib.sha256(payload).hexdigest() if kind != "revisit" else None)
+    own = lambda name: int(m[1]) if (m := PAGE_ID.fullmatch(fields.get(name, ""))) else None
+    return {"page_id": own("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": own("warc-refers-to"), "record_id": fields.get("warc-record-id"), "payload": payload if kind != "revisit" else None}
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -104,14 +135,14 @@ def write(pages: DataFrame, path: str | None = None) -> DataFrame:
     return common.materialize(revisits(pages).mapInArrow(run, "n_records bigint, data binary"), "warc", path)
 
 
-FIELDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+FIELDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string"
 
 
 def read(segments: DataFrame, payload: bool = False, column: str = "data", chunk: int = 1 << 16) -> DataFrame:
     """A row for each record of the archives in `column`, read in sequence in chunks."""
     kind = FIELDS + (", payload binary" if payload else "")
     names = [x.split()[0] for x in kind.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: len(names)]
 
     def run(batches):
         for batch in batches:
@@ -130,15 +161,49 @@ def read(segments: DataFrame, payload: bool = False, column: str = "data", chunk
 
 
 def read_files(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """Records of .warc.gz files at path, a file a task."""
+    """Records of .warc.gz files at path, a file a task; Spark reads a file whole, so one holds 2 GB at most."""
     return read(spark.read.format("binaryFile").load(path), payload, "content")
 
 
+def export(segments: DataFrame, folder: str) -> DataFrame:
+    """Write each segment as a .warc.gz file in a folder that all executors have mounted; returns file, n_records.
+
+    A file is named by its bytes and put in place at once, so a task that runs again writes the same file.
+    """
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            names = []
+            for data in batch.column("data").to_pylist():
+                name = f"{folder}/{hashlib.sha256(data).hexdigest()[:24]}.warc.gz"
+                own = f"{name}.{os.getpid()}"
+                with open(own, "wb") as f:
+                    f.write(data)
+                os.replace(own, name)
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("n_records")], ["file", "n_records"])
+
+    return segments.select("n_records", "data").mapInArrow(run, "file string, n_records bigint")
+
+
+def unmet(records: DataFrame) -> DataFrame:
+    """refers_to, payload_digest of revisits without a response of that page and digest."""
+    later = records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    first = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return later.join(first, ["refers_to", "payload_digest"], "left_anti")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages (page_id, url, html) as records and read them back: FIELDS without url.
+    """Write pages (page_id, url, html) as records and read them back: page_id, payload_bytes, payload_digest,
+    record_type, refers_to.
 
     A null html is an empty payload, a null url becomes a URN of the page_id, payloads below LEAST bytes are never
     revisits, an empty table gives no rows; other columns are not read. A repeated page_id with the same payload gives
-    response records for each row of the smallest page_id.
+    response records for each row of the smallest page_id. A row without page_id is a response of its own (its record has
+    the id urn:page:none) and no other row refers to it. A revisit whose response isn't there is an error.
     """
-    return read(write(pages)).drop("url")
+    records = common.materialize(read(write(pages)).drop("url", "record_id"), "records")
+    if bad := unmet(records).take(1):
+        raise ValueError(f"a revisit refers to page {bad[0]['refers_to']}, which has no such response")
+    return records
