@@ -9,6 +9,7 @@ lengths; pieces then find their place by their rank within their length.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -39,9 +40,12 @@ class Coder:
     The tokenizer lower-cases, drops white space, and splits into letters, single digits and runs of other characters,
     looking at nothing beyond a part. Texts of Latin letters without apostrophes (contractions) and special tokens are
     cut there; each run of letters gives ids of which the last alone has the mark of a word's end, so that new ones are
-    encoded many at a time. Other texts are cut at ASCII white space.
+    encoded many at a time. Other texts are cut at ASCII white space. A tokenizer for which samples show that parts do
+    not stand for themselves encodes whole texts.
     """
 
+    SAMPLES = ("Ab  c\n\tdé ñ", "x1 22,3.(a)b!", "it's 'tis l'été", "日本 語ab", "", " end ", "a-b_c ÄÖß½²", "<|endoftext|> a")
+
     def __init__(self, json: str):
         self.tokenizer = Tokenizer.from_str(json)
         last = [0] * (max(self.tokenizer.get_vocab().values()) + 1)
@@ -49,6 +53,14 @@ class Coder:
             last[i] = piece.endswith("</w>")
         self.ends = np.array(last, bool)
         self.known: dict[str, bytes] = {}
+        self.apart = False
+        try:
+            self.apart = self.bytes_of(list(self.SAMPLES), True) == self.whole(list(self.SAMPLES))
+        except ValueError:
+            pass
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self.encode(texts)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,7 +81,9 @@ class Coder:
         for w, ids in zip(rest, self.encode(rest)):
             self.known[w] = np.array(ids, "<u4").tobytes()
 
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
+    def bytes_of(self, texts: list[str], apart: bool | None = None) -> list[bytes]:
+        if not (self.apart if apart is None else apart):
+            return self.whole(texts)
         split = [PARTS.findall(t.lower()) if not UNLIKE.search(t) else ascii_split(t) for t in texts]
         known = self.known
         new = list({w for parts in split for w in parts if w not in known})
@@ -123,16 +137,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
-def combinations(have: np.ndarray, window: int, most: int = 60_000) -> np.ndarray:
+def combinations(have: np.ndarray, window: int, common_lengths: int = 346) -> np.ndarray:
     """Triples of lengths (0: none), descending, that fill a window, for lengths that occur.
 
-    All pairs; and of the triples those whose two smaller lengths are among the commonest, as many as `most` allows.
+    All pairs; and the triples of which the two smaller lengths are among the common_lengths commonest. This says which
+    combinations have repeat counts to be solved; every piece is packed, those that no combination takes greedily.
     """
     lengths = np.flatnonzero(have)
     lengths = lengths[(lengths > 0) & (lengths < window)]
     a = lengths[lengths * 2 >= window]
     found = [np.stack([a, window - a, 0 * a], 1)]
-    common_first = lengths[np.argsort(-have[lengths], kind="stable")][: max(1, int((2 * most) ** 0.5))]
+    common_first = lengths[np.argsort(-have[lengths], kind="stable")][:common_lengths]
     b, c = np.meshgrid(common_first, common_first, indexing="ij")
     b, c = b[b >= c], c[b >= c]
     first = window - b - c
@@ -142,16 +157,24 @@ def combinations(have: np.ndarray, window: int, most: int = 60_000) -> np.ndarra
     return every[full[every].all(1)]
 
 
-def solve(patterns: np.ndarray, have: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Non-negative x with counts(patterns, x) near to `have` in least squares: multiplicative updates."""
+def solve(patterns: np.ndarray, have: np.ndarray, enough: float = 1e-4) -> np.ndarray:
+    """Non-negative x with counts(patterns, x) near to `have` in least squares: multiplicative updates, until ten steps
+    lower the residual by less than the share `enough`."""
     weight = (patterns > 0).astype(float)
     target = have.astype(float)
+    target[0] = 0  # the place of no length
     pull = (target[patterns] * weight).sum(1)
     x = np.full(len(patterns), target.sum() / max(1, weight.sum()))
-    for _ in range(steps):
-        used = np.bincount(patterns.ravel(), (x[:, None] * weight).ravel(), len(have))
-        x = x * pull / np.maximum((used[patterns] * weight).sum(1), 1e-12)
-    return x
+    counts = lambda x: np.bincount(patterns.ravel(), (x[:, None] * weight).ravel(), len(have))
+    last, used = math.inf, counts(x)
+    while True:
+        for _ in range(10):
+            x = x * pull / np.maximum((used[patterns] * weight).sum(1), 1e-12)
+            used = counts(x)
+        residual = float(np.square(used - target).sum())
+        if residual >= last * (1 - enough):
+            return x
+        last = residual
 
 
 def plan(have: np.ndarray, window: int = WINDOW) -> list[tuple[int, list[int]]]:
@@ -200,8 +223,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; docs needs doc_id and text, other
     columns are not read. Pieces never overlap and leave no gap inside a sequence. An empty table gives no rows; an
-    empty or null text gives its end id; repeated doc_ids must not occur. Documents over a window are cut at its
-    multiples, others never.
+    empty or null text gives its end id; rows of one doc_id, or of none, are packed each. Documents over a window are cut
+    at its multiples, others never.
     """
     cut = common.materialize(pieces(docs, tokenizer_path, window, end_id), "pieces")
     counted = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `window` rows
@@ -233,5 +256,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(seq), pa.array(table[at, 3])], [*names, "sequence_id", "offset"])
 
     total = int(have.sum())
-    ranked = common.two_level_rank(cut, ["length"], ["doc_id", "start"], max(64, total // 20_000), "rank")
+    ranked = common.two_level_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], max(64, total // 20_000), "rank")
     return ranked.mapInArrow(place, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
