@@ -1,6 +1,6 @@
 """Homomorphic multiset fingerprints of texts. DataFrame operations only.
 
-A text is a multiset of paragraphs (lines), and these of clauses. Paragraphs are hashed to eight 32-bit words, summed
+A text is a multiset of paragraphs (lines), and these of clauses. Paragraphs are hashed to sixteen 32-bit words, summed
 modulo 2**32: equal for equal multisets, whatever the order, and updated by adding or subtracting a paragraph's words.
 Clauses are hashed to 64 bits; bit by bit these are counted, two 32-bit counters to a sum modulo 2**64. With n clauses
 and a count c, 2c - n is a sum of random signs, so that inner products over the 64 counters estimate how many clauses
@@ -15,14 +15,14 @@ from pyspark.sql.window import Window
 
 from wegloom.llm import common
 
-WORDS, SUMS = 8, 32
+WORDS, SUMS = 16, 32
 LOW = 0xFFFFFFFF
 PAIR = (1 << 32) | 1
 CLAUSE_END = r"[.,;:!?\n]+"
 
 
 def paragraph_words(text: Column) -> Column:
-    """Array of eight sums modulo 2**32 over the text's lines; empty lines don't count."""
+    """Array of WORDS sums modulo 2**32 over the text's lines; empty lines don't count."""
     lines = F.filter(F.split(text, "\n"), lambda p: p != "")
 
     def add(sums: Column, p: Column) -> Column:
@@ -71,14 +71,14 @@ def fingerprint(texts: DataFrame, key: list[str], text: str = "text") -> DataFra
 
 
 def neighbours(lengths: DataFrame, parts: int) -> DataFrame:
-    """doc_id, n_chars, next_id, prev_id, prev_chars in ascending order of doc_id, going round at the ends.
+    """row, n_chars, next_row, prev_row, prev_chars in ascending order of row (a struct), going round at the ends.
 
-    Rows are dealt over ranges of doc_id; inside a range a window sees the neighbours, and at its ends a table with a
-    row a range (as many as parts) has the first and last rows of the ranges beside it.
+    Rows are dealt over ranges; inside a range a window sees the neighbours, and at its ends a table with a row a range
+    (as many as parts) has the first and last rows of the ranges beside it.
     """
-    dealt = common.materialize(lengths.repartitionByRange(parts, "doc_id").withColumn("_p", F.spark_partition_id()), "ordered")
-    w = Window.partitionBy("_p").orderBy("doc_id", "n_chars")
-    ends = dealt.groupBy("_p").agg(F.min("doc_id").alias("low"), F.max(F.struct("doc_id", "n_chars")).alias("high"))
+    dealt = common.materialize(lengths.repartitionByRange(parts, "row").withColumn("_p", F.spark_partition_id()), "ordered")
+    w = Window.partitionBy("_p").orderBy("row")
+    ends = dealt.groupBy("_p").agg(F.min("row").alias("low"), F.max(F.struct("row", "n_chars")).alias("high"))
     every = Window.partitionBy(F.lit(0)).orderBy("_p")
     whole = Window.partitionBy(F.lit(0))
     ends = ends.select(
@@ -86,9 +86,9 @@ def neighbours(lengths: DataFrame, parts: int) -> DataFrame:
         F.coalesce(F.lead("low").over(every), F.min("low").over(whole)).alias("after"),
         F.coalesce(F.lag("high").over(every), F.max("high").over(whole)).alias("before"),
     )
-    near = dealt.withColumns({"_next": F.lead("doc_id").over(w), "_prev": F.lag(F.struct("doc_id", "n_chars")).over(w)}).join(ends, "_p")
+    near = dealt.withColumns({"_next": F.lead("row").over(w), "_prev": F.lag(F.struct("row", "n_chars")).over(w)}).join(ends, "_p")
     prev = F.coalesce("_prev", "before")
-    return near.select("doc_id", "n_chars", F.coalesce("_next", "after").alias("next_id"), prev["doc_id"].alias("prev_id"), prev["n_chars"].alias("prev_chars"))
+    return near.select("row", "n_chars", F.coalesce("_next", "after").alias("next_row"), prev["row"].alias("prev_row"), prev["n_chars"].alias("prev_chars"))
 
 
 def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
@@ -96,25 +96,31 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     (or all) from the start of the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are
-    empty ones; an only document is its own successor; an empty table gives no rows. doc_id must be unique. Other
-    columns are not read.
+    empty ones; an only document is its own successor; an empty table gives no rows. Rows without doc_id come first; rows
+    of one doc_id follow one another in the order of their texts' hashes; repeated rows (doc_id and text) are one document
+    in that order, and each gets its result. Other columns are not read.
     """
-    base = docs.select("doc_id", common.empty_if_null("text").alias("text"))
+    # a row is told by doc_id and its text's hash together, nulls included
+    base = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), common.empty_if_null("text").alias("text"))
+    base = base.groupBy("row").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     parts = common.parts_for(docs, 64 << 20)
-    near = common.materialize(neighbours(base.select("doc_id", F.length("text").cast("bigint").alias("n_chars")), parts), "near")
-    joined = base.join(near.hint("shuffle_hash"), "doc_id")
+    lengths = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), F.length(common.empty_if_null("text")).cast("bigint").alias("n_chars")).distinct()
+    near = common.materialize(neighbours(lengths, parts), "near")
+    joined = base.join(near.hint("shuffle_hash"), "row")
     cut = lambda n: F.floor(n / share).cast("int")
-    heads = joined.where(cut(F.col("prev_chars")) > 0).select(F.col("prev_id").alias("doc_id"), F.substring(F.col("text"), F.lit(1), cut(F.col("prev_chars"))).alias("head"))
-    whole = joined.join(heads.hint("shuffle_hash"), "doc_id", "left")
+    heads = joined.where(cut(F.col("prev_chars")) > 0).select(F.col("prev_row").alias("row"), F.substring(F.col("text"), F.lit(1), cut(F.col("prev_chars"))).alias("head"))
+    whole = joined.join(heads.hint("shuffle_hash"), "row", "left")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut(F.col("n_chars"))).cast("int")), common.empty_if_null("head"))
-    both = whole.select("doc_id", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))))
-    printed = fingerprint(both.select("doc_id", "which", "text", F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), ["doc_id", "which", "sha"])
+    both = whole.select("row", "copies", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))))
+    printed = fingerprint(both.select("row", "copies", "which", "text", F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), ["row", "copies", "which", "sha"])
     pick = lambda k: F.max(F.when(F.col("which") == k, F.struct("fingerprint", "sums", "n", "sha")))
-    wide = printed.groupBy("doc_id").agg(pick(0).alias("a"), pick(1).alias("e"))
+    wide = printed.groupBy("row", "copies").agg(pick(0).alias("a"), pick(1).alias("e"))
     a, e, b = F.col("a"), F.col("e"), F.col("b")
     full = common.materialize(
-        wide.join(near.select("doc_id", "n_chars", "next_id"), "doc_id").select("doc_id", "n_chars", "next_id", e["sha"].alias("edited_sha256"), a["fingerprint"].alias("fingerprint"), e["fingerprint"].alias("edited_fingerprint"), likeness(signs(a["sums"], a["n"]), signs(e["sums"], e["n"]), a["fingerprint"] == e["fingerprint"]).alias("near_edited"), a.alias("a")),
+        wide.join(near.select("row", "n_chars", "next_row"), "row").select("row", "copies", "n_chars", "next_row", e["sha"].alias("edited_sha256"), a["fingerprint"].alias("fingerprint"), e["fingerprint"].alias("edited_fingerprint"), likeness(signs(a["sums"], a["n"]), signs(e["sums"], e["n"]), a["fingerprint"] == e["fingerprint"]).alias("near_edited"), a.alias("a")),
         "printed",
     )
-    after = full.select(F.col("doc_id").alias("next_id"), F.struct(F.col("a.fingerprint"), F.col("a.sums"), F.col("a.n")).alias("b"))
-    return full.join(after, "next_id").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(signs(a["sums"], a["n"]), signs(b["sums"], b["n"]), a["fingerprint"] == b["fingerprint"]).alias("near_next"))
+    after = full.select(F.col("row").alias("next_row"), F.struct(F.col("a.fingerprint"), F.col("a.sums"), F.col("a.n")).alias("b"))
+    out = full.join(after, "next_row").select("row", "copies", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(signs(a["sums"], a["n"]), signs(b["sums"], b["n"]), a["fingerprint"] == b["fingerprint"]).alias("near_next"))
+    each = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select("row.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
