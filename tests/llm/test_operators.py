@@ -166,6 +166,10 @@ def test_warc_files(spark, tmp_path):
     raw = b"".join(warc.record(i, None, b"x" * i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(5))
     (tmp_path / "a.warc.gz").write_bytes(raw)
     assert {r["page_id"]: r["payload"] for r in warc.read_files(spark, str(tmp_path), payload=True).collect()} == {i: b"x" * i for i in range(5)}
+    stored = warc.write(spark.createDataFrame([(1, None, "x" * 200), (2, "http://a", "x" * 200), (None, None, "x" * 200), (3, None, None)], "page_id bigint, url string, html string"))
+    warc.export(stored, str(tmp_path / "out")).collect()
+    again = warc.read_files(spark, str(tmp_path / "out" / "*.warc.gz")).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in again) == [(0, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None)]
     with pytest.raises(ValueError):
         list(warc.members([raw[:-3]]))
     member = next(warc.members([raw[i : i + 7] for i in range(0, len(raw), 7)]))
@@ -173,6 +177,50 @@ def test_warc_files(spark, tmp_path):
         warc.parse(member.replace(b"HTTP/1.1 200", b"HTTP/1.1 404"))
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Records as other writers make them: info, request, metadata, UUIDs, SHA-1 in base 32, chunks without length."""
+    import base64
+    import gzip
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+    def one(kind, block, **more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *[f"{k.replace('_', '-')}: {v}" for k, v in more.items()]]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = "application/http; msgtype=response"
+    page = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n<p>hello"
+    raw = one("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields") + one("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request", WARC_Target_URI="http://a/")
+    raw += one("response", page, Content_Type=http, WARC_Payload_Digest=sha1(b"<p>hello"), WARC_Block_Digest=sha1(page)) + one("metadata", b"a: b", WARC_Block_Digest="md9:xyz") + one("revisit", b"", WARC_Payload_Digest=sha1(b"q"), WARC_Refers_To="<urn:uuid:response>")
+    (tmp_path / "b.warc.gz").write_bytes(raw)
+    got = {r["record_type"]: r for r in warc.read_files(spark, str(tmp_path), payload=True).collect()}
+    assert list(sorted(got)) == ["metadata", "request", "response", "revisit", "warcinfo"] and all(r["page_id"] is None for r in got.values())
+    assert got["response"]["payload"] == b"<p>hello" and got["response"]["payload_bytes"] == 8 and got["request"]["record_id"] == "<urn:uuid:request>" and got["warcinfo"]["payload"] == b"software: x\r\n" and got["revisit"]["payload"] is None
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse(gzip.decompress(one("response", page, Content_Type=http, WARC_Payload_Digest=sha1(b"other"))))
+    records = spark.createDataFrame([(1, "response", "a", None), (2, "revisit", "a", 1), (3, "revisit", "b", 1)], "page_id bigint, record_type string, payload_digest string, refers_to bigint")
+    assert [tuple(r) for r in warc.unmet(records).collect()] == [(1, "b")]
+
+
+def test_packing_of_repeated_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    d = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "other words"), (None, "a"), (None, None)], "doc_id bigint, text string")
+    got = packing.pack(d, path, 8).collect()
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in got) == [(0, 1), (0, 2), (1, 3), (1, 4), (1, 4)]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer as Any
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    t = Any(WordLevel({"[UNK]": 0, "Ab": 1, "c": 2, "a": 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = WhitespaceSplit()
+    coder = packing.Coder(t.to_str())
+    assert not coder.apart and [np.frombuffer(b, "<u4").tolist() for b in coder.bytes_of(["Ab c", "ab a,c", ""])] == [[1, 2], [0, 0], []]
+
+
 def test_packing(docs, rows, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
@@ -233,6 +281,8 @@ def test_quality(spark):
     assert kept.columns == d.columns and kept.count() == sum(r["predicted"] for r in got.values())
     assert quality.classify(d.where("false"), labels).count() == 0
     assert {r["score"] for r in quality.classify(d.where("doc_id < 9"), labels.where("false")).collect()} == {0.5}
+    share = np.bincount(rng.choices(range(40, 100), k=700), minlength=quality.BINS), np.bincount(rng.choices(range(40), k=300), minlength=quality.BINS)
+    assert quality.estimated_prior(share[0], share[0] + share[1]) == pytest.approx(0.7, abs=0.15)
 
 
 def plain_groups(rows):
@@ -268,6 +318,14 @@ def test_minhash(docs, rows, nothing, short, monkeypatch):
         assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got.values())
 
 
+def test_minhash_of_odd_rows(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    d = spark.createDataFrame([(None, t), (5, t), (9, t), (9, "quite other words here and there too"), (7, t + " end"), (8, None)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d).collect())
+    assert got == [(0, 26, None, True), (5, 26, 5, True), (7, 27, 5, False), (8, 0, 8, True), (9, 3, 9, True), (9, 26, 5, False)]
+    assert sorted(r["doc_id"] or 0 for r in minhash.keep_first(d).collect()) == [0, 5, 8]
+
+
 def test_fingerprints(docs, rows, nothing):
     got = collected(fingerprints.edited_fingerprints(docs), "doc_id")
     order = sorted(i for i, _ in rows)
@@ -287,6 +345,36 @@ def test_fingerprints(docs, rows, nothing):
     assert fingerprints.edited_fingerprints(docs.where("doc_id = 0")).first()["near_next"] == 1.0
 
 
+def plain_fingerprint(t):
+    """The sums of paragraphs and of clauses' signs, by the definition."""
+    import struct
+
+    import xxhash
+
+    words = [sum(xxhash.xxh64(struct.pack("<i", j), seed=xxhash.xxh64(p.encode(), seed=42).intdigest()).intdigest() for p in t.split("\n") if p) % 2**32 for j in range(fingerprints.WORDS)]
+    clauses = [c.strip(" ") for c in re.split(r"[.,;:!?\n]+", t)]
+    hashes = [xxhash.xxh64(c.encode(), seed=42).intdigest() for c in clauses if c]
+    return words, np.array([sum(1 if h >> i & 1 else -1 for h in hashes) for i in range(64)], float)
+
+
+def test_fingerprints_by_definition(spark):
+    rows = [(3, "a b. c d\ne, f!"), (1, "c d\na b. zz"), (2, ""), (7, "one; two; three. four\nfive " * 3), (7, "another"), (7, "another"), (None, "x y. z"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprints.edited_fingerprints(d)
+    assert got.count() == len(rows)
+    texts = sorted({t or "" for _, t in rows})
+    printed = {r["text"]: r for r in fingerprints.fingerprint(spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.col("text").alias("k")), ["k"]).selectExpr("k as text", "words", "fingerprint").collect()}
+    like = lambda a, b: 1.0 if (a[0] == b[0] and (a[1] == b[1]).all()) else (max(0.0, min(1.0, 2 * (a[1] @ b[1]) / n)) if (n := a[1] @ a[1] + b[1] @ b[1]) else 0.0)
+    for t in texts:
+        assert list(printed[t]["words"]) == plain_fingerprint(t)[0]
+    ids = {r["doc_id"]: r for r in got.collect() if r["doc_id"] in (1, 2, 3)}
+    for i, (t, after) in {1: (rows[1][1], rows[2][1]), 2: (rows[2][1], rows[0][1])}.items():
+        cut = len(t) // 4
+        e = t[: len(t) - cut] + after[:cut]
+        p, q, n = plain_fingerprint(t), plain_fingerprint(e), plain_fingerprint(after)
+        assert ids[i]["near_edited"] == pytest.approx(like(p, q)) and ids[i]["near_next"] == pytest.approx(like(p, n)) and ids[i]["fingerprint"] == printed[t]["fingerprint"]
+
+
 def test_fingerprint_is_homomorphic(spark):
     d = spark.createDataFrame([(1, "a b.\nc d\ne"), (2, "e\na b.\nc d"), (3, "c d"), (4, "e\na b.")], "doc_id bigint, text string")
     f = collected(fingerprints.fingerprint(d, ["doc_id"]), "doc_id")
