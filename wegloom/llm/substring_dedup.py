@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +58,8 @@ POSTS = "bucket int, docs binary, counts binary, hashes binary, doc_id bigint, s
 def windows(docs: DataFrame, buckets: int, k: int, bits: int = 64) -> DataFrame:
     """Per slice of documents: for each bucket the windows' hashes, each at its smallest doc_id of the slice.
 
-    Rows of bucket -1 have what a slice knows by itself: spans of windows that a smaller doc_id of the slice has too.
+    Rows with spans have what a slice knows by itself: windows that a smaller doc_id of the slice has too; they are dealt
+    by doc_id and only pass through the merge.
     """
 
     def run(batches):
@@ -75,7 +77,7 @@ def windows(docs: DataFrame, buckets: int, k: int, bits: int = 64) -> DataFrame:
             if local.any():
                 where = np.flatnonzero(local)
                 for i, part in zip(*split_by(doc[where], where)):
-                    for col, v in zip(out, (-1, None, None, None, int(ids[i]), spans(part - first[i], witness[part]).tobytes())):
+                    for col, v in zip(out, (int(group_of(ids[i : i + 1], buckets)[0]), None, None, None, int(ids[i]), spans(part - first[i], witness[part]).tobytes())):
                         col.append(v)
             at.sort()  # back to the order of documents
             bucket = (mix(h[at]) % np.uint64(buckets)).astype(np.int64)
@@ -96,9 +98,9 @@ def split_by(keys: np.ndarray, values: np.ndarray) -> tuple[list, list[np.ndarra
     return found.tolist(), np.split(values[order], first[1:])
 
 
-FOUND = "kind string, bucket int, docs binary, witnesses binary, counts binary, data binary"
-_FOUND = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-_NAMES = ["kind", "bucket", "docs", "witnesses", "counts", "data"]
+FOUND = "kind string, bucket int, docs binary, witnesses binary, counts binary, data binary, doc_id bigint"
+_FOUND = (pa.string(), pa.int32(), *[pa.binary()] * 4, pa.int64())
+_NAMES = ["kind", "bucket", "docs", "witnesses", "counts", "data", "doc_id"]
 
 
 def group_of(docs: np.ndarray, groups: int) -> np.ndarray:
@@ -118,9 +120,11 @@ def merge(posts: pa.Table, runs: pa.Table, store: bool, groups: int) -> pa.Table
     """One bucket: hits of the batch in the runs or under a smaller doc_id of the batch, and the run of what is new.
 
     Hits go out in one row for each group of documents (in the place of the bucket): for each document and witness the
-    number of hashes, and the hashes.
+    number of hashes, and the hashes. Spans go out as they come.
     """
-    rows: list[tuple] = []
+    known = posts.filter(pc.is_valid(posts.column("spans")))
+    rows: list[tuple] = [("span", None, None, None, None, x, i) for i, x in zip(known.column("doc_id").to_pylist(), known.column("spans").to_pylist())]
+    posts = posts.filter(pc.is_null(posts.column("spans")))
     if posts.num_rows:
         read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in posts.column(c)])
         h = read("hashes", np.uint64)
@@ -143,10 +147,10 @@ def merge(posts: pa.Table, runs: pa.Table, store: bool, groups: int) -> pa.Table
             at = at[np.lexsort((of[at], d[at]))]
             edge = np.flatnonzero(np.concatenate([[True], (d[at][1:] != d[at][:-1]) | (of[at][1:] != of[at][:-1])]))
             counts = np.diff(np.concatenate([edge, [len(at)]])).astype(np.uint32)
-            rows.append(("hit", g, d[at][edge].tobytes(), of[at][edge].tobytes(), counts.tobytes(), h[at].tobytes()))
+            rows.append(("hit", g, d[at][edge].tobytes(), of[at][edge].tobytes(), counts.tobytes(), h[at].tobytes(), None))
         if store and not old.all():
-            rows.append(("run", posts.column("bucket")[0].as_py(), None, transposed(witness[~old]), None, planes(distinct[~old])))
-    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, _FOUND)], names=_NAMES)
+            rows.append(("run", posts.column("bucket")[0].as_py(), None, transposed(witness[~old]), None, planes(distinct[~old]), None))
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, _FOUND)], names=_NAMES)
 
 
 HITS = "doc_id bigint, data binary, witnesses binary, counts binary"
@@ -179,16 +183,14 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, store: bool = True) -> DataFrame:
         """Hits of a batch whose doc_ids are above all earlier ones: HITS, or spans. Stores its run."""
-        dealt = common.new_path(self.spark, "windows")
-        posts = common.materialize(windows(docs, self.buckets, self.window, self.bits), "windows", dealt)
-        grouped = posts.where("bucket >= 0").repartition(self.buckets, "bucket").groupBy("bucket")
+        grouped = windows(docs, self.buckets, self.window, self.bits).repartition(self.buckets, "bucket").groupBy("bucket")
         past = self.history().repartition(self.buckets, "bucket").groupBy("bucket")
         path, groups = common.new_path(self.spark, "run"), self.buckets
         found = common.materialize(grouped.cogroup(past).applyInArrow(lambda a, b: merge(a, b, store, groups), FOUND), "run", path)
         own = found.where("kind = 'hit'").select("bucket", "docs", "witnesses", "counts", "data").repartition(groups, "bucket").groupBy("bucket").applyInArrow(per_document, HITS)
         none = [F.lit(None).cast("binary").alias(c) for c in ("data", "witnesses", "counts")]
-        hits = common.materialize(own.withColumn("spans", F.lit(None).cast("binary")).unionByName(posts.where("bucket < 0").select("doc_id", *none, "spans")), "hits")
-        common.drop_path(self.spark, dealt)
+        local = found.where("kind = 'span'").select("doc_id", *none, F.col("data").alias("spans"))
+        hits = common.materialize(own.withColumn("spans", F.lit(None).cast("binary")).unionByName(local), "hits")
         if store:
             self.runs.append((0, path))
             self.compact()
@@ -206,7 +208,7 @@ class FingerprintIndex:
                 every = np.concatenate([unplanes(x.as_buffer()) for x in t.column("data")])
                 of = np.concatenate([back_again(x.as_buffer()) for x in t.column("witnesses")])
                 order = np.argsort(every, kind="stable")
-                return pa.table([pa.array(c, k) for c, k in zip((["run"], t.column("bucket").slice(0, 1).to_pylist(), [None], [transposed(of[order])], [None], [planes(every[order])]), _FOUND)], names=_NAMES)
+                return pa.table([pa.array(c, k) for c, k in zip((["run"], t.column("bucket").slice(0, 1).to_pylist(), [None], [transposed(of[order])], [None], [planes(every[order])], [None]), _FOUND)], names=_NAMES)
 
             path = common.new_path(self.spark, "run")
             common.materialize(both.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(join, FOUND), "run", path)
