@@ -26,6 +26,7 @@ from wegloom.llm import common
 from wegloom.llm.words import Words, mix
 
 WINDOW, BATCHES, FANOUT = 13, 4, 2
+SLICE = 2 << 20
 
 
 def planes(hashes: np.ndarray) -> bytes:
@@ -63,7 +64,7 @@ def windows(docs: DataFrame, buckets: int, k: int, bits: int = 64) -> DataFrame:
     """
 
     def run(batches):
-        for batch in common.slices(batches, most=4 << 20):
+        for batch in common.slices(batches, most=SLICE):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             order = np.argsort(ids, kind="stable")
             texts = common.texts_of(batch)
@@ -223,8 +224,8 @@ def marked(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, bits:
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    # about 1.5 million windows a bucket and batch
-    index = FingerprintIndex(spark, common.parts_for(docs, 16 << 20), window, bits)
+    # under a million windows a bucket and batch
+    index = FingerprintIndex(spark, common.parts_for(docs, 8 << 20), window, bits)
     hits = None
     for i in range(len(edges) - 1):
         mine = docs.where("doc_id is not null")
@@ -295,7 +296,7 @@ def judged(docs: DataFrame, hits: DataFrame, keep: list[str], window: int, diges
     out = T.StructType([left.schema["row"], *common.schema(doc_id="long", n_words="long", n_removed="long", kept="string").fields, T.StructField("asks", T.ArrayType(ASK_TYPE))])
 
     def run(batches):
-        for batch in common.slices(batches, most=4 << 20):
+        for batch in common.slices(batches, most=SLICE):
             texts = common.texts_of(batch)
             words = Words([t.encode() for t in texts])
             h, first = hashed(words, window, bits)
@@ -339,7 +340,7 @@ def failing(docs: DataFrame, asks: DataFrame, window: int, bits: int) -> DataFra
     grouped = one.join(many, "witness").groupBy(F.col("witness").alias("doc_id"), part.alias("part")).agg(F.collect_list(F.struct(*_KEYS)).alias("asks"))
 
     def run(batches):
-        for batch in common.slices(batches, most=4 << 20):
+        for batch in common.slices(batches, most=SLICE):
             words = Words([t.encode() for t in common.texts_of(batch)])
             h, first = hashed(words, window, bits)
             out = []
