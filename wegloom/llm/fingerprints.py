@@ -55,8 +55,9 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y * sign).bitwiseAND(F.lit(LOW)))
 
 
-def fingerprint(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, words, n, sums, fingerprint (string) of each text; the key columns must tell rows apart.
+def fingerprint(texts: DataFrame, key: list[str], text: str = "text", merged: str | None = None) -> DataFrame:
+    """key, words, n, sums, fingerprint (string) of each text; the key columns must tell rows apart, or the column `merged`
+    say how many rows of the same text have the same key.
 
     If texts is partitioned by the first key column, nothing is shuffled.
     """
@@ -65,13 +66,14 @@ def fingerprint(texts: DataFrame, key: list[str], text: str = "text") -> DataFra
     cut = texts.select(*key, paragraph_words(t).alias("words"), F.split(t, CLAUSE_END).alias("clauses"))
     clauses = cut.select(*key, "words", F.explode_outer("clauses").alias("clause"))
     counted = clauses.groupBy(*key).agg(F.first("words").alias("words"), F.sum(F.when(F.trim("clause") != "", 1).otherwise(0)).alias("n"), *clause_sums(F.col("clause")))
-    packed = counted.select(*key, "words", "n", F.array(*[F.col(f"s{i}") for i in range(SUMS)]).alias("sums"))
+    one = lambda c: F.col(c) if merged is None else F.expr(f"{c} div {merged}")  # noqa: E731  # sums of as many equal rows
+    packed = counted.select(*key, "words", one("n").alias("n"), F.array(*[one(f"s{i}") for i in range(SUMS)]).alias("sums"))
     text_of = F.concat_ws(":", F.array_join(F.transform("words", lambda w: F.lpad(F.lower(F.hex(w)), 8, "0")), ""), F.col("n").cast("string"), F.array_join(F.transform("sums", lambda s: F.lower(F.hex(s))), ","))
     return packed.withColumn("fingerprint", text_of)
 
 
 def neighbours(lengths: DataFrame, parts: int) -> DataFrame:
-    """row, n_chars, next_row, prev_row, prev_chars in ascending order of row (a struct), going round at the ends.
+    """row, n_chars, copies, next_row, prev_row, prev_chars in ascending order of row (a struct), going round at the ends.
 
     Rows are dealt over ranges; inside a range a window sees the neighbours, and at its ends a table with a row a range
     (as many as parts) has the first and last rows of the ranges beside it.
@@ -88,7 +90,7 @@ def neighbours(lengths: DataFrame, parts: int) -> DataFrame:
     )
     near = dealt.withColumns({"_next": F.lead("row").over(w), "_prev": F.lag(F.struct("row", "n_chars")).over(w)}).join(ends, "_p")
     prev = F.coalesce("_prev", "before")
-    return near.select("row", "n_chars", F.coalesce("_next", "after").alias("next_row"), prev["row"].alias("prev_row"), prev["n_chars"].alias("prev_chars"))
+    return near.select("row", "n_chars", "copies", F.coalesce("_next", "after").alias("next_row"), prev["row"].alias("prev_row"), prev["n_chars"].alias("prev_chars"))
 
 
 def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
@@ -102,17 +104,16 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     """
     # a row is told by doc_id and its text's hash together, nulls included
     base = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), common.empty_if_null("text").alias("text"))
-    base = base.groupBy("row").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     parts = common.parts_for(docs, 64 << 20)
-    lengths = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), F.length(common.empty_if_null("text")).cast("bigint").alias("n_chars")).distinct()
+    lengths = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), F.length(common.empty_if_null("text")).cast("bigint").alias("n_chars")).groupBy("row", "n_chars").agg(F.count(F.lit(1)).alias("copies"))
     near = common.materialize(neighbours(lengths, parts), "near")
     joined = base.join(near.hint("shuffle_hash"), "row")
     cut = lambda n: F.floor(n / share).cast("int")
-    heads = joined.where(cut(F.col("prev_chars")) > 0).select(F.col("prev_row").alias("row"), F.substring(F.col("text"), F.lit(1), cut(F.col("prev_chars"))).alias("head"))
+    heads = joined.where(cut(F.col("prev_chars")) > 0).select(F.col("prev_row").alias("row"), F.substring(F.col("text"), F.lit(1), cut(F.col("prev_chars"))).alias("head")).dropDuplicates(["row"])
     whole = joined.join(heads.hint("shuffle_hash"), "row", "left")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut(F.col("n_chars"))).cast("int")), common.empty_if_null("head"))
     both = whole.select("row", "copies", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))))
-    printed = fingerprint(both.select("row", "copies", "which", "text", F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), ["row", "copies", "which", "sha"])
+    printed = fingerprint(both.select("row", "copies", "which", "text", F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), ["row", "copies", "which", "sha"], merged="copies")
     pick = lambda k: F.max(F.when(F.col("which") == k, F.struct("fingerprint", "sums", "n", "sha")))
     wide = printed.groupBy("row", "copies").agg(pick(0).alias("a"), pick(1).alias("e"))
     a, e, b = F.col("a"), F.col("e"), F.col("b")
