@@ -103,9 +103,11 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     in that order, and each gets its result. Other columns are not read.
     """
     # a row is told by doc_id and its text's hash together, nulls included
-    base = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), common.empty_if_null("text").alias("text"))
+    # (a nullable hash, as in the tables read back: else the joins cast the key, and its partitioning is lost)
+    row = F.struct("doc_id", F.try_add(F.xxhash64(common.empty_if_null("text")), F.lit(0).cast("bigint")).alias("hash")).alias("row")
+    base = docs.select(row, common.empty_if_null("text").alias("text"))
     parts = common.parts_for(docs, 64 << 20)
-    lengths = docs.select(F.struct("doc_id", F.xxhash64(common.empty_if_null("text")).alias("hash")).alias("row"), F.length(common.empty_if_null("text")).cast("bigint").alias("n_chars")).groupBy("row", "n_chars").agg(F.count(F.lit(1)).alias("copies"))
+    lengths = docs.select(row, F.length(common.empty_if_null("text")).cast("bigint").alias("n_chars")).groupBy("row", "n_chars").agg(F.count(F.lit(1)).alias("copies"))
     near = common.materialize(neighbours(lengths, parts), "near")
     joined = base.join(near.hint("shuffle_hash"), "row")
     cut = lambda n: F.floor(n / share).cast("int")
