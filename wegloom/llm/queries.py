@@ -49,4 +49,35 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints, op9_media, op10_ppm)}
-ORACLES: dict[str, str] = {}
+
+#: Windows of 13 words as strings; a word goes if one of the windows that cover it also starts in an earlier document.
+_OP3 = r"""WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM documents WHERE text IS NOT NULL
+), windows AS (
+    SELECT doc_id, i, w, string_agg(w, ' ') OVER ahead AS s, count(*) OVER ahead AS n FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), firsts AS (SELECT s, min(doc_id) AS first FROM windows WHERE n = 13 GROUP BY s),
+judged AS (SELECT doc_id, i, w, n = 13 AND f.first < doc_id AS repeated FROM windows LEFT JOIN firsts f USING (s)),
+covered AS (SELECT doc_id, i, w, coalesce(bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM judged),
+cut AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN cut USING (doc_id)"""
+
+_OP4 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM p LEFT JOIN firsts USING (html)"""
+
+#: Full sets of shingles, their intersections by a join on the shingles, and components by walking all links.
+_OP7 = r"""WITH RECURSIVE listed AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL
+), words AS (SELECT doc_id, len(ws) AS total, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM listed),
+runs AS (
+    SELECT doc_id, total, string_agg(w, ' ') OVER ahead AS s, count(*) OVER ahead AS n FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), shingles AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM runs WHERE n = least(total, 5)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+arcs AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS seen FROM arcs UNION SELECT r.node, arcs.b FROM reach r JOIN arcs ON r.seen = arcs.a),
+roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON node = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op3_substring": _OP3, "op4_warc": _OP4, "op7_minhash": _OP7}
