@@ -285,7 +285,7 @@ def test_quality(spark):
     assert quality.estimated_prior(share[0], share[0] + share[1]) == pytest.approx(0.7, abs=0.15)
 
 
-def plain_groups(rows):
+def plain_groups(rows, like=85):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
     for i, t in rows:
@@ -300,7 +300,7 @@ def plain_groups(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= like * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}

@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path):
     good = steps["quality"](spark, docs, sf)
     assert good.columns == docs.columns and good.join(docs, docs.columns, "left_anti").where("text is not null and n_chars is not null").count() == 0
     first = steps["near_duplicates"](spark, docs, sf)
-    assert {r["doc_id"] for r in first.collect()} == {i for i, (_, _, kept) in plain_groups(rows).items() if kept}
+    assert {r["doc_id"] for r in first.collect()} == {i for i, (_, _, kept) in plain_groups(rows, like=80).items() if kept}
     cut = {r["doc_id"]: r["text"] for r in steps["substrings"](spark, docs, sf).collect()}
     for i, (n, gone, _) in plain_substring(rows).items():
         assert (i in cut) == (gone == 0 or gone < n)
