@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wegloom.functions import constants as C
 from wegloom.functions import geo, tags, text
-from wegloom.operators import catalog, costs, hospitals, network, places, poi, search, turns
+from wegloom.operators import catalog, costs, hospitals, network, places, poi, reports, search, turns
 from wegloom.plans import derived as D
 from wegloom.plans import kernel
 from wegloom.plans.shared import materialize
@@ -226,6 +226,31 @@ def route_kernel(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("scenario", F.col("start").cast("bigint").alias("start"), F.round(checked, 3).alias("cost_s"))
 
 
+@query(ROUTES + " SELECT scenario, count(*) AS query_pairs, 2 * count(*) AS search_runs, count(*) FILTER (cost IS NULL) AS unreachable, 0::BIGINT AS disagreements FROM routes GROUP BY scenario")
+def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Both algorithms from every start in every scenario: how many pairs, how many unreachable, how many that differ;
+    a graph that is too large to be shared is searched once, by relaxation, and has null disagreements."""
+    c, allowed, goals, rules = _network(spark, sf)
+    graph = kernel.collect_graph(c, D.nodes(spark, sf), goals, rules)
+    if graph is None:
+        found = search.cheapest_goal(c, allowed, _starts(c), goals).withColumn("expanded_states", F.lit(None).cast("bigint"))
+        return reports.validation_summary(found).drop("most_states").withColumn("disagreements", F.lit(None).cast("bigint"))
+    found = kernel.route_batch(_starts(c).repartition(4 * spark.sparkContext.defaultParallelism), graph)
+    return reports.validation_summary(found).drop("most_states")
+
+
+@query(RULES + """, start AS (SELECT min(u) AS start FROM edges), on_way AS (SELECT id AS state FROM edges JOIN start ON u = start UNION SELECT e2 FROM on_way JOIN turn ON e1 = state),
+bar AS (SELECT way_id || ':' || segment_index || ':' || d.direction AS id, CASE WHEN d.direction = 1 THEN a ELSE b END AS u FROM placed JOIN (VALUES (1), (-1)) d(direction) ON (oneway = 'no' OR (oneway = 'yes' AND d.direction = 1) OR (oneway = '-1' AND d.direction = -1)) WHERE shut AND c % 7 <> 2)
+SELECT DISTINCT start, bar.id FROM start, bar WHERE bar.u = start OR bar.u IN (SELECT v FROM edges JOIN on_way ON id = state)""")
+def blocked_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocked edges that begin where a way from the first node with an edge out can lead."""
+    e = D.saved_edges(spark, sf)
+    start = e.agg(F.min("u").alias("start")).select(F.col("start").alias("query_id"), "start")
+    shut = network.located(network.segments(D.allowed_ways(spark, sf)), D.nodes(spark, sf)).where(network.segment_reason() == "barrier_or_node_access")
+    blocked = network.edge_columns(network.directed(shut).where("reason is null")).select("id", "u")
+    return reports.blocked_frontier(e, materialize(turns.transitions(e, D.turn_rules(e)), "turns"), start, blocked).select(F.col("query_id").alias("start"), "id")
+
+
 POINTS = "pts AS (SELECT c_custkey AS id, 110 + (c_custkey % 1000) / 1000.0::DOUBLE AS lon, -8 + (c_custkey % 777) / 777.0::DOUBLE AS lat FROM customer)"
 
 
