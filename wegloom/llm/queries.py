@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wegloom.llm import common, fingerprints, media, minhash, packing, ppm, quality, sentencepiece_codec, sharding, substring_dedup, warc
+from wegloom.llm import collocations, common, fingerprints, media, minhash, packing, periodic, ppm, quality, sentencepiece_codec, sharding, simhash, substring_dedup, warc
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,19 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints, op9_media, op10_ppm)}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(periodic.with_planted_runs(common.documents(spark, sf_dir)))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring, op4_warc, op5_packing, op6_quality, op7_minhash, op8_fingerprints, op9_media, op10_ppm, op11_periodic, op12_simhash, op13_collocations)}
 
 #: Windows of 13 words as strings; a word goes if one of the windows that cover it also starts in an earlier document.
 _OP3 = r"""WITH words AS (
@@ -80,4 +92,27 @@ reach AS (SELECT a AS node, a AS seen FROM arcs UNION SELECT r.node, arcs.b FROM
 roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON node = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op3_substring": _OP3, "op4_warc": _OP4, "op7_minhash": _OP7}
+#: Phrases by windows of up to five words; an as frequent longer one need only be looked for among those of a word more.
+_OP13 = r"""WITH cut AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents
+), pieces AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM cut),
+distinct_pieces AS (SELECT lang, ws, count(*) AS weight FROM pieces WHERE len(ws) > 0 GROUP BY ALL),
+total AS (SELECT lang, sum(len(ws) * weight)::HUGEINT AS n FROM distinct_pieces GROUP BY lang),
+grams AS (
+    SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS gram, weight
+    FROM (SELECT lang, ws, weight, k, unnest(range(1, len(ws) - k + 2)) AS i FROM distinct_pieces, (VALUES (1), (2), (3), (4), (5)) AS t(k))
+), counts AS MATERIALIZED (SELECT lang, k, gram, sum(weight)::HUGEINT AS f FROM grams GROUP BY ALL HAVING sum(weight) >= 100),
+cuts AS (
+    SELECT lang, k, gram AS phrase, f AS a, c, array_to_string(string_split(gram, ' ')[1 : c], ' ') AS head, array_to_string(string_split(gram, ' ')[c + 1 :], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM counts WHERE k > 1)
+), judged AS (
+    SELECT c.lang, c.k, phrase, a, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score, row_number() OVER (PARTITION BY c.lang, phrase ORDER BY 1000 * a * n // (x.f * y.f), c) AS i
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.gram = head JOIN counts y ON y.lang = c.lang AND y.gram = tail JOIN total t ON t.lang = c.lang
+), inside AS (
+    SELECT lang, unnest([array_to_string(string_split(gram, ' ')[1 : k - 1], ' '), array_to_string(string_split(gram, ' ')[2 :], ' ')]) AS phrase, f FROM counts WHERE k > 2
+), around AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL),
+standing AS (SELECT j.* FROM judged j LEFT JOIN around o ON o.lang = j.lang AND o.phrase = j.phrase WHERE i = 1 AND (o.f IS NULL OR 100 * o.f < 100 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM standing)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op3_substring": _OP3, "op4_warc": _OP4, "op7_minhash": _OP7, "op13_collocations": _OP13}
