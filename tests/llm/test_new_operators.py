@@ -222,9 +222,11 @@ def test_scores_past_64_bits(spark):
     assert collocations.scored(totals, counts).collect()[0].score == 1000 * a * n // (f * (f + 1))
 
 
-def test_held_requests_are_passed_on(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "HELD", 10)
-    rows = [(i, f"a b c{i % 7} d. e f a b", "en") for i in range(40)]
+@pytest.mark.parametrize("small", [1 << 10, 1 << 30])
+def test_many_parts_and_one(spark, monkeypatch, small):
+    monkeypatch.setattr(collocations, "PART_BYTES", small)
+    monkeypatch.setattr(collocations, "BUCKET_BYTES", small)
+    rows = [(i, f"a b c{i % 7} d. e f a b, a b d d d d d", "en") for i in range(90)]
     assert rows_of(collocations.collocations(frame(spark, rows), least=4), "lang", "rank", "phrase", "a", "l", "r", "n", "score") == plain_collocations(rows, 4)
 
 

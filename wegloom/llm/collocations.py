@@ -1,30 +1,35 @@
 """Collocations: phrases of up to MOST words that occur often and hold together, per language.
 
-Texts are cut into pieces, and equal pieces are one with a multiplicity. n-grams are counted level by level: those of a
-level are asked for by the parts of the piece table, each part naming each of its n-grams once with its weight; the
-requests are shuffled to hash buckets, where duckdb adds them up out of core, and the frequent ones are answered to the
-parts that asked. A part keeps of its pieces the stretches all of whose n-grams are frequent, once more as distinct
-stretches with multiplicities, and only there are the n-grams of the next level looked for: an n-gram is as frequent as
-its parts at most. The counts of a candidate's parts are fetched by lookup requests that are shuffled to the counts.
+Texts are cut into pieces, and equal pieces are one with a multiplicity. n-grams are counted level by level, in two steps.
+First the parts of the piece table ask by 64-bit hashes: each names each of its n-grams once with its weight, the requests
+are shuffled to hash buckets, where duckdb adds them up out of core, and the frequent ones are answered to the parts that
+asked. A hash may stand for two n-grams, so this only tells which can be frequent. Those are then counted as words, again
+by duckdb per hash bucket, exactly. A part keeps of its pieces the stretches all of whose n-grams can be frequent, once
+more as distinct stretches with multiplicities, and only there are the n-grams of the next level looked for: an n-gram is
+as frequent as its parts at most. The counts of a candidate's parts are fetched by lookup requests that are shuffled to
+the counts.
+
+Requests and answers travel as arrays, one row for a part and a bucket.
 """
 
 from __future__ import annotations
 
 import re
 import tempfile
+import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wegloom.llm import common
-from wegloom.llm.words import LOWER
+from wegloom.llm.words import LOWER, Words
 
 LEAST, MOST, TOP = 100, 5, 2000
 PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]+")
-PART_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
-HELD = 1_500_000  # n-grams that a task adds up before it passes them on
+PART_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
 
 
 def pieces(docs: DataFrame, parts: int) -> DataFrame:
@@ -44,114 +49,167 @@ def pieces(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "piece", "weight"])
 
     cut = docs.select("lang", "text").mapInArrow(run, "lang string, piece string, weight bigint")
-    return cut.groupBy("lang", "piece").agg(F.sum("weight").alias("weight")).select(F.pmod(F.xxhash64("lang", "piece"), F.lit(parts)).cast("int").alias("part"), "lang", "piece", "weight")
+    dealt = cut.select(F.pmod(F.xxhash64("lang", "piece"), F.lit(parts)).cast("int").alias("part"), "lang", "piece", "weight").repartition(parts, "part")
+    return dealt.groupBy("part", "lang", "piece").agg(F.sum("weight").alias("weight"))
 
 
-def grams(words: list[str], k: int) -> list[str]:
-    return words if k == 1 else [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+def by_key(batches, key: str):
+    """The tables of rows with the same key that follow one another, whatever batches they come in."""
+    held, last = [], None
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
-def requests(stretches: DataFrame, k: int) -> DataFrame:
-    """part, lang, gram, weight: the n-grams of k words of each part, added up as far as a task holds them."""
+def by_lang(rows: pa.Table):
+    """lang, pieces (bytes), weights of the rows of each language."""
+    for lang in rows.column("lang").unique().to_pylist():
+        own = rows.filter(pa.compute.equal(rows.column("lang"), lang))
+        yield lang, own.column("piece").cast(pa.binary()).to_pylist(), own.column("weight").to_numpy()
 
-    def run(batches):
-        held: dict[tuple, dict[str, int]] = {}
 
-        def flush():
-            for (part, lang), counts in held.items():
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([lang] * n, pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["part", "lang", "gram", "weight"])
-            held.clear()
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """In the order of the hashes, so that sorted ones are sorted by bucket."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-        for batch in batches:
-            for part, lang, piece, weight in zip(*[batch.column(c).to_pylist() for c in ("part", "lang", "piece", "weight")]):
-                counts = held.setdefault((part, lang), {})
-                for g in grams(piece.split(" "), k):
-                    counts[g] = counts.get(g, 0) + weight
-            if sum(map(len, held.values())) > HELD:
-                yield from flush()
-        yield from flush()
 
-    return stretches.select("part", "lang", "piece", "weight").mapInArrow(run, "part int, lang string, gram string, weight bigint")
+def lists(values: pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The buckets that have values, in order, and their lists; values are sorted by bucket."""
+    found, first = np.unique(bucket, return_index=True)
+    return found, pa.ListArray.from_arrays(pa.array(np.append(first, len(bucket)), pa.int32()), values)
 
 
-def answers(asked: DataFrame, buckets: int, least: int) -> DataFrame:
-    """part, lang, gram, f, first: the requests whose n-gram occurs `least` times or more, and how often; `first` marks
-    one row an n-gram."""
+def weighed(words: Words, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of k words: hash, weight, and the number of their first word; and where each text's runs begin."""
+    hashes, first = words.runs(k)
+    count = np.diff(first)
+    at = np.arange(len(hashes)) + np.repeat(words.first[:-1] - first[:-1], count)
+    return hashes, np.repeat(weights, count), at, first
 
-    def count(batches):
-        import duckdb
 
-        # scratch space of one task, as the spill of an aggregation is; gone when the bucket is done
-        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill, "preserve_insertion_order": False}) as con:
-            con.execute("create temp table asked (part int, lang varchar, gram varchar, weight bigint)")
-            for batch in batches:
-                con.register("batch", pa.Table.from_batches([batch]))
-                con.execute("insert into asked select part, lang, gram, weight from batch")
-                con.unregister("batch")
-            con.execute("create temp table total as select lang, gram, sum(weight)::bigint as f, min(part) as one from asked group by lang, gram having sum(weight) >= ?", [least])
-            found = con.sql("select distinct part, lang, gram, f, part = one as first_row from asked join total using (lang, gram)")
-            yield from found.to_arrow_reader(50_000)
+def requests(stretches: DataFrame, k: int, buckets: int) -> DataFrame:
+    """bucket, part, lang, hashes, weights: the n-grams of k words of each part, each once."""
 
-    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("lang", "gram"), F.lit(buckets)).cast("int"))
-    return by_bucket(dealt, buckets, count, "part int, lang string, gram string, f bigint, first boolean")
+    def run(batches):
+        for part, rows in by_key(batches, "part"):
+            for lang, pieces, weights in by_lang(rows):
+                hashes, each, _, _ = weighed(Words(pieces), weights, k)
+                if len(hashes):
+                    order = np.argsort(hashes)
+                    hashes, each = hashes[order], each[order]
+                    new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+                    hashes, each = hashes[new], np.add.reduceat(each, new)
+                    bucket = bucket_of(hashes, buckets)
+                    found, asked = lists(pa.array(hashes.view(np.int64)), bucket)
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([lang] * n, pa.string()), asked, lists(pa.array(each), bucket)[1]], ["bucket", "part", "lang", "hashes", "weights"])
+
+    return stretches.select("part", "lang", "piece", "weight").mapInArrow(run, "bucket int, part int, lang string, hashes array<bigint>, weights array<bigint>")
+
+
+def in_duckdb(batches, make: str, insert: str, answer: str, least: int):
+    """The answer for each bucket in batches. Rows of a bucket lie together, so one bucket at a time is held."""
+    import duckdb
+
+    def fresh(con):
+        con.execute(f"create or replace temp table asked ({make})")
+
+    # scratch space of a task, as the spill of an aggregation is; gone when the task ends
+    with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill, "preserve_insertion_order": False}) as con:
+        for _, rows in by_key(batches, "bucket"):
+            fresh(con)
+            con.register("rows", rows)
+            con.execute(insert)
+            con.unregister("rows")
+            yield from con.sql(answer.format(least=least)).to_arrow_reader(50_000)
 
 
-def by_bucket(dealt: DataFrame, buckets: int, count, kind: str) -> DataFrame:
-    """Apply count to the batches of each bucket: rows of a bucket lie together, and are passed on as they come."""
+def answers(asked: DataFrame, buckets: int, least: int) -> DataFrame:
+    """part, lang, hashes: of those that a part asked for, the ones that occur `least` times or more."""
 
     def run(batches):
-        def cut():
-            for batch in batches:
-                at, n = 0, batch.num_rows
-                keys = batch.column("bucket").to_numpy()
-                while at < n:
-                    end = at + int((keys[at:] == keys[at]).argmin()) if keys[-1] != keys[at] else n
-                    yield int(keys[at]), batch.slice(at, end - at).select(["part", "lang", "gram", "weight"])
-                    at = end
+        yield from in_duckdb(
+            batches, "part int, lang varchar, h bigint, w bigint", "insert into asked select part, lang, unnest(hashes), unnest(weights) from rows",
+            "select part, lang, list(h) as hashes from asked join (select lang, h from asked group by lang, h having sum(w) >= {least}) using (lang, h) group by part, lang", least,
+        )
 
-        rows, ahead = cut(), None
-        ahead = next(rows, None)
-        while ahead is not None:
-            bucket = ahead[0]
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part int, lang string, hashes array<bigint>")
 
-            def own():
-                nonlocal ahead
-                while ahead is not None and ahead[0] == bucket:
-                    yield ahead[1]
-                    ahead = next(rows, None)
 
-            yield from count(own())
+KEPT = "part int, lang string, piece string, weight bigint, bucket int, grams array<string>, weights array<bigint>"
 
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, kind)
 
-
-def surviving(stretches: DataFrame, found: DataFrame, k: int, parts: int) -> DataFrame:
-    """part, lang, piece, weight: distinct stretches of more than k words all of whose n-grams of k words are frequent."""
+def surviving(stretches: DataFrame, found: DataFrame, k: int, last: bool, parts: int, buckets: int) -> DataFrame:
+    """KEPT: with a piece, the distinct stretches of more than k words all of whose n-grams can be frequent (not for the
+    last level); with a bucket, the n-grams of k words that can be frequent, as words, each once a part."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        known: dict[str, set[str]] = defaultdict(set)
-        for lang, gram in zip(right.column("lang").to_pylist(), right.column("gram").to_pylist()):
-            known[lang].add(gram)
-        out: dict[tuple, int] = defaultdict(int)
-        part = left.column("part")[0].as_py() if left.num_rows else 0
-        for lang, piece, weight in zip(*[left.column(c).to_pylist() for c in ("lang", "piece", "weight")]):
-            words, frequent = piece.split(" "), known[lang]
-            if len(words) <= k:
+        known: dict[str, np.ndarray] = {}
+        for lang in right.column("lang").unique().to_pylist():
+            own = right.filter(pa.compute.equal(right.column("lang"), lang)).column("hashes").combine_chunks()
+            known[lang] = np.sort(own.flatten().to_numpy().view(np.uint64))
+        part = left.column("part")[0].as_py() if left.num_rows else None
+        out = []
+        for lang, pieces, weights in by_lang(left):
+            frequent = known.get(lang)
+            if frequent is None:
+                continue
+            words = Words(pieces)
+            hashes, each, at, first = weighed(words, weights, k)
+            good = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+            data, start, end = words.data, words.start, words.end
+            counts: dict[bytes, int] = defaultdict(int)
+            for a, b, w in zip(start[at[good]].tolist(), end[at[good] + k - 1].tolist(), each[good].tolist()):
+                counts[data[a:b]] += w
+            if counts:
+                grams, total = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                bucket = np.array([zlib.crc32(g) % buckets for g in grams])
+                order = np.argsort(bucket, kind="stable")
+                texts = pa.array([grams[i] for i in order.tolist()], pa.binary()).cast(pa.string())
+                numbers, listed = lists(texts, bucket[order])
+                n, none = len(numbers), pa.nulls
+                out.append(pa.table([pa.array([part] * n, pa.int32()), pa.array([lang] * n, pa.string()), none(n, pa.string()), none(n, pa.int64()), pa.array(numbers, pa.int32()), listed, lists(pa.array(total[order]), bucket[order])[1]], names=_NAMES))
+            if last or len(good) < 2:
                 continue
-            begin = None
-            for i, g in enumerate([*grams(words, k), None]):
-                if g in frequent:
-                    begin = i if begin is None else begin
-                elif begin is not None:
-                    if i - begin > 1:  # n-grams begin .. i - 1 cover words begin .. i + k - 2
-                        out[lang, " ".join(words[begin : i + k - 1])] += weight
-                    begin = None
-        n = len(out)
-        return pa.table([pa.array([part] * n, pa.int32()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["part", "lang", "piece", "weight"])
+            # n-grams that follow one another in a piece are a stretch
+            own = np.repeat(np.arange(len(pieces)), np.diff(first))
+            joined = np.append(False, good[1:] & good[:-1] & (own[1:] == own[:-1]))
+            edge = np.diff(np.append(joined, False).astype(np.int8), prepend=0)
+            begin, stop = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1) - 1
+            longer: dict[bytes, int] = defaultdict(int)
+            for a, b, w in zip(start[at[begin]].tolist(), end[at[stop] + k - 1].tolist(), each[begin].tolist()):
+                longer[data[a:b]] += w
+            n, none = len(longer), pa.nulls
+            out.append(pa.table([pa.array([part] * n, pa.int32()), pa.array([lang] * n, pa.string()), pa.array(list(longer), pa.binary()).cast(pa.string()), pa.array(list(longer.values()), pa.int64()), none(n, pa.int32()), none(n, pa.list_(pa.string())), none(n, pa.list_(pa.int64()))], names=_NAMES))
+        return pa.concat_tables([t.cast(_KEPT) for t in out]) if out else _KEPT.empty_table()
+
+    left, right = stretches.repartition(parts, "part"), found.repartition(parts, "part")
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(cut, KEPT)
+
+
+_KEPT = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("piece", pa.string()), ("weight", pa.int64()), ("bucket", pa.int32()), ("grams", pa.list_(pa.string())), ("weights", pa.list_(pa.int64()))])
+_NAMES = _KEPT.names
+
+
+def exact(listed: DataFrame, k: int, buckets: int, least: int) -> DataFrame:
+    """lang, gram, k, f of the n-grams that occur `least` times or more, added up by their words."""
+
+    def run(batches):
+        yield from in_duckdb(
+            batches, "lang varchar, gram varchar, w bigint", "insert into asked select lang, unnest(grams), unnest(weights) from rows",
+            "select lang, gram, sum(w)::bigint as f from asked group by lang, gram having sum(w) >= {least}", least,
+        )
 
-    left, right = stretches.repartition(parts, "part"), found.select("part", "lang", "gram").repartition(parts, "part")
-    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(cut, "part int, lang string, piece string, weight bigint")
+    dealt = listed.select("bucket", "lang", "grams", "weights").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "lang string, gram string, f bigint").select("lang", "gram", F.lit(k).alias("k"), "f")
 
 
 def counted(docs: DataFrame, least: int, most: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
@@ -163,14 +221,14 @@ def counted(docs: DataFrame, least: int, most: int, scratch: common.Scratch) ->
     totals = scratch.keep(stretches.groupBy("lang").agg(F.sum(words.cast("bigint") * F.col("weight")).alias("n")), "totals")
     levels = []
     for k in range(1, most + 1):
-        found = scratch.keep(answers(requests(stretches, k), buckets, least), "counts")
-        levels.append(found.where("first").select("lang", "gram", F.lit(k).alias("k"), "f"))
-        if k < most:
-            stretches = scratch.keep(surviving(stretches, found, k, parts), "stretches")
+        found = scratch.keep(answers(requests(stretches, k, buckets), buckets, least), "answers")
+        kept = scratch.keep(surviving(stretches, found, k, k == most, parts, buckets), "stretches")
+        levels.append(scratch.keep(exact(kept.where("bucket is not null"), k, buckets, least), "counts"))
+        stretches = kept.where("piece is not null").select("part", "lang", "piece", "weight")
     every = levels[0]
     for level in levels[1:]:
         every = every.union(level)
-    return totals, scratch.keep(every, "grams")
+    return totals, every
 
 
 def scored(totals: DataFrame, counts: DataFrame) -> DataFrame:
