@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wegloom.functions import constants as C
 from wegloom.functions import geo, tags, text
-from wegloom.operators import catalog, costs, hospitals, network, origin, places, poi, search, turns
+from wegloom.operators import catalog, costs, hospitals, network, origin, places, poi, polygons, search, turns
 from wegloom.operators.components import components
 from wegloom.plans import kernel
 from wegloom.sources import files, osm_pbf
@@ -398,7 +398,7 @@ def test_areas(spark):
     members = spark.createDataFrame([(4, 1, 2, "outer"), (4, 1, 3, "balcony"), (5, 1, 2, "outer")], "id bigint, mtype int, mid bigint, role string")
     refs = spark.createDataFrame([(2, i, n) for i, n in enumerate([1, 10, 11, 1])] + [(3, 0, 1), (3, 1, 10)], "way bigint, pos int, node bigint")
     at = spark.createDataFrame([(1, 0.0, 0.0), (10, 1.0, 0.0), (11, 1.0, 1.0)], "node bigint, x double, y double")
-    good, bad = poi.areas(objects, members, refs, at)
+    good, bad = polygons.areas(objects, members, refs, at)
     assert {r["id"]: len(r["rings"][0]) for r in good.collect()} == {1: 1, 2: 4, 4: 4}
     assert {r["id"]: r["reason"] for r in bad.collect()} == {3: "open_way_not_area", 5: "relation_not_multipolygon", 99: "missing_nodes"}
 
@@ -426,19 +426,3 @@ def test_files_and_stream(spark, tmp_path):
         files.stage(df, str(tmp_path / "s"), {"size": 2})
     files.archive(df, str(tmp_path / "a"))
     assert spark.read.parquet(str(tmp_path / "a" / "latest")).count() == 3
-
-
-def test_sites_along_outlines(spark):
-    ring = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0), (0.0, 0.0)]
-    rows = [("school", [ring]), ("school", [[(5000.0, 5000.0)]]), ("other", [ring]), ("school", None), ("school", [[]])]
-    features = spark.createDataFrame(rows, "kind string, rings array<array<struct<x:double,y:double>>>")
-    sites = poi.centres(features)
-    got = sites.collect()
-    assert sum(r["kind"] == "school" for r in got) == 160 + 1  # 25 m apart on 4 km
-    assert sorted((r["x"], r["y"]) for r in got if r["kind"] == "other") == sorted(set(ring))
-    # across the middle of a side, along it and at its distance, and out of reach
-    lines = [(1, 500.0, -500.0, 500.0, 300.0), (2, 300.0, -99.0, 700.0, -99.0), (3, 300.0, -101.0, 700.0, -101.0)]
-    edges = spark.createDataFrame([(i, a, b, c, d, math.hypot(c - a, d - b), False) for i, a, b, c, d in lines], "id int, ax double, ay double, bx double, by double, length_m double, separated boolean")
-    covered = {r["id"]: r["covered"] for r in poi.exposure(edges, sites).collect()}
-    assert 0.992 * 200 <= covered[1] <= 200 + 1e-6
-    assert covered[2] == pytest.approx(400) and 3 not in covered

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wegloom.functions import constants as C
 from wegloom.functions import geo, tags
+from wegloom.operators import zones
 from wegloom.operators.components import components
 from wegloom.plans.shared import materialize
 
@@ -93,11 +94,23 @@ def split_restrictions(restrictions: DataFrame, ways: DataFrame) -> tuple[DataFr
     return rules, audit
 
 
-def build_edges(ways: DataFrame, nodes: DataFrame, banned: DataFrame | None = None, inside: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(edges, audit counts). ways: allowed ways (id, refs, tags); nodes: id, x, y, tags; banned: way ids."""
+def in_region(placed: DataFrame, index: DataFrame, reach: float) -> DataFrame:
+    """Located segments with `covered`: whether all of a segment is in a region or within `reach` of it (the index of
+    zones.region_index). Segments with a missing end are not covered."""
+    ends = [F.col(c).alias(n) for c, n in (("ax", "x0"), ("ay", "y0"), ("bx", "x1"), ("by", "y1"))]
+    found = zones.covered(placed.select("way_id", "segment_index", *ends), index, reach, ["way_id", "segment_index"])
+    return placed.join(found.withColumn("covered", F.lit(True)), ["way_id", "segment_index"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def build_edges(ways: DataFrame, nodes: DataFrame, banned: DataFrame | None = None, inside: Column | None = None, region: tuple[DataFrame, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, audit counts). ways: allowed ways (id, refs, tags); nodes: id, x, y, tags; banned: way ids; region: index
+    and reach as for in_region, segments outside are dropped, or else inside: a condition of one's own."""
     if banned is not None:
         ways = ways.join(banned.select("id").distinct(), "id", "left_anti")
-    whole = located(segments(ways), nodes).withColumn("reason", segment_reason(inside))
+    placed = located(segments(ways), nodes)
+    if region is not None:
+        placed, inside = materialize(in_region(placed, *region), "placed"), F.col("covered")
+    whole = placed.withColumn("reason", segment_reason(inside))
     rows = directed(whole.where("reason is null").drop("reason"))
     audit = whole.where("reason is not null").select("reason").union(rows.where("reason = 'edge_unparsed_maxspeed'").select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return edge_columns(rows.where("reason is null")), audit

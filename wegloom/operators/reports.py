@@ -20,7 +20,7 @@ def unresolved_review(unresolved: DataFrame, members: DataFrame, way_refs: DataF
     """unresolved (osm_type, id, ...) with vertices (how many of its nodes have a place) and review: 'in_region' if any
     of them is inside, 'elsewhere' if none is, 'unknown' without any.
 
-    members, way_refs, locations: as in poi.areas; inside: condition on the columns x and y of a place. A repeated
+    members, way_refs, locations: as in polygons.areas; inside: condition on the columns x and y of a place. A repeated
     object is reviewed each time that it occurs.
     """
     of = lambda kind: unresolved.where(F.col("osm_type") == kind).select("osm_type", "id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +72,13 @@ def saved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, x, y from suppliers."""
+    return sites_of(table(spark, sf_dir, "supplier")).select("kind", "x", "y")
+
+
+def sites_of(suppliers: DataFrame) -> DataFrame:
     s = F.col("s_suppkey")
     kind = F.element_at(F.array(F.lit("school"), F.lit("market"), F.lit("mall")), F.col("s_nationkey") % 3 + 1)
-    return table(spark, sf_dir, "supplier").select(kind.alias("kind"), ((s * 6151) % 10007).cast("double").alias("x"), ((s * 3079) % 10009).cast("double").alias("y"))
+    return suppliers.select(s, kind.alias("kind"), ((s * 6151) % 10007).cast("double").alias("x"), ((s * 3079) % 10009).cast("double").alias("y"))
 
 
 def shaped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +107,68 @@ def turn_rules(e: DataFrame) -> DataFrame:
     return r.select("from_way", F.when(k == 1, F.col("from_way")).otherwise(F.col("to_way")).alias("to_way"), "via", kind.alias("restriction"))
 
 
+def area_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(objects, members, way_refs, locations) as polygons.areas takes them, from customers: rectangles whose outlines
+    are cut into open ways, of either direction, with holes; and one of every fault, by c_custkey % 19."""
+    c = F.col("c_custkey")
+    k = c % 19
+    x, y, w, h = (c % 1000) * 200, F.floor(c / 1000) * 200, 40 + c % 7 * 10, 30 + c % 5 * 10
+    at = lambda a, b: F.struct(a.cast("bigint").alias("x"), b.cast("bigint").alias("y"))
+
+    def halves(x, y, w, h, role: str):
+        """A rectangle as two open ways, both from the first corner to the third."""
+        a, b, c, d = at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)
+        return [F.struct(F.lit(role).alias("role"), F.array(a, b, c).alias("line")), F.struct(F.lit(role).alias("role"), F.array(a, d, c).alias("line"))]
+
+    def ring(x, y, w, h, role: str):
+        return F.struct(F.lit(role).alias("role"), F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h), at(x, y)).alias("line"))
+
+    one = lambda role, *points: F.struct(F.lit(role).alias("role"), F.array(*points).alias("line"))
+    outer, inner = halves(x, y, w, h, "outer"), halves(x + 5, y + 5, F.lit(10), F.lit(10), "inner")
+    tail = one("outer", at(x + w, y + h), at(x + w + 5, y + h + 5))
+    cases = {
+        0: [*outer, *inner], 1: outer[::-1], 2: [*outer, tail], 3: outer[:1], 4: [*outer, *halves(x + w - 5, y + 5, F.lit(10), F.lit(10), "inner")], 5: [*outer, inner[0]],
+        6: [*outer, ring(x, y, w, h, "inner")], 7: [*outer, one("entrance", at(x, y), at(x + 1, y))], 8: outer, 9: [*outer, one("outer", at(x, y), at(F.lit(-1), F.lit(-1)))], 10: [ring(x, y, w, h, "")],
+        11: [one("", at(x, y), at(x + w, y + h), at(x + w, y), at(x, y + h), at(x, y))], 12: [one("", at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h))], 13: outer, 14: [*outer, ring(x + w / 2, y + h / 2, w, h, "")],
+        15: [*outer, *inner, one("inner", at(x + 15, y + 15), at(x + 17, y + 17))], 16: inner, 17: [], 18: [*outer, ring(x + 1, y + 1, F.lit(3), F.lit(3), "outer"), one("balcony", at(x, y), at(x + 9, y + 9))],
+    }
+    empty = F.array().cast("array<struct<role:string,line:array<struct<x:bigint,y:bigint>>>>")
+    kind = F.when(k == 17, "node").when(k.between(10, 12), "way").otherwise("relation")
+    customers = table(spark, sf_dir, "customer")
+    parts = [customers.where(k == i).select(c.alias("c"), k.alias("k"), kind.alias("osm_type"), x.alias("x"), y.alias("y"), (F.array(*v) if v else empty).alias("lines")) for i, v in cases.items()]
+    d = materialize(functools.reduce(DataFrame.union, parts), "areas")
+    node = lambda p: p["x"] * 10_000_000 + p["y"]
+    way = d.select("c", "osm_type", "k", F.posexplode("lines").alias("j", "l"))
+    way_id = F.when(F.col("osm_type") == "way", F.col("c")).otherwise(-(F.col("c") * 10 + F.col("j")))
+    objects = d.select("osm_type", F.when(F.col("k") == 17, F.col("x") * 10_000_000 + F.col("y")).otherwise(F.col("c")).alias("id"), F.element_at(F.array(F.lit("school"), F.lit("market"), F.lit("mall")), (F.col("c") % 3 + 1).cast("int")).alias("kind"), F.col("c").cast("string").alias("name"), tag_map(type=F.when(F.col("k") == 13, "site").otherwise("multipolygon")).alias("tags"))
+    members = way.where("osm_type = 'relation'").select(F.col("c").alias("id"), F.lit(1).alias("mtype"), way_id.alias("mid"), F.col("l.role").alias("role"), F.col("j").alias("pos"))
+    members = members.unionByName(d.where("k = 8").select(F.col("c").alias("id"), F.lit(2).alias("mtype"), F.col("c").alias("mid"), F.lit("outer").alias("role"), F.lit(9).alias("pos")))
+    refs = way.select(way_id.alias("way"), F.posexplode("l.line").alias("pos", "p")).select("way", "pos", node(F.col("p")).alias("node"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    own = d.where("k = 17").select((F.col("x") * 10_000_000 + F.col("y")).alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    locations = refs.where("px >= 0").select("node", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y")).union(own).distinct()
+    return objects, members, refs.select("way", "pos", "node"), locations
+
+
+def wide_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, rings from suppliers: rectangles, most of them wider than their kind's radius."""
+    s = F.col("s_suppkey")
+    w, h = (200 + s % 7 * 150).cast("double"), (150 + s % 5 * 200).cast("double")
+    d = sites_of(table(spark, sf_dir, "supplier")).withColumns({"w": w, "h": h})
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    ring = F.array(at(x, y), at(x + F.col("w"), y), at(x + F.col("w"), y + F.col("h")), at(x, y + F.col("h")), at(x, y))
+    return d.select("kind", F.array(ring).alias("rings"))
+
+
+REGION, REGION_REACH = (2000.0, 2500.0, 7000.0, 8000.0), 700.0
+
+
+def region(spark: SparkSession) -> DataFrame:
+    """One rectangle."""
+    x0, y0, x1, y1 = REGION
+    return spark.createDataFrame([([[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]],)], "rings array<array<struct<x:double,y:double>>>")
+
+
 _CASES = "\n".join(f"        WHEN '{k}' THEN '{v}'" for k, v in CLASSES.items())
 #: The same tables in SQL: nodes, ways, refs, seg, policy, edges.
 SQL = f"""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wegloom.functions import constants as C
 from wegloom.functions import geo, tags, text
-from wegloom.operators import catalog, costs, hospitals, network, places, poi, reports, search, turns
+from wegloom.operators import catalog, costs, hospitals, network, places, poi, polygons, reports, search, turns, zones
 from wegloom.plans import derived as D
 from wegloom.plans import kernel
 from wegloom.plans.shared import materialize
@@ -394,3 +394,42 @@ def graph_faults(spark: SparkSession, sf: str) -> DataFrame:
     e = e.withColumns({"highway": F.when(F.col("way_id") % 11 == 5, "lane").otherwise(F.col("highway")), "length_m": F.when(i == 3, F.col("length_m") * 0.5).when(i == 5, -F.col("length_m")).otherwise(F.col("length_m"))})
     n = D.nodes(spark, sf).withColumn("x", F.when(F.col("id") % 37 == 4, float("nan")).otherwise(F.col("x")))
     return network.graph_faults(e.unionByName(e.where("way_id % 13 = 1")), n).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS c, c_custkey % 19 AS k, (40 + c_custkey % 7 * 10) * (30 + c_custkey % 5 * 10) AS whole FROM customer)
+    SELECT c::VARCHAR AS name, CASE WHEN k = 17 THEN 'node' WHEN k BETWEEN 10 AND 12 THEN 'way' ELSE 'relation' END AS osm_type,
+    CASE k WHEN 2 THEN 'unclosed_outer_fragment' WHEN 3 THEN 'outer_does_not_close' WHEN 4 THEN 'inner_outside_outer' WHEN 5 THEN 'inner_does_not_close' WHEN 6 THEN 'invalid_geometry' WHEN 7 THEN 'unknown_role' WHEN 8 THEN 'nested_relation' WHEN 9 THEN 'missing_nodes' WHEN 11 THEN 'invalid_geometry' WHEN 12 THEN 'open_way_not_area' WHEN 13 THEN 'relation_not_multipolygon' WHEN 15 THEN 'unclosed_inner_fragment' WHEN 16 THEN 'no_outer' END AS reason,
+    round(CASE k WHEN 0 THEN whole - 100 WHEN 1 THEN whole WHEN 10 THEN whole WHEN 14 THEN 2 * whole - whole / 4.0 WHEN 17 THEN 0 WHEN 18 THEN whole END::DOUBLE, 3) AS area, CASE WHEN k = 0 THEN 2 WHEN k IN (1, 10, 14, 17, 18) THEN 1 END::INTEGER AS rings FROM c""", base=False)
+def area_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas built from open ways, holes and parts that overlap, with their square metres; or why they are none."""
+    good, bad = polygons.areas(*D.area_objects(spark, sf))
+    rows = good.select("name", "osm_type", F.lit(None).cast("string").alias("reason"), F.round(polygons.area(F.col("rings")), 3).alias("area"), F.size("rings").alias("rings"))
+    return rows.unionByName(bad.select("name", "osm_type", "reason", F.lit(None).cast("double").alias("area"), F.lit(None).cast("int").alias("rings")))
+
+
+#: A rectangle's zone is convex: two boxes and four discs cover it, and what they cut out of an edge is one interval.
+@query("""site AS (SELECT s_suppkey AS s, CASE s_nationkey % 3 WHEN 0 THEN 'school' WHEN 1 THEN 'market' ELSE 'mall' END AS kind, CASE s_nationkey % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 150.0 ELSE 200.0 END::DOUBLE AS r, ((s_suppkey * 6151) % 10007)::DOUBLE AS x0, ((s_suppkey * 3079) % 10009)::DOUBLE AS y0, 200 + s_suppkey % 7 * 150 AS w, 150 + s_suppkey % 5 * 200 AS h FROM supplier),
+at_grade AS (SELECT id, length_m, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM edges WHERE NOT separated),
+disc AS (SELECT e.id, length_m, kind, s, dx * dx + dy * dy AS a, (ax - x0 - i * w) * dx + (ay - y0 - j * h) * dy AS b, (ax - x0 - i * w) ** 2 + (ay - y0 - j * h) ** 2 - r * r AS c FROM at_grade e, site, (VALUES (0), (1)) t(i), (VALUES (0), (1)) u(j)),
+slab AS (SELECT e.id, length_m, kind, s, greatest(CASE WHEN dx = 0 THEN CASE WHEN ax BETWEEN x0 - p AND x0 + w + p THEN 0 ELSE 2 END ELSE least((x0 - p - ax) / dx, (x0 + w + p - ax) / dx) END, CASE WHEN dy = 0 THEN CASE WHEN ay BETWEEN y0 - q AND y0 + h + q THEN 0 ELSE 2 END ELSE least((y0 - q - ay) / dy, (y0 + h + q - ay) / dy) END) AS lo,
+    least(CASE WHEN dx = 0 THEN 1 ELSE greatest((x0 - p - ax) / dx, (x0 + w + p - ax) / dx) END, CASE WHEN dy = 0 THEN 1 ELSE greatest((y0 - q - ay) / dy, (y0 + h + q - ay) / dy) END) AS hi FROM at_grade e, (SELECT *, r AS p, 0 AS q FROM site UNION ALL SELECT *, 0, r FROM site)),
+part AS (SELECT id, length_m, kind, s, greatest(0.0, lo) AS lo, least(1.0, hi) AS hi FROM slab UNION ALL SELECT id, length_m, kind, s, greatest(0.0, (-b - sqrt(b * b - a * c)) / a), least(1.0, (-b + sqrt(b * b - a * c)) / a) FROM disc WHERE b * b > a * c),
+cut AS (SELECT id, any_value(length_m) AS length_m, kind, min(lo) AS lo, max(hi) AS hi FROM part WHERE hi > lo GROUP BY id, kind, s),
+gaps AS (SELECT *, greatest(0.0, hi - greatest(lo, coalesce(max(hi) OVER (PARTITION BY id, kind ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo))) AS new FROM cut),
+exposed AS (SELECT id, kind, least(1.0, sum(new)) * any_value(length_m) AS covered FROM gaps GROUP BY id, kind)
+SELECT id, kind, round(covered, 3) AS covered FROM exposed WHERE covered > 0.01""")
+def area_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """Metres of each edge inside areas or within their kind's radius of them."""
+    return zones.exposure(D.shaped_edges(spark, sf), D.wide_areas(spark, sf), poi.radii(spark)).where("covered > 0.01").select("id", "kind", F.round("covered", 3).alias("covered"))
+
+
+_OUT = " OR ".join(f"sqrt(greatest({x0} - {x}, 0, {x} - {x1}) ** 2 + greatest({y0} - {y}, 0, {y} - {y1}) ** 2) > {D.REGION_REACH}" for x0, y0, x1, y1 in [D.REGION] for x, y in (("ax", "ay"), ("bx", "by_")))
+
+
+#: What is within reach of a rectangle is convex: a segment is covered if its ends are.
+@query(f"""far AS (SELECT *, {_OUT} AS outside FROM placed) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN shut THEN 'barrier_or_node_access' WHEN outside THEN 'outside_buffer' WHEN length_m <= 0 THEN 'zero_length' END AS reason FROM far) WHERE reason IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'edge_unparsed_maxspeed', count(*) FROM dirs WHERE c % 7 = 2 AND NOT ({_OUT}) HAVING count(*) > 0""")
+def region_drop_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Why segments are dropped where the network is cut to a region with all that is within its reach."""
+    index = zones.region_index(D.region(spark), D.REGION_REACH)
+    return network.build_edges(D.allowed_ways(spark, sf), D.nodes(spark, sf), region=(index, D.REGION_REACH))[1]
