@@ -119,8 +119,8 @@ def revisits(pages: DataFrame) -> DataFrame:
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     keys = p.select("page_id", "digest", F.octet_length("html").alias("size"))
     first = keys.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = keys.where(F.col("size") >= LEAST).join(first, "digest").where("page_id > first").groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    return p.join(later, "page_id", "left")
+    later = keys.where(F.col("size") >= LEAST).join(first, "digest").where("page_id > first").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
+    return p.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -199,8 +199,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     record_type, refers_to.
 
     A null html is an empty payload, a null url becomes a URN of the page_id, payloads below LEAST bytes are never
-    revisits, an empty table gives no rows; other columns are not read. A repeated page_id with the same payload gives
-    response records for each row of the smallest page_id. A row without page_id is a response of its own (its record has
+    revisits, an empty table gives no rows; other columns are not read. Rows of a repeated page_id are judged each by
+    its own payload; with the same payload all rows of the smallest page_id are responses. A row without page_id is a response of its own (its record has
     the id urn:page:none) and no other row refers to it. A revisit whose response isn't there is an error.
     """
     records = common.materialize(read(write(pages)).drop("url", "record_id"), "records")
