@@ -22,11 +22,14 @@ CLAUSE_END = r"[.,;:!?\n]+"
 
 
 def paragraph_words(text: Column) -> Column:
-    """Array of WORDS sums modulo 2**32 over the text's lines; empty lines don't count."""
+    """Array of WORDS sums modulo 2**32 over the text's lines; empty lines don't count.
+
+    The word's number is hashed first and so seeds the hash of the line: the words are hashes of the line's own bytes
+    each, so lines that meet in one word don't meet in the others."""
     lines = F.filter(F.split(text, "\n"), lambda p: p != "")
 
     def add(sums: Column, p: Column) -> Column:
-        return F.array(*[(sums[j] + F.xxhash64(p, F.lit(j)).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)) for j in range(WORDS)])
+        return F.array(*[(sums[j] + F.xxhash64(F.lit(j), p).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)) for j in range(WORDS)])
 
     return F.aggregate(lines, F.array(*[F.lit(0).cast("bigint")] * WORDS), add)
 
