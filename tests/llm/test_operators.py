@@ -162,6 +162,14 @@ def test_warc(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_of_repeated_pages(spark):
+    rows = [(3, "x" * 200), (7, "x" * 200), (7, "y" * 150), (8, "y" * 150), (3, "x" * 200), (7, "z")]
+    got = warc.round_trip(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id bigint, url string, html string")).collect()
+    own = lambda c: hashlib.sha256(c.encode()).hexdigest()
+    want = [(3, own("x" * 200), "response", None), (3, own("x" * 200), "response", None), (7, own("x" * 200), "revisit", 3), (7, own("y" * 150), "response", None), (7, own("z"), "response", None), (8, own("y" * 150), "revisit", 7)]
+    assert sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(want)
+
+
 def test_warc_files(spark, tmp_path):
     raw = b"".join(warc.record(i, None, b"x" * i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(5))
     (tmp_path / "a.warc.gz").write_bytes(raw)
@@ -323,7 +331,18 @@ def test_minhash_of_odd_rows(spark):
     d = spark.createDataFrame([(None, t), (5, t), (9, t), (9, "quite other words here and there too"), (7, t + " end"), (8, None)], "doc_id bigint, text string")
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d).collect())
     assert got == [(0, 26, None, True), (5, 26, 5, True), (7, 27, 5, False), (8, 0, 8, True), (9, 3, 9, True), (9, 26, 5, False)]
-    assert sorted(r["doc_id"] or 0 for r in minhash.keep_first(d).collect()) == [0, 5, 8]
+    # the other text of document 9 is in no group: it stays
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in minhash.keep_first(d).collect()) == [(0, len(t)), (5, len(t)), (8, 0), (9, 36)]
+
+
+def test_minhash_of_repeated_ids(spark):
+    """Two classes whose first document is the same one, and rows that are there several times."""
+    t = " ".join(f"w{i}" for i in range(30))
+    other = "quite other words here and there too"
+    d = spark.createDataFrame([(5, t), (9, t + " end"), (9, other), (9, other), (12, other + " x"), (9, t + " end")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d).collect())
+    assert got == [(5, 26, 5, True), (9, 3, 9, True), (9, 3, 9, True), (9, 27, 5, False), (9, 27, 5, False), (12, 4, 12, True)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_first(d).collect()) == sorted([(5, t), (9, other), (9, other), (12, other + " x")])
 
 
 def test_fingerprints(docs, rows, nothing):
@@ -351,7 +370,7 @@ def plain_fingerprint(t):
 
     import xxhash
 
-    words = [sum(xxhash.xxh64(struct.pack("<i", j), seed=xxhash.xxh64(p.encode(), seed=42).intdigest()).intdigest() for p in t.split("\n") if p) % 2**32 for j in range(fingerprints.WORDS)]
+    words = [sum(xxhash.xxh64(p.encode(), seed=xxhash.xxh64(struct.pack("<i", j), seed=42).intdigest()).intdigest() for p in t.split("\n") if p) % 2**32 for j in range(fingerprints.WORDS)]
     clauses = [c.strip(" ") for c in re.split(r"[.,;:!?\n]+", t)]
     hashes = [xxhash.xxh64(c.encode(), seed=42).intdigest() for c in clauses if c]
     return words, np.array([sum(1 if h >> i & 1 else -1 for h in hashes) for i in range(64)], float)

@@ -1,6 +1,6 @@
 """Near duplicates by an inverted join on signature coordinates.
 
-Texts with equal shingle sets are one class, of which the smallest doc_id stands for all. A class is posted under POSTED
+Texts with equal shingle sets are one class, told by the set's digest and numbered (rep). A class is posted under POSTED
 of its signature's pairs of coordinate and value (the prefix). Within a posting list of up to SHORT classes every pair
 collides once; collisions are counted per pair. Skip merging: the coordinates that were not posted, or are in longer
 lists, are looked up in the signatures, and only for pairs whose count, with all of them equal, would reach matches().
@@ -53,6 +53,10 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def digest_of(own: np.ndarray) -> str | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """The smallest 64-bit value of each set under each coordinate's hash; zeros for an empty set.
 
@@ -69,17 +73,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null: empty), signature (array of coordinates)."""
+    """doc_id, row (hash of the text), n_shingles, digest of the set (null: empty), signature (array of coordinates)."""
 
     def run(batches):
         for batch in common.slices(batches, most=4 << 20):
             sets = shingle_sets(common.texts_of(batch), k)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+            digests = [digest_of(s) for s in sets]
             sig = signatures(sets).view(np.int64)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), rows], ["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), rows], ["doc_id", "row", "n_shingles", "digest", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest string, signature array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, digest string, signature array<bigint>")
 
 
 def matches(like: int = LIKE) -> int:
@@ -168,16 +172,21 @@ def verified(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep, set (sorted 64-bit hashes) of the wanted documents."""
+    """rep, set (sorted 64-bit hashes) of the wanted classes (rep, first: a document of theirs, digest).
+
+    A document's rows with other texts are told by the digest; repeated rows count once.
+    """
 
     def run(batches):
         for batch in common.slices(batches, most=4 << 20):
-            sets = [s.tobytes() for s in shingle_sets(common.texts_of(batch), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "set"])
+            sets = shingle_sets(common.texts_of(batch), k)
+            mine = pa.array([digest_of(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"]).filter(mine)
 
     # the same join at every size of `wanted`
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "rep bigint, set binary")
+    texts = docs.select("doc_id", "text").join(wanted.select(F.col("first").alias("doc_id"), "rep", "digest").hint("shuffle_hash"), "doc_id")
+    once = texts.withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "rep", "row"])
+    return once.select("rep", "digest", "text").mapInArrow(run, "rep bigint, set binary")
 
 
 def block_links(left: pa.Table, right: pa.Table, like: int = LIKE) -> pa.Table:
@@ -242,7 +251,8 @@ def unconnected(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
-    """node, component over the classes that are linked with another one. reps: rep, n, signature."""
+    """node, component over the classes that are linked with another one. reps: rep, n, signature, first, digest."""
+    named = reps.select("rep", "first", "digest")
     tables = common.Scratch(docs.sparkSession)
     step = tables.keep
     posts = postings(reps)
@@ -256,7 +266,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, like: int =
     raw = reaching(collisions(known.where(F.col("m") <= SHORT), like), long, like).union(collisions(deep.where(F.col("m") <= SHORT), like).select("a", "b")).union(pivot_pairs(crowded, like))
     pairs = step(alike(raw, reps, like), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    sets = step(full_sets(docs, ends.union(crowded.select("rep")).distinct(), k), "sets")
+    sets = step(full_sets(docs, named.join(ends.union(crowded.select("rep")).distinct(), "rep", "left_semi"), k), "sets")
     links = step(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, like), "links")
     comps = components(links)
     more = step(verified(unconnected(pairs, comps), sets, like), "links")
@@ -270,6 +280,22 @@ def link_classes(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, like: int =
     return comps
 
 
+def judged(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept for every row."""
+    all_signed = common.materialize(signed(docs, k), "signed")
+    some = all_signed.where("digest is not null and doc_id is not null")
+    grouped = some.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = common.materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    comps = link_classes(docs, classes.select("rep", "n", "signature", "first", "digest"), k, like)
+    linked = classes.select("rep", "first").join(comps.select(F.col("node").alias("rep"), "component"), "rep")
+    least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component")
+    # only classes with copies or links change their documents' component
+    of_class = classes.select("digest", "rep", "copies", "first").join(least.select("rep", "least"), "rep", "left").where("copies > 1 or least is not null")
+    own = of_class.select("digest", F.coalesce("least", "first").alias("component"))
+    out = all_signed.select("doc_id", "row", "n_shingles", "digest").join(own, "digest", "left").select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document; linked are those alike by `like` per cent or more.
 
@@ -277,19 +303,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> Data
     the smallest doc_id. Rows with the same doc_id are judged each by its own text; a row without doc_id is linked with
     nothing, has a null component_id and is kept. An empty table gives no rows. Other columns of docs are not read.
     """
-    all_signed = common.materialize(signed(docs, k), "signed")
-    some = all_signed.where("digest is not null and doc_id is not null")
-    classes = common.materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    comps = link_classes(docs, classes.select("rep", "n", "signature"), k, like)
-    # only classes with copies or links change their documents' component
-    of_class = classes.select("digest", "rep", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")
-    own = of_class.select("digest", F.coalesce("component", "rep").alias("component"))
-    out = all_signed.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return judged(docs, k, like).drop("row")
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, like: int = LIKE) -> DataFrame:
-    """docs, with all their columns, without the documents that aren't the first of their group (with all rows of a
-    doc_id that has such a one); rows without doc_id stay."""
-    later = near_duplicates(docs, k, like).where("not kept").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """docs, with all their columns, without the rows that aren't of the first document of their group; a row is told by
+    doc_id and text, so another text under the same doc_id stays, and so do rows without doc_id."""
+    later = judged(docs, k, like).where("not kept").select(F.col("doc_id").alias("_later"), F.col("row").alias("_row")).distinct()
+    return docs.join(later, (docs["doc_id"] == F.col("_later")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left_anti")
