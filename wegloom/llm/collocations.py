@@ -50,7 +50,8 @@ def pieces(docs: DataFrame, parts: int) -> DataFrame:
 
     cut = docs.select("lang", "text").mapInArrow(run, "lang string, piece string, weight bigint")
     dealt = cut.select(F.pmod(F.xxhash64("lang", "piece"), F.lit(parts)).cast("int").alias("part"), "lang", "piece", "weight").repartition(parts, "part")
-    return dealt.groupBy("part", "lang", "piece").agg(F.sum("weight").alias("weight"))
+    # rows of a part have to follow one another in the files
+    return dealt.groupBy("part", "lang", "piece").agg(F.sum("weight").alias("weight")).sortWithinPartitions("part")
 
 
 def by_key(batches, key: str):
