@@ -29,7 +29,7 @@ from wegloom.llm.words import LOWER, Words
 
 LEAST, MOST, TOP = 100, 5, 2000
 PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]+")
-PART_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+PART_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
 
 
 def pieces(docs: DataFrame, parts: int) -> DataFrame:
@@ -124,7 +124,7 @@ def in_duckdb(batches, make: str, insert: str, answer: str, least: int):
         con.execute(f"create or replace temp table asked ({make})")
 
     # scratch space of a task, as the spill of an aggregation is; gone when the task ends
-    with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill, "preserve_insertion_order": False}) as con:
+    with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": spill, "preserve_insertion_order": False}) as con:
         for _, rows in by_key(batches, "bucket"):
             fresh(con)
             con.register("rows", rows)
@@ -215,8 +215,9 @@ def exact(listed: DataFrame, k: int, buckets: int, least: int) -> DataFrame:
 
 def counted(docs: DataFrame, least: int, most: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """lang, n (word occurrences); and lang, gram, k, f of all n-grams of up to `most` words with f >= least."""
-    parts = common.parts_for(docs, PART_BYTES)
-    buckets = common.parts_for(docs, BUCKET_BYTES)
+    # by bytes alone: a part sends a row to each bucket, as long as it has that many n-grams
+    size = common.text_bytes(docs)
+    parts, buckets = max(1, -(-size // PART_BYTES)), max(1, -(-size // BUCKET_BYTES))
     stretches = scratch.keep(pieces(docs, parts), "pieces")
     words = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
     totals = scratch.keep(stretches.groupBy("lang").agg(F.sum(words.cast("bigint") * F.col("weight")).alias("n")), "totals")
