@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wegloom.functions import constants as C
-from wegloom.functions import tags, text
+from wegloom.functions import geo, tags, text
+from wegloom.plans.shared import Scratch, materialize
 
 
 def candidates(objects: DataFrame, members: DataFrame, way_refs: DataFrame, locations: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
@@ -37,38 +40,70 @@ def audited(found: DataFrame) -> DataFrame:
     """osm_type, id, name, lon, lat, decision, reason, merged_into, distance_m for every candidate.
 
     In the order relation, way, node and then of the id as text, an included hospital with the canonical name of an
-    earlier keeper within 250 m is its duplicate; a duplicate is no keeper. Keepers of one name are few: a name's rows
-    are gone through in one task.
+    earlier keeper within 250 m is its duplicate, of the first such keeper; a duplicate is no keeper.
     """
     d = found.withColumns({"name": tags.tag(F.col("tags"), "name"), "_c": text.classify_hospital(F.col("tags"), F.col("boundary_review"))})
     d = d.select("osm_type", F.col("id").cast("string").alias("id"), "name", "lon", "lat", F.col("_c.decision").alias("decision"), F.col("_c.reason").alias("reason"))
+    d = materialize(d, "hospitals")
     names = d.where("decision = 'include'").withColumn("key", text.canonical(F.col("name")))
-    merged = names.groupBy("key").applyInPandas(greedy, "osm_type string, id string, merged_into string, distance_m double")
-    out = d.join(merged, ["osm_type", "id"], "left")
+    out = d.join(duplicates(names), ["osm_type", "id"], "left")
     again = F.col("merged_into").isNotNull()
     return out.withColumns({"decision": F.when(again, "duplicate").otherwise(F.col("decision")), "reason": F.when(again, "same name within 250 m").otherwise(F.col("reason"))})
 
 
-def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    import numpy as np
-
-    rank = rows["osm_type"].map({"relation": 0, "way": 1, "node": 2})
-    rows = rows.assign(_r=rank).sort_values(["_r", "id"]).reset_index(drop=True)
-    lon, lat = np.radians(rows["lon"].to_numpy(float)), np.radians(rows["lat"].to_numpy(float))
-    keep: list[int] = []
-    into, gap = [None] * len(rows), [None] * len(rows)
-    for i in range(len(rows)):
-        if keep:
-            k = np.array(keep)
-            q = np.sin((lat[k] - lat[i]) / 2) ** 2 + np.cos(lat[k]) * np.cos(lat[i]) * np.sin((lon[k] - lon[i]) / 2) ** 2
-            far = C.EARTH_M * 2 * np.arcsin(np.minimum(1, np.sqrt(q)))
-            close = np.flatnonzero(far <= C.DUPLICATE_M)
-            if len(close):
-                j = keep[int(close[0])]
-                into[i], gap[i] = f"{rows['osm_type'][j]}/{rows['id'][j]}", float(round(far[close[0]], 2))
-                continue
-        keep.append(i)
-    return pd.DataFrame({"osm_type": rows["osm_type"], "id": rows["id"], "merged_into": into, "distance_m": pd.Series(gap, dtype="float64")})
+def close_pairs(rows: DataFrame, reach: float = C.DUPLICATE_M) -> DataFrame:
+    """a, b, metres: rows (key, me, lon, lat) of one key within reach, a before b.
+
+    They meet in a grid of degrees: a cell is at least `reach` high, and as wide as it is at the row's latitude; rows go
+    to their own cell, and to the cells around it on the later one's side.
+    """
+    high = math.degrees(reach / C.EARTH_M) * 1.001
+    band = F.floor(F.col("lat") / high).cast("bigint")
+    # all rows of a band measure longitude alike, by the end of the band and its neighbours that is nearest to a pole
+    def wide(b: Column) -> Column:
+        worst = F.greatest(F.abs(b * high), F.abs((b + 1) * high))
+        return high / F.greatest(F.cos(F.radians(F.least(worst, F.lit(89.9)))), F.lit(1e-3))
+
+    own = rows.select("key", "me", "lon", "lat", band.alias("band")).withColumn("col", F.floor(F.col("lon") / wide(F.col("band"))).cast("bigint"))
+    beside = rows.select("key", F.col("me").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    at = F.floor(F.col("lon2") / wide(F.col("band"))).cast("bigint")
+    beside = beside.withColumn("at", at).withColumn("col", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).drop("at")
+    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
+    met = own.join(beside, ["key", "band", "col"]).where("other < me").withColumn("metres", far).where(F.col("metres") <= reach)
+    return met.select(F.col("other").alias("a"), F.col("me").alias("b"), "metres")
+
+
+def duplicates(names: DataFrame) -> DataFrame:
+    """osm_type, id, merged_into, distance_m of the rows (osm_type, id, key, lon, lat) that repeat an earlier keeper.
+
+    In rounds: a row with an earlier close one that keeps is a duplicate, one whose earlier close ones are all duplicates
+    keeps. The first open row of a chain is decided in every round, and all rows that don't hang together with it besides.
+    """
+    scratch = Scratch(names.sparkSession)
+    rank = F.when(F.col("osm_type") == "relation", 0).when(F.col("osm_type") == "way", 1).otherwise(2)
+    rows = scratch.keep(names.select("osm_type", "id", "key", "lon", "lat", F.struct(rank.alias("rank"), "id").alias("me")), "named")
+    pairs = scratch.keep(close_pairs(rows), "pairs")
+    open_ = scratch.keep(pairs.select(F.col("b").alias("me")).distinct(), "open")
+    decided, fate = [], None
+    while True:
+        seen = Observation()
+        # what isn't open has been decided: a keeper unless it is known as a duplicate
+        gone = functools.reduce(DataFrame.unionByName, decided).where("again") if decided else None
+        state = pairs.join(open_.select(F.col("me").alias("b")), "b", "left_semi").join(open_.select(F.col("me").alias("a"), F.lit(True).alias("waits")), "a", "left")
+        state = state.join(gone.select(F.col("me").alias("a"), "again"), "a", "left") if gone is not None else state.withColumn("again", F.lit(None).cast("boolean"))
+        keeps = F.col("waits").isNull() & F.col("again").isNull()
+        per = state.groupBy(F.col("b").alias("me")).agg(F.bool_or(keeps).alias("hit"), F.bool_or(F.col("waits").isNotNull()).alias("waiting"))
+        fate = scratch.keep(per.where("hit or not waiting").select("me", F.col("hit").alias("again")).observe(seen, F.count(F.lit(1)).alias("n")), "fate")
+        if not seen.get["n"]:
+            break
+        decided.append(fate)
+        open_ = scratch.keep(open_.join(fate, "me", "left_anti"), "open")
+    gone = functools.reduce(DataFrame.unionByName, decided).where("again").select("me") if decided else open_
+    first = pairs.join(gone.withColumnRenamed("me", "b"), "b", "left_semi").join(gone.withColumnRenamed("me", "a"), "a", "left_anti").groupBy(F.col("b").alias("me")).agg(F.min(F.struct("a", "metres")).alias("k"))
+    kind = F.element_at(F.array(F.lit("relation"), F.lit("way"), F.lit("node")), F.col("k.a.rank") + 1)
+    out = materialize(rows.join(first, "me").select("osm_type", "id", F.concat_ws("/", kind, "k.a.id").alias("merged_into"), geo.rounded(F.col("k.metres"), 2).alias("distance_m")), "duplicates")
+    scratch.drop()
+    return out
 
 
 def keepers(audit: DataFrame) -> DataFrame:

@@ -48,6 +48,25 @@ def blocked_frontier(edges: DataFrame, allowed: DataFrame, queries: DataFrame, b
     return there.join(blocked, "u")
 
 
+def breaches(tail: DataFrame, costs: DataFrame, allowed: DataFrame, goals: DataFrame) -> DataFrame:
+    """scenario, kind, n: what keeps the distances to the goals (search.to_goals) from being the least ones.
+
+    They are the least if no turn makes a state cheaper (`shorter`), states at goals cost nothing (`goal`), and every other
+    one costs what its next state and the edge there cost (`parent`). This looks at all turns once, however they were
+    searched.
+    """
+    t = tail.select("scenario", "node", "cost", "parent")
+    w = costs.select("scenario", F.col("id").alias("e2"), "cost_s")
+    far = lambda e, c: t.select("scenario", F.col("node").alias(e), F.col("cost").alias(c))
+    turn = allowed.join(w, "e2").join(far("e2", "ahead"), ["scenario", "e2"]).join(far("e1", "here"), ["scenario", "e1"], "left")
+    shorter = turn.where("here is null or cost_s + ahead < here - 1e-6").select("scenario", F.lit("shorter").alias("kind"))
+    at = costs.join(goals.select(F.col("node").alias("v")).distinct(), "v").select("scenario", F.col("id").alias("node")).join(t, ["scenario", "node"], "left")
+    wrong = at.where("cost is null or cost != 0").select("scenario", F.lit("goal").alias("kind"))
+    on = t.where("cost > 0 or parent is not null").select("scenario", "node", "cost", F.col("parent").alias("e2")).join(w, ["scenario", "e2"], "left").join(far("e2", "ahead"), ["scenario", "e2"], "left")
+    loose = on.where("ahead is null or cost_s is null or abs(cost_s + ahead - cost) > 1e-6").select("scenario", F.lit("parent").alias("kind"))
+    return shorter.union(wrong).union(loose).groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def validation_summary(results: DataFrame) -> DataFrame:
     """scenario, query_pairs, search_runs, unreachable, disagreements, most_states of results of both algorithms
     (query_id, scenario, algorithm, cost_s, expanded_states); two costs agree within 1e-6."""

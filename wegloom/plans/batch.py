@@ -1,4 +1,4 @@
-"""A batch of places by all scenarios: places are looked up by name, moved onto a road, and routed by both algorithms."""
+"""A batch of places by all scenarios: places are looked up by name, moved onto a road, and routed."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from wegloom.functions import constants as C
 from wegloom.functions import geo
 from wegloom.operators import catalog, network, origin, poi, turns
-from wegloom.plans import kernel
-
-#: Sites near the points of a batch that a process may hold.
-MOST_SITES = 1_000_000
 
 
 def located(specs: DataFrame, places: DataFrame) -> DataFrame:
@@ -36,46 +32,32 @@ def origins(points: DataFrame, access: DataFrame) -> DataFrame:
     return d.select("point_id", F.coalesce("x", "px").alias("px"), F.coalesce("y", "py").alias("py"), "to_road_m")
 
 
-def zones(sites: DataFrame, points: DataFrame, reach: float) -> dict[str, list[tuple[float, float, float]]]:
-    """kind: discs (x, y, radius) of the sites that touch what is within reach of a point; refused beyond MOST_SITES."""
-    far = F.lit(reach) + F.col("radius")
-    s = sites.join(F.broadcast(poi.radii(sites.sparkSession)), "kind")
-    cells = geo.cells(F.col("x") - far, F.col("x") + far, F.col("y") - far, F.col("y") + far, C.CELL_M)
-    met = s.withColumn("c", F.explode(cells)).join(points.select(geo.cells(F.col("px"), F.col("px"), F.col("py"), F.col("py"), C.CELL_M)[0].alias("c")).distinct(), "c", "left_semi")
-    near = met.select("kind", "x", "y", "radius").distinct().limit(MOST_SITES + 1).collect()  # one more tells that there are too many
-    if len(near) > MOST_SITES:
-        raise ValueError(f"more than {MOST_SITES} sites near the points: route them in smaller batches")
-    out: dict[str, list] = {}
-    for r in sorted(near):
-        out.setdefault(r["kind"], []).append((r["x"], r["y"], r["radius"]))
-    return out
-
-
-def prepared(points: DataFrame, access: DataFrame, strict: DataFrame, costs: DataFrame, nodes: DataFrame, goals: DataFrame, rules: list[DataFrame], overrides: DataFrame | None = None, sites: DataFrame | None = None, radius: float = C.ACCESS_RADIUS_M, most_gap: float = C.PREPARE_SNAP_M) -> DataFrame:
-    """Routes of points with all that belongs to them: the catalog near them, zones of the sites near them, rules of all
-    sources once, and goals with the overrides. costs: priced with the exposure to the same sites. A graph that is too large to be shared is refused (service.long_route)."""
+def prepared(
+    points: DataFrame, access: DataFrame, strict: DataFrame, costs: DataFrame, goals: DataFrame, rules: list[DataFrame], overrides: DataFrame | None = None, features: DataFrame | None = None,
+    radius: float = C.ACCESS_RADIUS_M, most_gap: float = C.PREPARE_SNAP_M,
+) -> DataFrame:
+    """Routes of points with all that belongs to them: the catalog near them, zones of the features (kind, rings), rules of
+    all sources once, and goals with the overrides. costs: priced with the exposure to the same features."""
     if overrides is not None:
         goals = network.override_goals(goals, overrides, costs)
-    graph = kernel.collect_graph(costs, nodes, goals, turns.merged_rules(*rules) if rules else None)
-    if graph is None:
-        raise ValueError("the graph is too large to be shared")
-    return origin.route_points(points, access, strict, graph, zones(sites, points, radius) if sites is not None else None, radius, most_gap)
+    radii = poi.radii(points.sparkSession) if features is not None else None
+    return origin.route_points(points, access, strict, costs, goals, turns.merged_rules(*rules) if rules else None, features, radii, radius=radius, most_gap=most_gap)
 
 
-def cases(specs: DataFrame, places: DataFrame, access: DataFrame, strict: DataFrame, costs: DataFrame, nodes: DataFrame, goals: DataFrame, rules: list[DataFrame], overrides: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+def cases(specs: DataFrame, places: DataFrame, access: DataFrame, strict: DataFrame, costs: DataFrame, goals: DataFrame, rules: list[DataFrame], overrides: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
     """A row for each spec and scenario, with case ids U01, U02, ... by point_id, from 0 on, and the order of scenarios.
 
     Columns: case_id, location_id, point_id, name, scenario, lat, lon, source, to_road_m, goal, hospital, cost_s,
-    length_m, agree, same_path, status: 'no such place' where neither coordinates nor a place are known.
+    length_m, agree, status: 'no such place' where neither coordinates nor a place are known.
     """
     at = located(specs, places)
     start = origins(at, access)
-    found = prepared(start.select("point_id", "px", "py"), access, strict, costs, nodes, goals, rules, overrides, sites).where("algorithm = 'ucs'")
+    found = prepared(start.select("point_id", "px", "py"), access, strict, costs, goals, rules, overrides, features)
     every = specs.sparkSession.createDataFrame(list(enumerate(C.SCENARIOS)), "ordinal int, scenario string")
     numbered = at.withColumn("n", F.col("point_id") + 1).crossJoin(F.broadcast(every))  # the scenarios are four
-    d = numbered.join(start.select("point_id", "to_road_m"), "point_id", "left").join(found.select("point_id", "scenario", "goal", "hospital", "cost_s", "length_m", "agree", "same_path", F.col("status").alias("_status")), ["point_id", "scenario"], "left")
+    d = numbered.join(start.select("point_id", "to_road_m"), "point_id", "left").join(found.select("point_id", "scenario", "goal", "hospital", "cost_s", "length_m", "agree", F.col("status").alias("_status")), ["point_id", "scenario"], "left")
     label = lambda letter, n: F.concat(F.lit(letter), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), F.lit("0")))
     status = F.when(F.col("source").isNull(), "no such place").otherwise(F.coalesce("_status", F.lit("outside the zone")))
     return d.select(
-        label("U", (F.col("n") - 1) * len(C.SCENARIOS) + F.col("ordinal") + 1).alias("case_id"), label("L", F.col("n")).alias("location_id"), "point_id", "name", "scenario", "lat", "lon", "source", "to_road_m", "goal", "hospital", "cost_s", "length_m", "agree", "same_path", status.alias("status"),
+        label("U", (F.col("n") - 1) * len(C.SCENARIOS) + F.col("ordinal") + 1).alias("case_id"), label("L", F.col("n")).alias("location_id"), "point_id", "name", "scenario", "lat", "lon", "source", "to_road_m", "goal", "hospital", "cost_s", "length_m", "agree", status.alias("status"),
     )

@@ -8,9 +8,8 @@ from pyspark.sql.window import Window
 
 from wegloom.functions import constants as C
 from wegloom.functions import geo, tags, text
-from wegloom.operators import catalog, costs, hospitals, network, places, poi, polygons, reports, search, turns, zones
+from wegloom.operators import catalog, costs, hospitals, network, origin, places, poi, polygons, reports, search, turns, zones
 from wegloom.plans import derived as D
-from wegloom.plans import kernel
 from wegloom.plans.shared import materialize
 
 QUERIES = {}
@@ -212,31 +211,33 @@ def route_paths(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("scenario", "start", F.round(F.col("base_s") + F.col("poi_s") + F.col("signal_s") + F.col("rail_s") + F.coalesce("gate_s", F.lit(0.0)), 3).alias("cost_s"))
 
 
+def _walked(c: DataFrame, allowed: DataFrame, goals: DataFrame, tail: DataFrame) -> DataFrame:
+    """scenario, start, cost_s: what the edges of each start's path cost together; 0 at goals, null without a path."""
+    q = _starts(c)
+    p = search.routes(c, allowed, q, goals, tail)
+    sums = p.select("scenario", "start", (F.col("base_s") + F.col("poi_s") + F.col("signal_s") + F.col("rail_s") + F.coalesce("gate_s", F.lit(0.0))).alias("sum"))
+    here = goals.select(F.col("node").alias("start"), F.lit(0.0).alias("here")).distinct()
+    return q.join(sums, ["scenario", "start"], "left").join(here, "start", "left").select("scenario", "start", F.coalesce("here", "sum").alias("cost_s"))
+
+
 @query(ROUTES + " SELECT scenario, start, round(cost, 3)::DOUBLE AS cost_s FROM routes")
 def route_kernel(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by heap searches over a shared graph, by both algorithms, which have to agree; by relaxation where the
-    graph is too large to be shared."""
-    c, allowed, goals, rules = _network(spark, sf)
-    graph = kernel.collect_graph(c, D.nodes(spark, sf), goals, rules)
-    if graph is None:
-        return search.cheapest_goal(c, allowed, _starts(c), goals).select("scenario", "start", F.round("cost_s", 3).alias("cost_s"))
-    found = kernel.route_batch(_starts(c).repartition(4 * spark.sparkContext.defaultParallelism), graph)
-    both = found.groupBy("scenario", "start").agg(F.max("cost_s").alias("hi"), F.min("cost_s").alias("lo"))
-    checked = F.when(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)) <= 1e-6, F.col("lo")).otherwise(F.raise_error(F.lit("the algorithms disagree")).cast("double"))
-    return both.select("scenario", F.col("start").cast("bigint").alias("start"), F.round(checked, 3).alias("cost_s"))
+    """Seconds from every start as its path's edges add up to, goals and starts without a path included."""
+    c, allowed, goals, _ = _network(spark, sf)
+    return _walked(c, allowed, goals, search.to_goals(c, allowed, goals)).withColumn("cost_s", F.round("cost_s", 3))
 
 
 @query(ROUTES + " SELECT scenario, count(*) AS query_pairs, 2 * count(*) AS search_runs, count(*) FILTER (cost IS NULL) AS unreachable, 0::BIGINT AS disagreements FROM routes GROUP BY scenario")
 def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Both algorithms from every start in every scenario: how many pairs, how many unreachable, how many that differ;
-    a graph that is too large to be shared is searched once, by relaxation, and has null disagreements."""
-    c, allowed, goals, rules = _network(spark, sf)
-    graph = kernel.collect_graph(c, D.nodes(spark, sf), goals, rules)
-    if graph is None:
-        found = search.cheapest_goal(c, allowed, _starts(c), goals).withColumn("expanded_states", F.lit(None).cast("bigint"))
-        return reports.validation_summary(found).drop("most_states").withColumn("disagreements", F.lit(None).cast("bigint"))
-    found = kernel.route_batch(_starts(c).repartition(4 * spark.sparkContext.defaultParallelism), graph)
-    return reports.validation_summary(found).drop("most_states")
+    """Every start in every scenario by its distance and by its path: how many pairs, how many unreachable, how many that
+    differ, all starts of a scenario if its distances turn out not to be the least ones (reports.breaches)."""
+    c, allowed, goals, _ = _network(spark, sf)
+    tail = search.to_goals(c, allowed, goals)
+    ways = [search.cheapest_goal(c, allowed, _starts(c), goals, tail).select("scenario", "start", "cost_s"), _walked(c, allowed, goals, tail)]
+    runs = [w.select("scenario", F.col("start").alias("query_id"), F.lit(i).alias("algorithm"), "cost_s", F.lit(0).alias("expanded_states")) for i, w in enumerate(ways)]
+    bad = reports.breaches(tail, c, allowed, goals).groupBy("scenario").agg(F.sum("n").alias("bad"))
+    d = reports.validation_summary(runs[0].unionByName(runs[1])).drop("most_states").join(bad, "scenario", "left")
+    return d.withColumn("disagreements", F.when(F.col("bad") > 0, F.col("query_pairs")).otherwise(F.col("disagreements"))).drop("bad")
 
 
 @query(RULES + """, start AS (SELECT min(u) AS start FROM edges), on_way AS (SELECT id AS state FROM edges JOIN start ON u = start UNION SELECT e2 FROM on_way JOIN turn ON e1 = state),
@@ -305,10 +306,19 @@ def hospital_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return _hospitals(spark, sf).select(text.classify_hospital(F.col("tags"))["decision"].alias("decision")).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Rows are gone through by id, the list of keepers growing along: all of them are nodes, so ids order them, as text.
+@query("WITH RECURSIVE " + NAMES + r""", h AS (SELECT id, name, decision, trim(regexp_replace(trim(regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9_ ]', ' ', 'g')), ' +', ' ', 'g')), '^(rumah sakit( umum)?|rsud|rs)\b', '')) AS key, 110 + (id * 37 % 400) / 100000.0::DOUBLE AS lon, -7.8 + (id * 53 % 300) / 100000.0::DOUBLE AS lat FROM dec),
+inc AS (SELECT id::VARCHAR AS id, key, lon, lat, row_number() OVER (PARTITION BY key ORDER BY id::VARCHAR) AS i FROM h WHERE decision = 'include'),
+gap AS (SELECT a.id AS a, b.id AS b, 6371000.0 * 2 * asin(least(1.0, sqrt(sin((radians(b.lat) - radians(a.lat)) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin((radians(b.lon) - radians(a.lon)) / 2) ** 2))) AS m FROM inc a JOIN inc b ON a.key = b.key AND a.id < b.id),
+close AS (SELECT b AS id, list(a) AS earlier FROM gap WHERE m <= 250 GROUP BY b),
+walk AS (SELECT key, 0::BIGINT AS i, []::VARCHAR[] AS keep FROM inc GROUP BY key UNION ALL SELECT w.key, w.i + 1, CASE WHEN len(list_intersect(w.keep, coalesce(c.earlier, []))) = 0 THEN list_append(w.keep, n.id) ELSE w.keep END FROM walk w JOIN inc n ON n.key = w.key AND n.i = w.i + 1 LEFT JOIN close c ON c.id = n.id),
+kept AS (SELECT DISTINCT unnest(keep) AS id FROM (SELECT key, arg_max(keep, i) AS keep FROM walk GROUP BY key)),
+into_ AS (SELECT b AS id, min(a) AS a FROM gap WHERE m <= 250 AND a IN (SELECT id FROM kept) AND b NOT IN (SELECT id FROM kept) GROUP BY b)
+SELECT 'node' AS osm_type, h.id::VARCHAR AS id, h.name, CASE WHEN o.a IS NOT NULL THEN 'duplicate' ELSE decision END AS decision, 'node/' || o.a AS merged_into, round(g.m, 2) AS distance_m FROM h LEFT JOIN into_ o ON o.id = h.id::VARCHAR LEFT JOIN gap g ON g.a = o.a AND g.b = o.id""", base=False)
 def hospital_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """The full audit with greedy duplicates; sequential by nature, tested against a plain loop."""
-    return hospitals.audited(_hospitals(spark, sf))
+    """The full audit: who repeats whom."""
+    d = hospitals.audited(_hospitals(spark, sf))
+    return d.select("osm_type", "id", "name", "decision", "merged_into", "distance_m")
 
 
 @query("WITH " + NAMES + r""" SELECT id, trim(regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9_ ]', ' ', 'g')), ' +', ' ', 'g')) AS norm, trim(regexp_replace(trim(regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9_ ]', ' ', 'g')), ' +', ' ', 'g')), '^(rumah sakit( umum)?|rsud|rs)\b', '')) AS canonical FROM named""", base=False)
@@ -433,3 +443,17 @@ def region_drop_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Why segments are dropped where the network is cut to a region with all that is within its reach."""
     index = zones.region_index(D.region(spark), D.REGION_REACH)
     return network.build_edges(D.allowed_ways(spark, sf), D.nodes(spark, sf), region=(index, D.REGION_REACH))[1]
+
+
+@query()
+def first_mile_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """From every customer's point the way to the cheapest goal in every scenario, the access roads within 300 m included;
+    tested against a plain search."""
+    c = F.col("c_custkey")
+    p = D.table(spark, sf, "customer").select(c.alias("point_id"), ((c * 3571) % 10007).cast("double").alias("px"), ((c * 7907) % 10009).cast("double").alias("py"))
+    priced, _, goals, rules = _network(spark, sf)
+    access = origin.segment_structs(_catalog(spark, sf))
+    own = origin.strict_segments(priced.where("ordinal = 0"), D.nodes(spark, sf), D.way_tags(spark, sf).select(F.col("id").alias("way_id"), "tags"))
+    features = D.sites(spark, sf).select("kind", F.array(F.array(F.struct("x", "y"))).alias("rings"))
+    found = origin.route_points(p, access, own, priced, goals, rules, features, poi.radii(spark), radius=300.0, most_gap=300.0)
+    return found.select("point_id", "scenario", "status", "start", "goal", r4("cost_s").alias("cost_s"), r4("length_m").alias("length_m"), F.size("edges").alias("edges"), r4("gap_m").alias("gap_m"), "road_name", "extra_directed_edges", F.size("restored_strict_edges").alias("restored"), "blocked_nearby", "agree")

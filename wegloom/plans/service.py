@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from wegloom.functions import constants as C
 from wegloom.functions import geo
-from wegloom.operators import catalog, origin, places, search
-from wegloom.plans.kernel import Graph
+from wegloom.operators import catalog, origin, places
 
 MOST_BODY, GZIP_FROM, OVERVIEW_FROM_M, MAP_RADIUS_M = 4096, 50_000, 6500.0, 1800.0
 
@@ -25,7 +24,11 @@ class BadRequest(ValueError):
 
 @dataclass
 class Service:
-    """Tables kept by the session, and a router that takes one request at a time."""
+    """Tables kept by the session, and a router that takes one request at a time.
+
+    costs: the graph's priced edges; tail: its saved distances to the goals (search.to_goals); rules: turn rules; features
+    and radii: what the overlay of a point is exposed to.
+    """
 
     spark: SparkSession
     access: DataFrame
@@ -34,11 +37,12 @@ class Service:
     nodes: DataFrame
     goals: DataFrame
     place_index: DataFrame
-    graph: Graph | None  # None: too large to be shared, routes by relaxation
-    zones: dict = field(default_factory=dict)
+    costs: DataFrame
+    tail: DataFrame | None = None
+    rules: DataFrame | None = None
+    features: DataFrame | None = None
+    radii: DataFrame | None = None
     centre: tuple[float, float] = (430964.9, 9141512.7)
-    costs: DataFrame | None = None
-    turns: DataFrame | None = None
     _busy: threading.Lock = field(default_factory=threading.Lock)
 
     def segments(self, x: float, y: float, radius: float, overview: bool) -> DataFrame:
@@ -67,33 +71,17 @@ class Service:
             raise BadRequest("outside the zone")
         return {"lon": r["lon"], "lat": r["lat"]}
 
-    def route(self, lat: float, lon: float, scenario: str, trace: bool = True) -> dict:
+    def route(self, lat: float, lon: float, scenario: str) -> dict:
         if not (math.isfinite(lat) and math.isfinite(lon)) or scenario not in C.SCENARIOS:
             raise BadRequest("coordinate or scenario is not valid")
         p = self.spark.range(1).select(F.lit(0).cast("bigint").alias("point_id"), geo.utm_forward(F.lit(lon), F.lit(lat)).alias("p")).select("point_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-        if self.graph is None:
-            return self.long_route(p, scenario)
-        found = [r.asDict(True) for r in origin.route_points(p, self.access, self.strict, self.graph, self.zones, trace=trace).where(F.col("scenario") == scenario).collect()]  # two rows
-        bad = next((r["status"] for r in found if r["status"] != "ok"), None)
-        if bad:
-            raise BadRequest(bad)
-        if not all(r["agree"] for r in found):
-            raise RuntimeError("the algorithms' costs differ")
-        return {"scenario": scenario, "route": found[0], "algorithms": [{k: r[k] for k in ("algorithm", "cost_s", "expanded_states")} for r in found], "same_path": found[0]["same_path"]}
-
-
-    def long_route(self, p: DataFrame, scenario: str) -> dict:
-        """On a graph that no process holds: from the nearest node with an edge out, by relaxation from the goals."""
-        near = search.nearest_start(p, self.costs, self.nodes, C.PREPARE_SNAP_M).first()
-        if near["status"] != "ok":
-            raise BadRequest(near["status"])
-        q = self.spark.createDataFrame([(0, scenario, near["road_node"])], f"query_id bigint, scenario string, start {dict(self.costs.dtypes)['u']}")
-        asked = self.costs.where(F.col("scenario") == scenario)
-        best = search.cheapest_goal(asked, self.turns, q, self.goals).first()
-        if best["goal"] is None:
-            raise BadRequest("unreachable")
-        path = search.routes(asked, self.turns, q, self.goals).first()  # none at a goal itself
-        return {"scenario": scenario, "route": {**best.asDict(), "gap_m": near["gap_m"], "edges": path["edges"] if path else []}, "algorithms": [{"algorithm": "relaxation", "cost_s": best["cost_s"]}], "same_path": True}
+        found = origin.route_points(p, self.access, self.strict, self.costs, self.goals, self.rules, self.features, self.radii, self.tail)
+        r = found.where(F.col("scenario") == scenario).first().asDict(True)  # one row
+        if r["status"] != "ok":
+            raise BadRequest(r["status"])
+        if not r["agree"]:
+            raise RuntimeError("the path's edges don't add up to its cost")
+        return {"scenario": scenario, "route": r, "algorithms": [{"algorithm": "relaxation", "cost_s": r["cost_s"]}]}
 
 
 def origin_ok(origin_: str | None, host: str | None) -> bool:
