@@ -181,7 +181,7 @@ def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 def distance_to_goal(spark: SparkSession, sf: str) -> DataFrame:
     """For every edge state and scenario the seconds to the nearest goal, turn rules kept."""
     c, allowed, goals, _ = _network(spark, sf)
-    return search.to_goals(c, allowed, goals).select("scenario", F.col("node").alias("state"), F.round("cost", 3).alias("cost"))
+    return search.to_goals(c, allowed, goals, D.nodes(spark, sf)).select("scenario", F.col("node").alias("state"), F.round("cost", 3).alias("cost"))
 
 
 START = "starts AS (SELECT DISTINCT scenario, u AS start FROM edges CROSS JOIN sc)"
@@ -200,14 +200,14 @@ routes AS (SELECT s.scenario, s.start, CASE WHEN g.node IS NOT NULL THEN 0 ELSE
 def cheapest_goal(spark: SparkSession, sf: str) -> DataFrame:
     """Seconds to the cheapest goal by relaxation, from every node with an edge out, in every scenario."""
     c, allowed, goals, _ = _network(spark, sf)
-    return search.cheapest_goal(c, allowed, _starts(c), goals).select("scenario", "start", F.round("cost_s", 3).alias("cost_s"))
+    return search.cheapest_goal(c, allowed, _starts(c), goals, search.to_goals(c, allowed, goals, D.nodes(spark, sf))).select("scenario", "start", F.round("cost_s", 3).alias("cost_s"))
 
 
 @query(ROUTES + " SELECT scenario, start, round(cost, 3)::DOUBLE AS cost_s FROM routes WHERE cost IS NOT NULL AND start NOT IN (SELECT node FROM goals)")
 def route_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The cheapest routes rebuilt edge by edge from the parents of the relaxation; the sum of their parts."""
     c, allowed, goals, _ = _network(spark, sf)
-    p = search.routes(c, allowed, _starts(c), goals)
+    p = search.routes(c, allowed, _starts(c), goals, search.to_goals(c, allowed, goals, D.nodes(spark, sf)))
     return p.select("scenario", "start", F.round(F.col("base_s") + F.col("poi_s") + F.col("signal_s") + F.col("rail_s") + F.coalesce("gate_s", F.lit(0.0)), 3).alias("cost_s"))
 
 
@@ -224,7 +224,7 @@ def _walked(c: DataFrame, allowed: DataFrame, goals: DataFrame, tail: DataFrame)
 def route_kernel(spark: SparkSession, sf: str) -> DataFrame:
     """Seconds from every start as its path's edges add up to, goals and starts without a path included."""
     c, allowed, goals, _ = _network(spark, sf)
-    return _walked(c, allowed, goals, search.to_goals(c, allowed, goals)).withColumn("cost_s", F.round("cost_s", 3))
+    return _walked(c, allowed, goals, search.to_goals(c, allowed, goals, D.nodes(spark, sf))).withColumn("cost_s", F.round("cost_s", 3))
 
 
 @query(ROUTES + " SELECT scenario, count(*) AS query_pairs, 2 * count(*) AS search_runs, count(*) FILTER (cost IS NULL) AS unreachable, 0::BIGINT AS disagreements FROM routes GROUP BY scenario")
@@ -232,7 +232,7 @@ def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Every start in every scenario by its distance and by its path: how many pairs, how many unreachable, how many that
     differ, all starts of a scenario if its distances turn out not to be the least ones (reports.breaches)."""
     c, allowed, goals, _ = _network(spark, sf)
-    tail = search.to_goals(c, allowed, goals)
+    tail = search.to_goals(c, allowed, goals, D.nodes(spark, sf))
     ways = [search.cheapest_goal(c, allowed, _starts(c), goals, tail).select("scenario", "start", "cost_s"), _walked(c, allowed, goals, tail)]
     runs = [w.select("scenario", F.col("start").alias("query_id"), F.lit(i).alias("algorithm"), "cost_s", F.lit(0).alias("expanded_states")) for i, w in enumerate(ways)]
     bad = reports.breaches(tail, c, allowed, goals).groupBy("scenario").agg(F.sum("n").alias("bad"))
