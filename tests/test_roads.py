@@ -205,7 +205,7 @@ def test_catalog_and_route_points(spark, tmp_path):
     cat = catalog.build_catalog(ways, nodes)
     assert {r["kind"]: r["n"] for r in catalog.usable_counts(cat).collect()} == {"usable_segments": 1, "blocked_segments": 1}
     catalog.write_catalog(cat, str(tmp_path / "cat"))
-    cells = spark.read.parquet(str(tmp_path / "cat"))
+    cells = catalog.read_catalog(spark, str(tmp_path / "cat"))
     assert [r["segment_id"] for r in catalog.in_radius(cells, 550.0, 0.0, 100.0).collect()] == ["10:0", "11:0"]
     edges, audit = network.build_edges(ways.where("id = 10"), nodes)
     assert edges.count() == 2 and audit.count() == 0
@@ -318,4 +318,4 @@ def test_files_and_stream(spark, tmp_path):
     with pytest.raises(ValueError):
         files.stage(df, str(tmp_path / "s"), {"size": 2})
     files.archive(df, str(tmp_path / "a"))
-    assert spark.read.parquet(str(tmp_path / "a" / "latest")).count() == 3
+    assert spark.read.parquet(files.current(spark, str(tmp_path / "a"))).count() == 3

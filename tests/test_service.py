@@ -27,7 +27,7 @@ def served(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("catalog"))
     catalog.write_catalog(origin.segment_structs(cat), f"{folder}/access")
     catalog.write_major(cat, f"{folder}/major")
-    read = spark.read.parquet
+    read = lambda path: catalog.read_catalog(spark, path)
     strict = catalog.celled(origin.strict_segments(edges, text_nodes, ways.select(F.col("id").cast("string").alias("way_id"), "tags")))
     index = places.index(spark.createDataFrame([(0, "Pasar Satu", "place", -7.77, 110.37, "Café", None)], "seq bigint, name string, kind string, lat double, lon double, aliases string, address string"))
     tail = search.to_goals(c, turns.transitions(edges), goals)

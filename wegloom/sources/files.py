@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,8 +83,6 @@ def demo(spark: SparkSession) -> dict[str, DataFrame]:
 
 def stage(df: DataFrame, path: str, signature: dict) -> DataFrame:
     """df written at path, or read from there if it was written under the same signature; another one is an error."""
-    import json
-
     spark, text = df.sparkSession, json.dumps(signature, sort_keys=True)
     p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -95,14 +96,112 @@ def stage(df: DataFrame, path: str, signature: dict) -> DataFrame:
     return spark.read.parquet(path)
 
 
+POINTER = "CURRENT"
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with this text, in place at once: it is written beside and renamed over the old one."""
+    jvm = spark._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    out = beside.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), conf)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, over)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], keep: int = 2) -> str:
+    """Let `write` write a new version below path, then point to it: readers see the old version or the new one, whole.
+
+    A write that fails leaves the old version as it is. The `keep` newest versions stay, for readers that are under way;
+    returns the version's folder. Two writers at once each write a version, and the last to end is pointed to.
+    """
+    name = f"v{datetime.now(timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/versions/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(folder)
+    except BaseException:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, name), True)  # a part of a version is none
+        raise
+    _put(spark, f"{path}/{POINTER}", f"versions/{name}")
+    for old in sorted(x.getPath().getName() for x in fs.listStatus(p))[:-keep]:
+        if old < name:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, old), True)
+    return folder
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that is pointed to at path, looked up once; an error where nothing has been published."""
+    if not _exists(spark, f"{path}/{POINTER}"):
+        raise FileNotFoundError(f"nothing has been published at {path}")
+    return f"{path}/{spark.read.text(f'{path}/{POINTER}', wholetext=True).first()[0].strip()}"
+
+
 def archive(df: DataFrame, path: str, now: datetime | None = None) -> str:
-    """Append df under the time of the run, and make it the latest result; returns the run's name."""
+    """Keep df under the time of the run, and point to it as the latest result (current); returns the run's name."""
     run = (now or datetime.now(timezone.utc)).strftime("%Y%m%dT%H%M%S%fZ")
     df.write.mode("errorifexists").parquet(f"{path}/runs/run={run}")
-    df.write.mode("overwrite").parquet(f"{path}/latest")
+    _put(df.sparkSession, f"{path}/{POINTER}", f"runs/run={run}")
     return run
 
 
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """The paths with their files' sizes and times of change, as JSON; `absent` for a path that isn't there."""
+    out = {}
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        out[path] = sorted([x.getPath().getName(), x.getLen(), x.getModificationTime()] for x in (fs.listStatus(p) if fs.exists(p) else [])) or "absent"
+    return json.dumps(out, sort_keys=True)
+
+
+def refreshed(spark: SparkSession, path: str, sources: dict[str, str], load: Callable[[str, str], DataFrame]) -> DataFrame:
+    """Rows of all sources (name: path), as load(name, path) gives them, from the parts kept at path.
+
+    Each source's part has a stamp. A source whose stamp has changed is loaded anew, and no other; where its file is
+    absent or a pointer of a large-file store in place of its content, its old part is used. Parts are published, so a
+    load that fails leaves the old ones; a source that was never there has no rows.
+    """
+    out = None
+    for name, source in sources.items():
+        part, now = f"{path}/{name}", stamp(spark, source)
+        old = f"{current(spark, part)}" if _exists(spark, f"{part}/{POINTER}") else None
+        known = spark.read.text(f"{old}/stamp", wholetext=True).first()[0].strip() if old else None
+        here = _exists(spark, source) and not is_pointer(spark, source)
+        if here and known != now:
+
+            def write(folder: str, source=source, name=name, now=now) -> None:
+                load(name, source).write.option("compression", "zstd").parquet(f"{folder}/rows")
+                spark.createDataFrame([(now,)], "value string").coalesce(1).write.text(f"{folder}/stamp")
+
+            old = publish(spark, part, write)
+        if old:
+            rows = spark.read.parquet(f"{old}/rows")
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError("no source is there, and none was before")
+    return out
+
+
+def is_pointer(spark: SparkSession, path: str) -> bool:
+    """Whether a file is the pointer that a large-file store leaves in place of its content."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(p).isFile() or fs.getFileStatus(p).getLen() > 1024:
+        return False
+    return spark.read.text(path, wholetext=True).first()[0].startswith("version https://git-lfs")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

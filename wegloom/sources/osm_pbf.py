@@ -226,7 +226,7 @@ def region_roads(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, flo
 
 def members_of(objects: DataFrame, ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, way_refs, locations) that tagged objects (osm_type, id, tags, members) need, by semi-joins."""
-    m = objects.where("members is not null").select("id", F.explode("members").alias("m")).select("id", F.col("m.mtype").alias("mtype"), F.col("m.mid").alias("mid"), F.col("m.role").alias("role"))
+    m = objects.where("members is not null").select("id", F.posexplode("members").alias("pos", "m")).select("id", F.col("m.mtype").alias("mtype"), F.col("m.mid").alias("mid"), F.col("m.role").alias("role"), "pos")
     needed = m.where("mtype = 1").select(F.col("mid").alias("id")).union(objects.where("osm_type = 'way'").select("id")).distinct()
     refs = ways.join(needed, "id", "left_semi").select(F.col("id").alias("way"), F.posexplode("refs").alias("pos", "node"))
     wanted = refs.select("node").union(m.where("mtype = 0").select("mid")).union(objects.where("osm_type = 'node'").select("id")).distinct()
