@@ -277,6 +277,35 @@ def test_pbf(spark, tmp_path):
     assert osm_pbf.numbers([bytes([20, 5]), bytes([8])], True, True) == [10, 7, 11]
 
 
+def test_pbf_blocks_left_out(spark, tmp_path):
+    """A block for each of nodes, ways with a road, ways without tags, and relations: those that can't matter aren't read."""
+    strings = [b"", b"amenity", b"hospital", b"highway", b"primary", b"from", b"restriction", b"type"]
+    table = pb(1, b"".join(pb(1, x) for x in strings))
+    dense = lambda a: pb(1, deltas([a, a + 1])) + pb(8, deltas([-77000000] * 2)) + pb(9, deltas([1104000000] * 2)) + pb(10, vint(1) + vint(2) + vint(0) + vint(0))
+    way = lambda i, tagged: pb(1, i) + (pb(2, vint(3)) + pb(3, vint(4)) if tagged else b"") + pb(8, deltas([5, 6]))
+    rel = pb(1, 3) + pb(2, vint(7)) + pb(3, vint(6)) + pb(8, vint(5)) + pb(9, deltas([9])) + pb(10, vint(1))
+    parts = [pb(2, pb(2, dense(5))), pb(2, pb(2, dense(900))), pb(2, pb(3, way(9, True))), pb(2, pb(3, way(10, False))), pb(2, pb(4, rel))]
+    path, stats = str(tmp_path / "y.pbf"), str(tmp_path / "stats")
+    (tmp_path / "y.pbf").write_bytes(blob(b"OSMHeader", pb(4, b"DenseNodes")) + b"".join(blob(b"OSMData", table + p) for p in parts))
+    osm_pbf.save_statistics(spark, path, stats)
+
+    def blocks(**options):
+        return [b.index for b in osm_pbf.PbfReader({"path": path, "stats": stats, **options}).partitions()]
+
+    every = blocks()
+    assert len(every) == 5 and every == [b.index for b in osm_pbf.PbfReader({"path": path}).partitions()]
+    assert blocks(entity="way") == every[2:4] and blocks(entity="way,relation") == every[2:] and blocks(entity="node", ids="100..9999") == every[1:2] and blocks(ids="9..9") == every[2:3]
+    assert blocks(keys="highway") == every[2:3] and blocks(keys="amenity,type") == [every[0], every[1], every[4]] and blocks(keys="shop") == []
+    for r in (osm_pbf.read(spark, path), osm_pbf.read(spark, path, stats=stats), osm_pbf.read(spark, "file://" + path, stats="file://" + stats)):
+        assert r.where("kind = 'way' and id > 9").count() == 1 and r.where("kind = 'node'").count() == 4 and r.count() == 7
+    assert [x["id"] for x in osm_pbf.read(spark, path, keys=["highway"], stats=stats).collect()] == [9] == [x["id"] for x in osm_pbf.read(spark, path, keys=["highway"]).collect()]
+    assert sorted(x["id"] for x in osm_pbf.read(spark, path, ids=(6, 9), stats=stats).collect()) == [6, 9] == sorted(x["id"] for x in osm_pbf.read(spark, path, ids=(6, 9)).collect())
+    with open(path, "ab") as f:
+        f.write(blob(b"OSMData", table + parts[0]))
+    with pytest.raises(osm_pbf.PbfError):
+        osm_pbf.PbfReader({"path": path, "stats": stats}).partitions()
+
+
 def test_restrictions(spark):
     kinds = "id bigint, tags map<string,string>, members array<struct<mtype:int,mid:bigint,role:string>>"
     ok = [(1, 1, "from"), (0, 5, "via"), (1, 2, "to")]

@@ -1,16 +1,25 @@
 """OSM PBF files as a Spark data source: format("osm_pbf"), option path (and entity), one partition a data block.
 
-The driver walks the block headers alone; executors read, inflate and decode their blocks. The path must be one that
-they can open. Rows: kind ('node', 'way', 'relation'), id, lon, lat, tags, refs, members, block.
+The driver walks the block headers alone; executors read, inflate and decode their blocks. The path is a local one, or a
+URI that Arrow's file systems open (file, hdfs, s3, gs). Rows: kind ('node', 'way', 'relation'), id, lon, lat, tags, refs,
+members, block.
+
+With saved statistics of the blocks (option stats, written by save_statistics) those that can't hold a row asked for are
+not read: by the options entity (a kind), ids (first..last) and keys (rows with one of these tag keys), for which a block
+has a Bloom filter. Options, not conditions that Spark pushes down: Spark 4.1 keeps a Python source's pushed conditions for
+all further uses of the same frame.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +169,17 @@ def decode(raw: bytes, block: int = 0, wanted: set[str] | None = None) -> Iterat
             yield "relation", p[1][0], None, None, tag_map(p), None, [(t, i, strings[r]) for t, i, r in parts], block
 
 
+BLOOM_BITS = 4096
+
+
+def bit_of(key: str) -> int:
+    return zlib.crc32(key.encode()) % BLOOM_BITS
+
+
+def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
 class Block(InputPartition):
     def __init__(self, offset: int, size: int, index: int):
         super().__init__((offset, size, index))
@@ -168,18 +188,53 @@ class Block(InputPartition):
 
 class PbfReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
-        entity = options.get("entity")
+        self.path, self.stats = options["path"], options.get("stats")
+        entity, keys = options.get("entity"), options.get("keys")
         self.wanted = set(entity.split(",")) if entity else None
+        self.keys = set(keys.split(",")) if keys else None
+        self.low, self.high = map(int, options["ids"].split("..")) if options.get("ids") else (-math.inf, math.inf)
+
+    def may_hold(self, r: dict) -> bool:
+        """Whether a block can hold rows asked for: r has its kinds (kind, low, high) and the bits of its tag keys."""
+        if self.keys is not None and not any(bit_of(k) in r["bits"] for k in self.keys):
+            return False
+        return any((self.wanted is None or k["kind"] in self.wanted) and k["low"] <= self.high and k["high"] >= self.low for k in r["kinds"])
 
     def partitions(self) -> list[Block]:
-        with open(self.path, "rb") as f:
-            return [Block(at, size, i) for i, (kind, at, size) in enumerate(walk(f)) if kind == b"OSMData"]
+        fs, path = opened(self.path)
+        with fs.open_input_file(path) as f:
+            if self.stats is None:
+                return [Block(at, size, i) for i, (kind, at, size) in enumerate(walk(f)) if kind == b"OSMData"]
+            whole = f.size()
+        own, folder = opened(self.stats)
+        rows = pyarrow.parquet.read_table(folder, filesystem=own).to_pylist()
+        if any(r["file_size"] != whole for r in rows):
+            raise PbfError("the statistics are those of another file")
+        rows = [{**r, "bits": set(r["bits"])} for r in sorted(rows, key=lambda r: r["block"])]
+        return [Block(r["offset"], r["size"], r["block"]) for r in rows if self.may_hold(r)]
 
     def read(self, partition: Block) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
+        fs, path = opened(self.path)
+        with fs.open_input_file(path) as f:
             f.seek(partition.offset)
-            yield from decode(inflate(f.read(partition.size)), partition.index, self.wanted)
+            rows = decode(inflate(f.read(partition.size)), partition.index, self.wanted)
+            for r in rows:
+                if (self.keys is None or self.keys & r[4].keys()) and self.low <= r[1] <= self.high:
+                    yield r
+
+
+def save_statistics(spark: SparkSession, path: str, folder: str) -> None:
+    """Write block, offset, size, file_size, kinds (kind, low, high) and bits (of the tag keys) of each block to folder."""
+    fs, p = opened(path)
+    with fs.open_input_file(p) as f:
+        whole = f.size()
+        placed = [(i, at, size, whole) for i, (kind, at, size) in enumerate(walk(f)) if kind == b"OSMData"]
+    rows = read(spark, path)
+    kinds = rows.groupBy("block", "kind").agg(F.min("id").alias("low"), F.max("id").alias("high")).groupBy("block").agg(F.collect_list(F.struct("kind", "low", "high")).alias("kinds"))
+    bits = rows.select("block", F.explode(F.map_keys("tags")).alias("key")).select("block", (F.crc32(F.encode("key", "UTF-8")) % BLOOM_BITS).cast("int").alias("bit")).groupBy("block").agg(F.collect_set("bit").alias("bits"))
+    d = spark.createDataFrame(placed, "block bigint, offset bigint, size bigint, file_size bigint").join(kinds, "block", "left").join(bits, "block", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    d.select("block", "offset", "size", "file_size", empty("kinds", "array<struct<kind:string,low:bigint,high:bigint>>"), empty("bits", "array<int>")).write.parquet(folder)
 
 
 class PbfSource(DataSource):
@@ -194,10 +249,14 @@ class PbfSource(DataSource):
         return PbfReader(self.options)
 
 
-def read(spark: SparkSession, path: str, entity: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, entity: str | None = None, keys: list[str] | None = None, ids: tuple[int, int] | None = None, stats: str | None = None) -> DataFrame:
+    """Rows of the file: of one kind (entity), with one of the tag keys, with ids from the first to the last of two; stats:
+    the folder of save_statistics."""
     spark.dataSource.register(PbfSource)
     r = spark.read.format("osm_pbf").option("path", path)
-    return (r.option("entity", entity) if entity else r).load()
+    for name, value in (("entity", entity), ("keys", ",".join(keys) if keys else None), ("ids", "..".join(map(str, ids)) if ids else None), ("stats", stats)):
+        r = r.option(name, value) if value else r
+    return r.load()
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
