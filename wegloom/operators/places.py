@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wegloom.functions import geo, tags, text
+from wegloom.sources import files
 
 KEY = text.place_key
 ROAD_CELL_M = 2000.0
@@ -62,6 +63,54 @@ def ranked(indexed: DataFrame, q: str, most: int) -> DataFrame:
     return top.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
+GRAM, BUCKETS, RAREST = 3, 64, 4
+
+
+def write_postings(indexed: DataFrame, path: str, buckets: int = BUCKETS) -> str:
+    """Publish an index (index(); seq tells rows apart) at path, with a posting (gram, seq) for each run of one to GRAM
+    letters of its keys, in folders by a hash of the gram and sorted by it; returns the version's folder."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("key"), i, F.lit(n)))
+    grams = F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)])))
+    posts = indexed.where("key != ''").select(grams.alias("gram"), "seq").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    rows = indexed.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int"))
+
+    def write(folder: str) -> None:
+        posts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "gram", "seq").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
+        rows.repartition(buckets, "part").sortWithinPartitions("part", "seq").write.partitionBy("part").option("compression", "zstd").parquet(f"{folder}/places")
+        indexed.sparkSession.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{folder}/about")
+
+    return files.publish(indexed.sparkSession, path, write)
+
+
+def grams_of(key: str) -> list[str]:
+    """The grams that a key holds if it contains each word of this one: a word's runs of GRAM letters, or a short word."""
+    return sorted({w[i : i + GRAM] for w in key.split() for i in range(max(1, len(w) - GRAM + 1))})
+
+
+def candidates(spark: SparkSession, folder: str, q: str) -> DataFrame:
+    """seq, part: places that have the rarest grams of the words of q; only the folders of these grams are read."""
+    buckets = spark.read.parquet(f"{folder}/about").first()["buckets"]
+    grams = grams_of(q)
+    number = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(g)), F.lit(buckets)).cast("int") for g in grams]).first()
+    at = dict(zip(grams, number))
+    posts = spark.read.parquet(f"{folder}/postings")
+    among = lambda some: posts.where(F.col("bucket").isin(sorted({at[g] for g in some})) & F.col("gram").isin(some))
+    sizes = {r["gram"]: r["n"] for r in among(grams).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as q has grams
+    rarest = sorted(grams, key=lambda g: (sizes.get(g, 0), g))[:RAREST]
+    met = among(rarest).groupBy("seq").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rarest))
+    return met.select("seq", F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int").alias("part"))
+
+
+def find(spark: SparkSession, path: str, query: str, most: int = 12) -> DataFrame:
+    """As search, over what write_postings has published at path."""
+    q = text.key_of(spark, text.place_key, query)
+    if not 2 <= len(q) <= 100:
+        raise ValueError("a query has 2 to 100 letters")
+    folder = files.current(spark, path)
+    found = spark.read.parquet(f"{folder}/places").join(candidates(spark, folder, q), ["part", "seq"]).drop("part")
+    return ranked(found, q, most)
+
+
 def window_places(places: DataFrame) -> DataFrame:
     """Places inside the window of the province, each key and point (5 digits) once, with search_key."""
     d = places.where((F.col("lat") > -8.5) & (F.col("lat") < -7.0) & (F.col("lon") > 109.5) & (F.col("lon") < 111.0) & (F.trim("name") != ""))
