@@ -69,3 +69,26 @@ def test_parts_refreshed_by_source(spark, tmp_path):
     assert got() == [1, 2, 3, 22] and loaded == ["a", "b", "b", "c"]
     with pytest.raises(FileNotFoundError):
         files.refreshed(spark, str(tmp_path / "none"), {"x": str(tmp_path / "x.json")}, load)
+
+
+def test_sinks_and_reports(spark, tmp_path):
+    import json
+
+    from wegloom.operators import reports
+
+    files.write_sinks({"edges": spark.range(3), "audit": spark.createDataFrame([("zero_length", 2)], "reason string, n int")}, str(tmp_path / "net"))
+    got = files.read_sinks(spark, str(tmp_path / "net"), "edges", "audit")
+    assert ids(got["edges"]) == [0, 1, 2] and got["audit"].first()["n"] == 2
+    square, hole, far = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (1.0, 1.0)], [(20.0, 0.0), (22.0, 0.0), (22.0, 2.0), (20.0, 0.0)]
+    rows = [("mall", "a", [square, far, hole]), ("school", 'b "x"', [[(3.0, 4.0)]])]
+    features = spark.createDataFrame(rows, "kind string, name string, rings array<array<struct<x:double,y:double>>>")
+    files.write_features(features, str(tmp_path / "poi"))
+    lines = sorted((json.loads(r["value"]) for r in spark.read.text(files.current(spark, str(tmp_path / "poi"))).collect()), key=lambda f: f["properties"]["kind"])
+    as_lists = lambda ring: [list(p) for p in ring]
+    assert lines[0]["geometry"] == {"type": "MultiPolygon", "coordinates": [[as_lists(square), as_lists(hole)], [as_lists(far)]]}
+    assert lines[1] == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [3.0, 4.0]}, "properties": {"kind": "school", "name": 'b "x"'}}
+    files.write_report(spark, str(tmp_path / "report.md"), "Net", {"Audit": spark.createDataFrame([("b|c", 2), ("a", None)], "reason string, n int"), "Ids": spark.range(5)}, most=3)
+    text = (tmp_path / "report.md").read_text()
+    assert text.startswith("# Net\n\n## Audit\n\n| reason | n |\n|-|-|\n| a |  |\n| b\\|c | 2 |\n") and text.endswith("| 2 |\n\nMore than 3 rows; these are the first.\n")
+    few, more = (ids(reports.sampled(spark.range(100).repartition(k), ["id"], n, 7)) for k, n in ((3, 10), (5, 20)))
+    assert len(few) == 10 and set(few) < set(more) and few != ids(reports.sampled(spark.range(100), ["id"], 10, 8))

@@ -75,3 +75,9 @@ def validation_summary(results: DataFrame) -> DataFrame:
     return one.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("query_pairs"), F.sum("runs").alias("search_runs"), F.count_if(F.col("found") == 0).alias("unreachable"), F.count_if(differ).alias("disagreements"), F.max("states").alias("most_states"),
     )
+
+
+def sampled(rows: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n of the rows, drawn by the smallest hashes of their keys and the seed: the same ones however the rows are dealt,
+    and a larger n only adds to them. Rows of the same keys are drawn in any order."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wegloom.operators import polygons
+
 EDGE = "struct<id:string,u:string,v:string,way_id:string,segment_index:int,direction:int,length_m:double,highway:string,speed_kmh:double,signal_at_end:boolean,rail_at_end:boolean,closed:boolean,exposure_m:map<string,double>,gate_wait_s:double>"
 GRAPH = f"nodes map<string,array<double>>, edges array<{EDGE}>, turn_restrictions array<struct<from_way:string,to_way:string,via:string,restriction:string>>, goals array<string>, goal_hospitals map<string,array<string>>, start string"
 FEATURES = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
@@ -218,3 +220,57 @@ def read_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFr
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of the files at path."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_sinks(tables_: dict[str, DataFrame], path: str) -> str:
+    """Publish several results together (edges, way attributes, audits, mappings, features, zones, ...), each a folder of
+    Parquet; readers see all of one version. Returns the version's folder."""
+    spark = next(iter(tables_.values())).sparkSession
+
+    def write(folder: str) -> None:
+        for name, df in tables_.items():
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+
+    return publish(spark, path, write)
+
+
+def read_sinks(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """Results of the version last published at path."""
+    folder = current(spark, path)
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def feature_collection(features: DataFrame) -> DataFrame:
+    """value: a GeoJSON feature a row, of features with rings (polygons.areas; outer rings anticlockwise, a point is a ring
+    of one) and further columns, which become properties. A hole goes to the outer ring before it that is around it."""
+    pair = lambda p: F.array(p["x"], p["y"])
+    ring = lambda r: F.transform(r, pair)
+    point = F.size(F.element_at("rings", 1)) == 1
+    outer = F.filter("rings", lambda r: polygons.signed_area(r) > 0)
+    holes = lambda o: F.filter("rings", lambda r: (polygons.signed_area(r) < 0) & polygons.geo.ring_contains(F.element_at(r, 1)["x"], F.element_at(r, 1)["y"], o))
+    shapes = F.transform(outer, lambda o: F.concat(F.array(ring(o)), F.transform(holes(o), ring)))
+    properties = F.struct(*[c for c in features.columns if c != "rings"])
+    own = F.when(point, F.to_json(F.struct(F.lit("Point").alias("type"), pair(F.element_at("rings", 1)[0]).alias("coordinates")))).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), shapes.alias("coordinates"))))
+    return features.select(F.concat(F.lit('{"type":"Feature","geometry":'), own, F.lit(',"properties":'), F.to_json(properties), F.lit("}")).alias("value"))
+
+
+def write_features(features: DataFrame, path: str) -> str:
+    """Publish features as text, a GeoJSON feature a line."""
+    return publish(features.sparkSession, path, lambda folder: feature_collection(features).write.text(folder))
+
+
+def markdown(title: str, parts: dict[str, DataFrame], most: int = 200) -> str:
+    """A report: a heading, and each part as a table of its first `most` rows, in the order of its columns; a part with
+    more says so."""
+    out = [f"# {title}"]
+    for name, df in parts.items():
+        rows = df.orderBy(*df.columns).limit(most + 1).collect()
+        out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows[:most]]
+        out += [f"\nMore than {most} rows; these are the first."] if len(rows) > most else []
+    return "\n".join(out) + "\n"
+
+
+def write_report(spark: SparkSession, path: str, title: str, parts: dict[str, DataFrame], most: int = 200) -> None:
+    """Put the report in place at once, as a file at path."""
+    _put(spark, path, markdown(title, parts, most))
