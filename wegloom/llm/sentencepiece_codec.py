@@ -54,9 +54,9 @@ class PieceCodec:
         self.automaton.make_automaton()
         cut = "".join(re.escape(c) for c in "\n\t\r" if c not in letters)
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}{cut}]*|[{cut}]|[^{SPACE}{cut}]+" if cut else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.plain = [p if k == NORMAL else None for p, k in zip(self.pieces, self.kinds)]
+        #: the text of the pieces that stand for themselves, by their number as text
+        self.by_number = {str(i): p for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.known: dict[str, str] = {}
-        self.odd: dict[str, list[int]] = {}  # stretches that decode to something else
 
     def merged(self, text: str) -> list[str]:
         """Merge letters by score, from the left among equals: the definition, used on pairs of pieces."""
@@ -123,13 +123,6 @@ class PieceCodec:
     def _learn(self, stretch: str) -> str:
         ids = self.encode_stretch(stretch)
         found = ",".join(map(str, ids))
-        plain = self.plain
-        try:
-            same = "".join([plain[i] for i in ids]) == stretch
-        except TypeError:  # bytes
-            same = self.decode_raw(ids) == stretch.replace(SPACE, " ")
-        if not same:
-            self.odd[stretch] = ids
         if len(stretch) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -144,13 +137,11 @@ class PieceCodec:
         parts = self.stretch.findall(marked)
         known, learn = self.known.get, self._learn
         ids = ",".join([known(s) or learn(s) for s in parts])
-        if self.odd:  # decoding is the stretches' decodings in turn; each was decoded when it was learnt
-            if any(s in self.odd for s in parts):
-                every = [int(i) for i in ids.split(",")]
-                self.odd.clear()
-                self.known.clear()
-                return ids, self.decode(every)
-        return ids, marked.replace(SPACE, " ")[len(self.prefix) :]
+        text_of = self.by_number
+        try:
+            return ids, "".join([text_of[i] for i in ids.split(",")]).replace(SPACE, " ")[len(self.prefix) :]
+        except KeyError:  # bytes, whose letters come of several ids
+            return ids, self.decode([int(i) for i in ids.split(",")])
 
     def encode(self, text: str) -> list[int]:
         ids = self.encode_to_string(text)[0]
