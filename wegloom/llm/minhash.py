@@ -174,19 +174,25 @@ def verified(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """rep, set (sorted 64-bit hashes) of the wanted classes (rep, first: a document of theirs, digest).
 
-    A document's rows with other texts are told by the digest; repeated rows count once.
+    A document's rows with other texts are told by the digest. The rows of a document lie together after the join, so of
+    repeated rows the first gives the set.
     """
 
     def run(batches):
+        seen: set[int] = set()
         for batch in common.slices(batches, most=4 << 20):
-            sets = shingle_sets(common.texts_of(batch), k)
-            mine = pa.array([digest_of(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"]).filter(mine)
+            reps = batch.column("rep").to_pylist()
+            texts = [t if r not in seen else "" for r, t in zip(reps, common.texts_of(batch))]
+            out: dict[int, bytes] = {}
+            for rep, own, digest in zip(reps, shingle_sets(texts, k), batch.column("digest").to_pylist()):
+                if rep not in seen and digest_of(own) == digest:
+                    seen.add(rep)
+                    out[rep] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["rep", "set"])
 
     # the same join at every size of `wanted`
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("first").alias("doc_id"), "rep", "digest").hint("shuffle_hash"), "doc_id")
-    once = texts.withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "rep", "row"])
-    return once.select("rep", "digest", "text").mapInArrow(run, "rep bigint, set binary")
+    return texts.select("rep", "digest", "text").mapInArrow(run, "rep bigint, set binary")
 
 
 def block_links(left: pa.Table, right: pa.Table, like: int = LIKE) -> pa.Table:
