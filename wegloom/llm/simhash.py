@@ -74,9 +74,10 @@ def met(asked: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose bucket has an entry of its own (fetched from the table) and more than one row, with m, the number
     of rows."""
     table = asked.where("own").select(*key).distinct()
-    fetched = asked.join(table, key)
+    # a merge at every size: the plan's estimates don't know how many rows a ball has, and would broadcast them
+    fetched = asked.join(table.hint("merge"), key)
     sizes = fetched.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return fetched.join(sizes, key)
+    return fetched.join(sizes.hint("merge"), key)
 
 
 def spanning(fps: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -158,9 +159,9 @@ def links(classes: DataFrame, scratch: common.Scratch) -> DataFrame:
 def hot_links(large: DataFrame, key: list[str]) -> DataFrame:
     """Links within the buckets of the second cut that have an entry of their own."""
     table = large.where("home").select(*key).distinct()
-    fetched = large.join(table, key)
+    fetched = large.join(table.hint("merge"), key)
     some = fetched.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("any_own")).where("m > 1 and any_own")
-    return bucket_links(fetched.join(some.select(*key), key), key)
+    return bucket_links(fetched.join(some.select(*key).hint("merge"), key), key)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
