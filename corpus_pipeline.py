@@ -13,22 +13,33 @@ from wegloom.llm import common, minhash, packing, quality, substring_dedup
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject.
+
+    Null and empty texts are scored like any other, rows without doc_id are kept or rejected by their text, repeated rows
+    fare alike; an empty table gives no rows. All columns of docs come out, whatever their names."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies: five words, a similarity of 0.8."""
+    """One document, that with the smallest doc_id, of each group of near copies: five words, a similarity of 0.8.
+
+    Texts without words and rows without doc_id stay; of rows of one doc_id each is judged by its own text; an empty table
+    gives no rows. All columns come out."""
     return minhash.keep_first(docs, like=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 13 words that an earlier document has."""
+    """Texts without the windows of 13 words that an earlier document has.
+
+    A null text stays null, a text of fewer words as it is; an empty table gives no rows. All columns come out."""
     return substring_dedup.remove(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all documents and their places in sequences of 4096 tokens.
+
+    A null or empty text is one token, its end; repeated rows and rows without doc_id are packed each; an empty table
+    gives no rows."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
