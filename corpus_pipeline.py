@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 13 words that an earlier document has.
 
-    A null text stays null, a text of fewer words as it is; an empty table gives no rows. All columns come out."""
+    A null text stays null, a text of fewer words as it is, and documents that lose all their words go; an empty table
+    gives no rows. All columns come out."""
     return substring_dedup.remove(docs)
 
 
