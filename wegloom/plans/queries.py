@@ -81,8 +81,12 @@ def network_report(spark: SparkSession, sf: str) -> DataFrame:
 HOSPITALS = "h AS (SELECT s_suppkey AS point_id, s_name AS name, ((s_suppkey * 6151) % 10007)::DOUBLE px, ((s_suppkey * 3079) % 10009)::DOUBLE py FROM supplier), used AS (SELECT DISTINCT n.id, n.x, n.y FROM nodes n JOIN (SELECT u AS id FROM edges UNION SELECT v FROM edges) e ON e.id = n.id)"
 
 
-@query(LABELS + ", " + HOSPITALS + """, main AS (SELECT component FROM weak GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), core AS (SELECT node FROM weak WHERE component IN (SELECT component FROM main)), g AS (SELECT point_id, name, arg_min(used.id, (sqrt((px - x) * (px - x) + (py - y) * (py - y)), used.id)) AS road_node, min(sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS gap FROM h, used GROUP BY ALL)
-    SELECT point_id, name, road_node, round(gap, 2) AS gap_m, CASE WHEN gap <= 150 AND road_node IN (SELECT v FROM edges) AND road_node IN (SELECT node FROM core) THEN 'road_point_proxy' ELSE 'requires_review' END AS status, road_node IN (SELECT node FROM core) AS in_largest_component FROM g""")
+#: The nearest node of every supplier's point: g; nodes of the largest component: core.
+MAPPED = LABELS + ", " + HOSPITALS + """, main AS (SELECT component FROM weak GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), core AS (SELECT node FROM weak WHERE component IN (SELECT component FROM main)), g AS (SELECT point_id, name, arg_min(used.id, (sqrt((px - x) * (px - x) + (py - y) * (py - y)), used.id)) AS road_node, min(sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS gap FROM h, used GROUP BY ALL)"""
+MAPPING = """SELECT point_id, name, road_node, round(gap, 2) AS gap_m, CASE WHEN gap <= 150 AND road_node IN (SELECT v FROM edges) AND road_node IN (SELECT node FROM core) THEN 'road_point_proxy' ELSE 'requires_review' END AS status, road_node IN (SELECT node FROM core) AS in_largest_component FROM g"""
+
+
+@query(MAPPED + " " + MAPPING)
 def hospital_mapping(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
     h = D.table(spark, sf, "supplier").select(s.alias("point_id"), F.col("s_name").alias("name"), ((s * 6151) % 10007).cast("double").alias("px"), ((s * 3079) % 10009).cast("double").alias("py"))
