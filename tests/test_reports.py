@@ -38,6 +38,18 @@ def test_blocked_frontier(spark):
     assert got(rules) == {(1, "1"), (2, "3"), (3, "4")} and got(None) == {(1, "1"), (1, "2"), (2, "3"), (3, "4")}
 
 
+def test_blocked_frontiers(spark):
+    # a-b-g leads to the goal; x-y and y-x don't, nor does a turn that a rule forbids (p-q, q-g by way 6 from way 5)
+    ways = [("ab", "a", "b", 1), ("bg", "b", "g", 1), ("xy", "x", "y", 3), ("yx", "y", "x", 3), ("pq", "p", "q", 5), ("qg", "q", "g", 6), ("gh", "g", "h", 7), ("rs", "r", "s", 8)]
+    edges = spark.createDataFrame(ways, "id string, u string, v string, way_id bigint")
+    rules = spark.createDataFrame([(5, 6, "q", "no_left_turn")], "from_way bigint, to_way bigint, via string, restriction string")
+    blocked = spark.createDataFrame([("1", "y"), ("2", "x"), ("3", "q"), ("4", "b"), ("5", "h"), ("6", "p")], "id string, u string")
+    goals = spark.createDataFrame([("g",), ("g",)], "node string")
+    got = lambda e, r: {(x["start"], x["id"]) for x in reports.blocked_frontiers(e, turns.transitions(e, r), goals, blocked).collect()}
+    around = {("x", "1"), ("x", "2"), ("y", "1"), ("y", "2")}
+    assert got(edges, rules) == around | {("p", "3"), ("p", "6")} and got(edges, None) == around and got(edges.limit(0), rules) == set()
+
+
 def test_validation_summary(spark):
     rows = [(q, "pagi", a, c, n) for q, two in enumerate([(1.0, 1.0), (None, None), (2.0, None), (1.0, 1.5)]) for a, c, n in zip(("ucs", "astar"), two, (7, 3))]
     d = reports.validation_summary(spark.createDataFrame(rows, "query_id int, scenario string, algorithm string, cost_s double, expanded_states bigint"))

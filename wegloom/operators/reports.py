@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wegloom.operators import search
+from wegloom.plans.shared import Scratch, materialize
 
 NODE, WAY = 0, 1  # member types of relations
 
@@ -48,6 +49,25 @@ def blocked_frontier(edges: DataFrame, allowed: DataFrame, queries: DataFrame, b
     return there.join(blocked, "u")
 
 
+def blocked_frontiers(edges: DataFrame, allowed: DataFrame, goals: DataFrame, blocked: DataFrame) -> DataFrame:
+    """start and the blocked edges (id, u, ...) that bar its way, for every node with an edge out that has no route to a
+    goal (node). A start that nothing bars (its roads end) has no row; goals are no starts.
+
+    From such a start only states that lead to no goal can be come to, so these alone are searched: what most starts
+    have, a route, is found by one search backwards for all.
+    """
+    scratch = Scratch(edges.sparkSession)
+    at_goal = edges.join(goals.select(F.col("node").alias("v")).distinct(), "v", "left_semi").select(F.col("id").alias("node"))
+    live = scratch.keep(search.reachable(allowed.select(F.col("e1").alias("u"), F.col("e2").alias("v")), at_goal, backwards=True).select(F.col("node").alias("id")), "live")
+    dead = scratch.keep(edges.join(live, "id", "left_anti"), "dead")
+    on = allowed.join(dead.select(F.col("id").alias("e1")), "e1", "left_semi")
+    served = edges.join(live, "id", "left_semi").select("u").unionByName(goals.select(F.col("node").alias("u")))
+    starts = dead.select("u").distinct().join(served, "u", "left_anti").select(F.col("u").alias("query_id"), F.col("u").alias("start"))
+    found = materialize(blocked_frontier(dead, on, starts, blocked).withColumnRenamed("query_id", "start"), "frontiers")
+    scratch.drop()
+    return found
+
+
 def breaches(tail: DataFrame, costs: DataFrame, allowed: DataFrame, goals: DataFrame) -> DataFrame:
     """scenario, kind, n: what keeps the distances to the goals (search.to_goals) from being the least ones.
 

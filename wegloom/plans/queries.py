@@ -244,16 +244,23 @@ def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("disagreements", F.when(F.col("bad") > 0, F.col("query_pairs")).otherwise(F.col("disagreements"))).drop("bad")
 
 
+def barred(spark: SparkSession, sf: str) -> DataFrame:
+    """id, u: the edges that a node at one of their ends bars."""
+    shut = network.located(network.segments(D.allowed_ways(spark, sf)), D.nodes(spark, sf)).where(network.segment_reason() == "barrier_or_node_access")
+    return network.edge_columns(network.directed(shut).where("reason is null")).select("id", "u")
+
+
+BARRED = """bar AS (SELECT way_id || ':' || segment_index || ':' || d.direction AS id, CASE WHEN d.direction = 1 THEN a ELSE b END AS u FROM placed JOIN (VALUES (1), (-1)) d(direction) ON (oneway = 'no' OR (oneway = 'yes' AND d.direction = 1) OR (oneway = '-1' AND d.direction = -1)) WHERE shut AND c % 7 <> 2)"""
+
+
 @query(RULES + """, start AS (SELECT min(u) AS start FROM edges), on_way AS (SELECT id AS state FROM edges JOIN start ON u = start UNION SELECT e2 FROM on_way JOIN turn ON e1 = state),
-bar AS (SELECT way_id || ':' || segment_index || ':' || d.direction AS id, CASE WHEN d.direction = 1 THEN a ELSE b END AS u FROM placed JOIN (VALUES (1), (-1)) d(direction) ON (oneway = 'no' OR (oneway = 'yes' AND d.direction = 1) OR (oneway = '-1' AND d.direction = -1)) WHERE shut AND c % 7 <> 2)
+""" + BARRED + """
 SELECT DISTINCT start, bar.id FROM start, bar WHERE bar.u = start OR bar.u IN (SELECT v FROM edges JOIN on_way ON id = state)""")
 def blocked_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """The blocked edges that begin where a way from the first node with an edge out can lead."""
     e = D.saved_edges(spark, sf)
     start = e.agg(F.min("u").alias("start")).select(F.col("start").alias("query_id"), "start")
-    shut = network.located(network.segments(D.allowed_ways(spark, sf)), D.nodes(spark, sf)).where(network.segment_reason() == "barrier_or_node_access")
-    blocked = network.edge_columns(network.directed(shut).where("reason is null")).select("id", "u")
-    return reports.blocked_frontier(e, materialize(turns.transitions(e, D.turn_rules(e)), "turns"), start, blocked).select(F.col("query_id").alias("start"), "id")
+    return reports.blocked_frontier(e, materialize(turns.transitions(e, D.turn_rules(e)), "turns"), start, barred(spark, sf)).select(F.col("query_id").alias("start"), "id")
 
 
 POINTS = "pts AS (SELECT c_custkey AS id, 110 + (c_custkey % 1000) / 1000.0::DOUBLE AS lon, -8 + (c_custkey % 777) / 777.0::DOUBLE AS lat FROM customer)"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wegloom.functions import tags
 from wegloom.operators import catalog, hospitals, network, places, polygons, reports, search, turns
 from wegloom.plans import derived as D
-from wegloom.plans.queries import MAPPED, MAPPING, hospital_mapping, query, r4
+from wegloom.plans.queries import BARRED, GOALS, MAPPED, MAPPING, RULES, barred, hospital_mapping, query, r4
+from wegloom.plans.shared import materialize
 
 INSIDE_X = 6000
 
@@ -196,3 +197,15 @@ def window_places(spark: SparkSession, sf: str) -> DataFrame:
 def quick_search(spark: SparkSession, sf: str) -> DataFrame:
     """The fifteen best places for 'RED-w' by the simple ranking."""
     return places.quick_search(places.window_places(_wide_places(spark, sf)), "RED-w").select(F.lower("name").alias("name"))
+
+
+MAIN = ", ".join(["main AS (SELECT * FROM edges WHERE highway = 'primary')", RULES.replace("edges", "main"), GOALS.replace("edges", "main"), BARRED])
+
+
+@query(MAIN + """, live AS (SELECT id FROM main WHERE v IN (SELECT node FROM goals) UNION SELECT e1 FROM live JOIN turn ON e2 = id),
+served AS (SELECT u FROM main JOIN live USING (id) UNION SELECT node FROM goals), lost AS (SELECT u AS start, id AS state, v FROM main WHERE u NOT IN (SELECT u FROM served) UNION SELECT start, e2, e.v FROM lost JOIN turn ON e1 = state JOIN main e ON e.id = e2),
+come AS (SELECT start, v AS u FROM lost UNION SELECT start, start FROM lost) SELECT DISTINCT start, bar.id FROM come JOIN bar USING (u)""")
+def blocked_frontiers(spark: SparkSession, sf: str) -> DataFrame:
+    """In the network of primary roads, for every node without a route to a goal, the blocked edges that bar its way."""
+    e = materialize(D.edges(spark, sf).where("highway = 'primary'"), "edges")
+    return reports.blocked_frontiers(e, materialize(turns.transitions(e, D.turn_rules(e)), "turns"), D.goals(spark, sf, e), barred(spark, sf)).select("start", "id")
