@@ -51,57 +51,62 @@ def audited(found: DataFrame) -> DataFrame:
     return out.withColumns({"decision": F.when(again, "duplicate").otherwise(F.col("decision")), "reason": F.when(again, "same name within 250 m").otherwise(F.col("reason"))})
 
 
-def close_pairs(rows: DataFrame, reach: float = C.DUPLICATE_M) -> DataFrame:
-    """a, b, metres: rows (key, me, lon, lat) of one key within reach, a before b.
+HIGH = math.degrees(C.DUPLICATE_M / C.EARTH_M) * 1.001
 
-    They meet in a grid of degrees: a cell is at least `reach` high, and as wide as it is at the row's latitude; rows go
-    to their own cell, and to the cells around it on the later one's side.
-    """
-    high = math.degrees(reach / C.EARTH_M) * 1.001
-    band = F.floor(F.col("lat") / high).cast("bigint")
-    # all rows of a band measure longitude alike, by the end of the band and its neighbours that is nearest to a pole
-    def wide(b: Column) -> Column:
-        worst = F.greatest(F.abs(b * high), F.abs((b + 1) * high))
-        return high / F.greatest(F.cos(F.radians(F.least(worst, F.lit(89.9)))), F.lit(1e-3))
-
-    own = rows.select("key", "me", "lon", "lat", band.alias("band")).withColumn("col", F.floor(F.col("lon") / wide(F.col("band"))).cast("bigint"))
-    beside = rows.select("key", F.col("me").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    at = F.floor(F.col("lon2") / wide(F.col("band"))).cast("bigint")
-    beside = beside.withColumn("at", at).withColumn("col", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).drop("at")
-    far = geo.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    met = own.join(beside, ["key", "band", "col"]).where("other < me").withColumn("metres", far).where(F.col("metres") <= reach)
-    return met.select(F.col("other").alias("a"), F.col("me").alias("b"), "metres")
+
+def _wide(band: Column) -> Column:
+    """Degrees of longitude of a cell: all rows of a band measure alike, by the end of the band and its neighbours that is
+    nearest to a pole."""
+    worst = F.greatest(F.abs(band * HIGH), F.abs((band + 1) * HIGH))
+    return HIGH / F.greatest(F.cos(F.radians(F.least(worst, F.lit(89.9)))), F.lit(1e-3))
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """rows (lon, lat) with their cell (band, col) in a grid of degrees, at least DUPLICATE_M high and wide."""
+    d = rows.withColumn("band", F.floor(F.col("lat") / HIGH).cast("bigint"))
+    return d.withColumn("col", F.floor(F.col("lon") / _wide(F.col("band"))).cast("bigint"))
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """rows (lon, lat), each with all cells (band, col) that what is within DUPLICATE_M of it can be in."""
+    band = F.floor(F.col("lat") / HIGH).cast("bigint")
+    d = rows.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    at = F.floor(F.col("lon") / _wide(F.col("band"))).cast("bigint")
+    return d.withColumn("col", F.explode(F.array(at - 1, at, at + 1)))
 
 
 def duplicates(names: DataFrame) -> DataFrame:
     """osm_type, id, merged_into, distance_m of the rows (osm_type, id, key, lon, lat) that repeat an earlier keeper.
 
-    In rounds: a row with an earlier close one that keeps is a duplicate, one whose earlier close ones are all duplicates
-    keeps. The first open row of a chain is decided in every round, and all rows that don't hang together with it besides.
+    In rounds: the first open row of a cell keeps if no cell around it has an earlier open row, and all open rows in its
+    reach are its duplicates. So rows meet the few keepers around them, never one another. The first open row of all is
+    decided in every round.
     """
     scratch = Scratch(names.sparkSession)
     rank = F.when(F.col("osm_type") == "relation", 0).when(F.col("osm_type") == "way", 1).otherwise(2)
-    rows = scratch.keep(names.select("osm_type", "id", "key", "lon", "lat", F.struct(rank.alias("rank"), "id").alias("me")), "named")
-    pairs = scratch.keep(close_pairs(rows), "pairs")
-    open_ = scratch.keep(pairs.select(F.col("b").alias("me")).distinct(), "open")
-    decided, fate = [], None
+    cell = ["key", "band", "col"]
+    named = names.select("osm_type", "id", "key", "lon", "lat", F.struct(rank.alias("rank"), "id").alias("me"))
+    rows = scratch.keep(_own(named.where(F.col("key").isNotNull())), "named")
+    placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    open_, kept = scratch.keep(rows.where(placed).select("me", *cell, "lon", "lat"), "open"), []
+    metres = geo.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
+    near = metres <= C.DUPLICATE_M
+    spread = lambda k: _around(k.select("key", "lon", "lat", F.col("me").alias("a"))).withColumnsRenamed({"lon": "lon2", "lat": "lat2"})
     while True:
         seen = Observation()
-        # what isn't open has been decided: a keeper unless it is known as a duplicate
-        gone = functools.reduce(DataFrame.unionByName, decided).where("again") if decided else None
-        state = pairs.join(open_.select(F.col("me").alias("b")), "b", "left_semi").join(open_.select(F.col("me").alias("a"), F.lit(True).alias("waits")), "a", "left")
-        state = state.join(gone.select(F.col("me").alias("a"), "again"), "a", "left") if gone is not None else state.withColumn("again", F.lit(None).cast("boolean"))
-        keeps = F.col("waits").isNull() & F.col("again").isNull()
-        per = state.groupBy(F.col("b").alias("me")).agg(F.bool_or(keeps).alias("hit"), F.bool_or(F.col("waits").isNotNull()).alias("waiting"))
-        fate = scratch.keep(per.where("hit or not waiting").select("me", F.col("hit").alias("again")).observe(seen, F.count(F.lit(1)).alias("n")), "fate")
+        first = scratch.keep(open_.groupBy(*cell).agg(F.min(F.struct("me", "lon", "lat")).alias("m")).select(*cell, "m.*").observe(seen, F.count(F.lit(1)).alias("n")), "first")
         if not seen.get["n"]:
             break
-        decided.append(fate)
-        open_ = scratch.keep(open_.join(fate, "me", "left_anti"), "open")
-    gone = functools.reduce(DataFrame.unionByName, decided).where("again").select("me") if decided else open_
-    first = pairs.join(gone.withColumnRenamed("me", "b"), "b", "left_semi").join(gone.withColumnRenamed("me", "a"), "a", "left_anti").groupBy(F.col("b").alias("me")).agg(F.min(F.struct("a", "metres")).alias("k"))
+        least = _around(first.select("key", "lon", "lat", "me")).join(first.select(*cell, F.col("me").alias("other")).hint("merge"), cell).groupBy("key", "me", "lon", "lat").agg(F.min("other").alias("least"))
+        new = scratch.keep(least.where("me = least").select("key", "me", "lon", "lat"), "kept")
+        kept.append(new)
+        gone = open_.join(spread(new).hint("merge"), cell).where((F.col("a") == F.col("me")) | near).select("me")
+        open_ = scratch.keep(open_.join(gone.hint("merge"), "me", "left_anti"), "open")
+    k = functools.reduce(DataFrame.unionByName, kept) if kept else rows.select("key", "me", "lon", "lat").limit(0)
+    met = rows.join(spread(k).hint("merge"), cell).where("a < me").where(near).withColumn("metres", metres)
+    one = met.groupBy("osm_type", "id", "me").agg(F.min(F.struct("a", "metres")).alias("k"))
     kind = F.element_at(F.array(F.lit("relation"), F.lit("way"), F.lit("node")), F.col("k.a.rank") + 1)
-    out = materialize(rows.join(first, "me").select("osm_type", "id", F.concat_ws("/", kind, "k.a.id").alias("merged_into"), geo.rounded(F.col("k.metres"), 2).alias("distance_m")), "duplicates")
+    out = materialize(one.select("osm_type", "id", F.concat_ws("/", kind, "k.a.id").alias("merged_into"), geo.rounded(F.col("k.metres"), 2).alias("distance_m")), "duplicates")
     scratch.drop()
     return out
 
