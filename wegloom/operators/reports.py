@@ -49,6 +49,19 @@ def blocked_frontier(edges: DataFrame, allowed: DataFrame, queries: DataFrame, b
     return there.join(blocked, "u")
 
 
+def blocked_from(edges: DataFrame, rules: DataFrame | None, starts: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The blocked edges (id, u, ...), each once, that begin where ways from any of the starts (start) can lead, turn rules
+    kept; starts count as reached. Searched over the states of search.junctions, so without a row for each turn."""
+    scratch = Scratch(edges.sparkSession)
+    ends, outs, places = search.junctions(edges, rules, scratch)
+    on = outs.join(ends.select("id", F.col("state").alias("to")), "id").select(F.col("state").alias("u"), F.col("to").alias("v"))
+    first = places.where("hub").join(starts.select(F.col("start").alias("node")).distinct(), "node").select(F.col("state").alias("node"))
+    there = search.reachable(on, first).withColumnRenamed("node", "state").join(places, "state").select(F.col("node").alias("u"))
+    found = materialize(blocked.join(there.unionByName(starts.select(F.col("start").alias("u"))).distinct(), "u", "left_semi"), "frontier")
+    scratch.drop()
+    return found
+
+
 def blocked_frontiers(edges: DataFrame, allowed: DataFrame, goals: DataFrame, blocked: DataFrame) -> DataFrame:
     """start and the blocked edges (id, u, ...) that bar its way, for every node with an edge out that has no route to a
     goal (node). A start that nothing bars (its roads end) has no row; goals are no starts.
