@@ -12,6 +12,8 @@ sides.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,38 +33,6 @@ def sides(features: DataFrame, keys: list[str]) -> DataFrame:
     return features.select(*keys, F.explode("rings").alias("ring")).where(n > 0).select(*keys, F.explode(each).alias("s")).select(*keys, F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
 
 
-def clip(ax: Column, bx: Column, lo: Column, hi: Column) -> Column:
-    """Struct lo, hi: the shares of a line from ax to bx at which it is between two values."""
-    d = F.nullif(bx - ax, F.lit(0.0))
-    s, t = (lo - ax) / d, (hi - ax) / d
-    inside = (ax >= lo) & (ax <= hi)
-    return F.when(d.isNull(), F.when(inside, F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))).otherwise(F.struct(F.greatest(F.lit(0.0), F.least(s, t)).alias("lo"), F.least(F.lit(1.0), F.greatest(s, t)).alias("hi")))
-
-
-def near_sides(df: DataFrame, radius: Column) -> DataFrame:
-    """df (edges x0, y0, x1, y1 and sides sx0, sy0, sx1, sy1) with lo, hi: the part, from 0 to 1, of the edge that is
-    within radius of the side; rows without one are left out. Step by step, so that nothing is computed twice."""
-    c = F.col
-    d = df.withColumns({"_r": radius, "_dx": c("x1") - c("x0"), "_dy": c("y1") - c("y0"), "_long": F.nullif(geo.distance(*[c(f"s{e}") for e in ENDS]), F.lit(0.0))})
-    d = d.withColumns({"_ux": (c("sx1") - c("sx0")) / c("_long"), "_uy": (c("sy1") - c("sy0")) / c("_long"), "_a": F.nullif(c("_dx") * c("_dx") + c("_dy") * c("_dy"), F.lit(0.0))})
-    ends = {}
-    for i in "01":
-        fx, fy = c("x0") - c(f"sx{i}"), c("y0") - c(f"sy{i}")
-        gx, gy = c(f"x{i}") - c("sx0"), c(f"y{i}") - c("sy0")
-        ends |= {f"_b{i}": c("_dx") * fx + c("_dy") * fy, f"_c{i}": fx * fx + fy * fy - c("_r") * c("_r"), f"_along{i}": gx * c("_ux") + gy * c("_uy"), f"_across{i}": gx * c("_uy") - gy * c("_ux")}
-    d = d.withColumns(ends)
-    # an edge without length is within reach of an end, or it is not
-    here = lambda i: c("_a").isNull() & (c(f"_c{i}") <= 0)
-    d = d.withColumns({f"_root{i}": F.when(here(i), 0.0).when(c(f"_b{i}") * c(f"_b{i}") > c("_a") * c(f"_c{i}"), F.sqrt(c(f"_b{i}") * c(f"_b{i}") - c("_a") * c(f"_c{i}"))) for i in "01"} | {"_s": clip(c("_along0"), c("_along1"), F.lit(0.0), c("_long")), "_t": clip(c("_across0"), c("_across1"), -c("_r"), c("_r"))})
-    d = d.withColumns({f"_lo{i}": F.greatest(F.lit(0.0), (-c(f"_b{i}") - c(f"_root{i}")) / c("_a")) for i in "01"} | {f"_hi{i}": F.least(F.lit(1.0), (-c(f"_b{i}") + c(f"_root{i}")) / c("_a")) for i in "01"}  # nulls are skipped: 0 to 1 without length
-                      | {"_lo2": F.when(c("_s").isNotNull() & c("_t").isNotNull(), F.greatest("_s.lo", "_t.lo")), "_hi2": F.when(c("_s").isNotNull() & c("_t").isNotNull(), F.least("_s.hi", "_t.hi"))})
-    # greatest and least skip nulls: an end without a root must give none
-    met = {i: (c(f"_hi{i}") > c(f"_lo{i}")) & (c("_root" + i).isNotNull() if i != "2" else c("_long").isNotNull()) for i in "012"}
-    # a capsule is convex: what its parts cut out is one interval
-    d = d.withColumns({"lo": F.least(*[F.when(met[i], c(f"_lo{i}")) for i in "012"]), "hi": F.greatest(*[F.when(met[i], c(f"_hi{i}")) for i in "012"])})
-    return d.where("hi > lo").select(*df.columns, "lo", "hi")
-
-
 def interior(border: DataFrame, keys: list[str], size: float, scratch: Scratch) -> DataFrame:
     """keys, c (cell), middle (whether its middle is inside), sides (array; null where the cell has none).
 
@@ -71,51 +41,218 @@ def interior(border: DataFrame, keys: list[str], size: float, scratch: Scratch)
     """
     held = scratch.keep(border.where(geo.distance(*[F.col(c) for c in ENDS]) > 0), "border")
     ay, by = F.least("y0", "y1"), F.greatest("y0", "y1")
-    # the middle lines, (k + 0.5) * size, with ay < line <= by
-    first, last = F.floor(ay / size + 0.5).cast("bigint"), F.floor(by / size + 0.5).cast("bigint") - 1
+    # the middle lines, (k + 0.5) * size, with ay <= line < by: a middle on a side counts as right of it, or above it (flips)
+    first, last = F.ceil(ay / size - 0.5).cast("bigint"), F.ceil(by / size - 0.5).cast("bigint") - 1
     rows = held.where(last >= first).select(*keys, *ENDS, F.explode(F.sequence(first, last)).alias("cy")).withColumn("y", (F.col("cy") + 0.5) * size)
     rows = rows.where((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y")))
     x = F.col("x0") + (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     w = Window.partitionBy(*keys, "cy").orderBy("x")
     pairs = rows.select(*keys, "cy", x.alias("x")).select(*keys, "cy", "x", F.lead("x").over(w).alias("to"), F.row_number().over(w).alias("i")).where("i % 2 = 1 and to is not null")
-    begin, end = F.floor(F.col("x") / size + 0.5).cast("bigint"), F.floor(F.col("to") / size + 0.5).cast("bigint") - 1
+    begin, end = F.ceil(F.col("x") / size - 0.5).cast("bigint"), F.ceil(F.col("to") / size - 0.5).cast("bigint") - 1
     middles = pairs.where(end >= begin).select(*keys, F.explode(F.sequence(begin, end)).alias("cx"), "cy").select(*keys, F.struct("cx", "cy").alias("c"), F.lit(True).alias("middle")).distinct()
     crossed = held.select(*keys, *ENDS, F.explode(geo.line_cells(*[F.col(c) for c in ENDS], 0.0, size)).alias("c")).groupBy(*keys, "c").agg(F.collect_list(F.struct(*ENDS)).alias("sides"))
     return middles.join(crossed, [*keys, "c"], "full").select(*keys, "c", F.coalesce("middle", F.lit(False)).alias("middle"), "sides")
 
 
-def inner_intervals(edges: DataFrame, cells: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """keys of both, lo, hi: the parts of edges (x0, y0, x1, y1, c) that are inside, by cells of interior()."""
-    edge = [F.col(c) for c in ENDS]
-    cx, cy = F.col("c.cx"), F.col("c.cy")
-    a, b = clip(edge[0], edge[2], cx * size, (cx + 1) * size), clip(edge[1], edge[3], cy * size, (cy + 1) * size)
-    d = edges.join(cells, "c").withColumns({"lo": F.greatest(a["lo"], b["lo"]), "hi": F.least(a["hi"], b["hi"])}).where("hi > lo")
-
-    def at(t: Column) -> tuple[Column, Column]:
-        return edge[0] + t * (edge[2] - edge[0]), edge[1] + t * (edge[3] - edge[1])
-
-    def crossing(px: Column, py: Column, qx: Column, qy: Column, s: Column) -> Column:
-        """Share of p-q at which it crosses the side s; null if it doesn't: an end on the line counts as right of it."""
-        left = lambda x, y: (qx - px) * (y - py) - (qy - py) * (x - px)
-        u, v = left(s["x0"], s["y0"]), left(s["x1"], s["y1"])
-        k = u / F.nullif(u - v, F.lit(0.0))
-        mx, my = s["x0"] + k * (s["x1"] - s["x0"]), s["y0"] + k * (s["y1"] - s["y0"])
-        wide = F.abs(qx - px) >= F.abs(qy - py)
-        return F.when((u > 0) != (v > 0), F.when(wide, (mx - px) / F.nullif(qx - px, F.lit(0.0))).otherwise((my - py) / F.nullif(qy - py, F.lit(0.0))))
-
-    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    d = d.withColumn("_sides", F.coalesce("sides", none))
-    d = d.withColumn("_at", F.transform("_sides", lambda s: crossing(*edge, s)))
-    stops = F.array_sort(F.filter("_at", lambda t: F.coalesce((t > F.col("lo")) & (t < F.col("hi")), F.lit(False))))
-    d = d.withColumn("stops", F.concat(F.array("lo"), stops, F.array("hi")))
-    # from the cell's middle to the middle of the first part of the edge, all within the cell
-    d = d.withColumn("_m", (F.element_at("stops", 1) + F.element_at("stops", 2)) / 2)
-    mx, my = at(F.col("_m"))
-    d = d.withColumns({"_px": (cx + 0.5) * size, "_py": (cy + 0.5) * size, "_mx": mx, "_my": my})
-    through = F.size(F.filter("_sides", lambda s: F.coalesce(crossing(F.col("_px"), F.col("_py"), F.col("_mx"), F.col("_my"), s).between(0, 1), F.lit(False))))
-    d = d.withColumn("inside", (through % 2 == 0) == F.col("middle"))
-    part = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda i: F.struct(F.element_at("stops", i).alias("lo"), F.element_at("stops", i + 1).alias("hi"), ((i % 2 == 1) == F.col("inside")).alias("inside")))
-    return d.select(*keys, F.explode(part).alias("p")).where("p.inside").select(*keys, F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
+def flips(sides: np.ndarray, px, py, qx, qy) -> int:
+    """How many sides (rows x0, y0, x1, y1) are crossed from p along x and then along y to q. A point on a side counts as
+    a little right of it, or else above it, as interior() has it."""
+    if not len(sides):
+        return 0
+    x0, y0, x1, y1 = sides.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at, slope = x0 + (py - y0) / (y1 - y0) * (x1 - x0), (y1 - y0) / (x1 - x0)
+        up = y0 + (qx - x0) * slope
+    along = ((y0 > py) != (y1 > py)) & ((at <= px) != (at <= qx))
+    below = lambda y: (up < y) | ((up == y) & (slope <= 0))
+    return int(along.sum() + (((x0 > qx) != (x1 > qx)) & (below(py) != below(qy))).sum())
+
+
+def gaps(x, y, s: np.ndarray):
+    """Distances of points from the sides s, which are broadcast against one another."""
+    x0, y0, x1, y1 = s.T
+    dx, dy = x1 - x0, y1 - y0
+    long = dx * dx + dy * dy
+    t = np.clip(((x - x0) * dx + (y - y0) * dy) / np.where(long > 0, long, 1.0), 0.0, 1.0)
+    return np.hypot(x - x0 - t * dx, y - y0 - t * dy)
+
+
+def quarters(x: float, y: float, side: float, r: float, near: np.ndarray, own: list, few: int, finest: float) -> list:
+    """[(x, y, side, near, own)]: the squares of a quadtree in a square that a kind's zone covers (near is None) or meets
+    in few sides, or the smallest ones. near: sides that may be in reach; own: (middle, sides) of each feature with sides."""
+    half = side / 2
+    cx, cy, away = x + half, y + half, half * 2**0.5
+    near = near[gaps(cx, cy, near) <= r + away * (1 + 1e-9)]
+    corner = np.array([(x, y), (x + side, y), (x, y + side), (x + side, y + side)])
+    if any(m and not len(s) for m, s in own) or (len(near) and (gaps(corner[:, :1], corner[:, 1:], near) <= r).all(0).any()):
+        return [(x, y, side, None, [])]
+    own = [(m, s) for m, s in own if len(s)]
+    if not len(near) and not own:
+        return []
+    if side <= finest or (len(near) <= few and not own):
+        return [(x, y, side, near, own)]
+    out = []
+    for i in (0, 1):
+        for j in (0, 1):
+            kx, ky = x + i * half, y + j * half
+            mx, my = kx + half / 2, ky + half / 2
+            inner = [(bool(m) != bool(flips(s, cx, cy, mx, my) % 2), s[gaps(mx, my, s) <= away / 2 * (1 + 1e-9)]) for m, s in own]
+            out.append(quarters(kx, ky, half, r, near, inner, few, finest))
+    if all(len(o) == 1 and o[0][2] == half and o[0][3] is None for o in out):
+        return [(x, y, side, None, [])]
+    return [p for o in out for p in o]
+
+
+FINEST, FEW = 3, 8  # a cell is halved up to so many times, until no more sides are in reach
+SIDES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+PART = f"x double, y double, side double, r double, whole boolean, near {SIDES}, own array<struct<middle:boolean,sides:{SIDES}>>"
+
+
+def _rows(sides: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list of sides as rows."""
+    flat = sides.combine_chunks() if isinstance(sides, pa.ChunkedArray) else sides
+    return np.stack([f.to_numpy(zero_copy_only=False).astype(float) for f in flat.flatten()], 1) if len(flat) else np.zeros((0, 4))
+
+
+def _lists(values: pa.Array) -> list:
+    """A column of lists of sides as arrays of rows; null: none."""
+    at, flat = values.offsets.to_numpy() - values.offsets[0].as_py(), _rows(values.flatten())
+    return [flat[a:b] for a, b in zip(at, at[1:])] if len(values) else []
+
+
+def _sides_of(rows: np.ndarray) -> list:
+    return [dict(zip(ENDS, map(float, s))) for s in rows]
+
+
+def parts(near: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """kind, c and PART: the squares of each cell that a kind's zone covers or meets. near: kind, radius, c, and the sides
+    in reach of the cell; cells: kind, c, middle, sides of features, as of interior()."""
+    schema = near.select("kind", "c").schema.simpleString()[7:-1]
+
+    def cut(a: pa.Table, b: pa.Table) -> pa.Table:
+        some = a if a.num_rows else b
+        c = some.column("c")[0].as_py()
+        r = a.column("radius")[0].as_py() if a.num_rows else 0.0
+        sides = np.stack([a.column(e).to_numpy() for e in ENDS], 1) if a.num_rows else np.zeros((0, 4))
+        own = list(zip(b.column("middle").to_pylist(), _lists(b.column("sides").combine_chunks()))) if b.num_rows else []
+        found = quarters(c["cx"] * size, c["cy"] * size, size, r, np.unique(sides, axis=0), own, FEW, size / (1 << FINEST))
+        rows = [{"kind": some.column("kind")[0].as_py(), "c": c, "x": x, "y": y, "side": s, "r": r, "whole": n is None, "near": _sides_of(n) if n is not None else [], "own": [{"middle": bool(m), "sides": _sides_of(q)} for m, q in o]} for x, y, s, n, o in found]
+        return pa.Table.from_pylist(rows, OUT)
+
+    side = pa.list_(pa.struct([(e, pa.float64()) for e in ENDS]))
+    OUT = pa.schema([("kind", pa.string()), ("c", pa.struct([("cx", pa.int64()), ("cy", pa.int64())])), *[(n, pa.float64()) for n in ("x", "y", "side", "r")], ("whole", pa.bool_()), ("near", side), ("own", pa.list_(pa.struct([("middle", pa.bool_()), ("sides", side)])))])
+    return near.groupBy("kind", "c").cogroup(cells.groupBy("kind", "c")).applyInArrow(cut, f"kind string, c struct<cx:bigint,cy:bigint>, {PART}")
+
+
+def inner_parts(line: tuple, lo: float, hi: float, middle: bool, sides: np.ndarray, cx: float, cy: float) -> list:
+    """[(lo, hi)]: what of a line, within a square, is inside a feature with sides there; middle: whether the square's
+    middle, cx, cy, is."""
+    ax, ay, bx, by = line
+    dx, dy = bx - ax, by - ay
+    x0, y0, x1, y1 = sides.T
+    u, v = dx * (y0 - ay) - dy * (x0 - ax), dx * (y1 - ay) - dy * (x1 - ax)
+    met = (u > 0) != (v > 0)
+    k = u[met] / (u[met] - v[met])
+    mx, my = x0[met] + k * (x1[met] - x0[met]), y0[met] + k * (y1[met] - y0[met])
+    t = (mx - ax) / dx if abs(dx) >= abs(dy) and dx else (my - ay) / dy if dy else np.zeros(0)
+    stops = [lo, *sorted(t[(t > lo) & (t < hi)].tolist()), hi]
+    m = (stops[0] + stops[1]) / 2
+    inside = bool(middle) != bool(flips(sides, cx, cy, ax + m * dx, ay + m * dy) % 2)
+    return [(p, q) for i, (p, q) in enumerate(zip(stops, stops[1:])) if inside == (i % 2 == 0)]
+
+
+def _clips(begin, d, low, high):
+    """The shares of lines at which begin + share * d is between low and high; an empty one where that is never so."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s, t = (low - begin) / d, (high - begin) / d
+    still = d == 0
+    inside = (begin >= low) & (begin < high)
+    return np.where(still, np.where(inside, 0.0, 2.0), np.minimum(s, t)), np.where(still, 1.0, np.maximum(s, t))
+
+
+def _shares(lines: np.ndarray, px: float, py: float, side: float, r: float, whole: bool, near: np.ndarray, own: list) -> np.ndarray:
+    """How much of each line lies in a square and in its zone; a line along a border belongs to one square."""
+    ax, ay = lines[:, 0], lines[:, 1]
+    dx, dy = lines[:, 2] - ax, lines[:, 3] - ay
+    (l0, h0), (l1, h1) = _clips(ax, dx, px, px + side), _clips(ay, dy, py, py + side)
+    lo, hi = np.maximum(0.0, np.maximum(l0, l1)), np.minimum(1.0, np.minimum(h0, h1))
+    out = np.zeros(len(lines))
+    at = np.flatnonzero(hi > lo)
+    if whole:
+        out[at] = hi[at] - lo[at]
+        return out
+    for some in np.array_split(at, len(at) * max(len(near), 1) // 1_000_000 + 1):
+        out[some] = _union(lines[some], lo[some], hi[some], px + side / 2, py + side / 2, r, near, own)
+    return out
+
+
+def _union(lines: np.ndarray, lo, hi, cx: float, cy: float, r: float, near: np.ndarray, own: list) -> np.ndarray:
+    """For each line the length of the union of what capsules around the sides near and features cut out of lo to hi."""
+    n, (ax, ay) = len(lines), lines.T[:2, :, None]
+    dx, dy = lines.T[2][:, None] - ax, lines.T[3][:, None] - ay
+    x0, y0, x1, y1 = near.T
+    long = np.hypot(x1 - x0, y1 - y0)
+    a = dx * dx + dy * dy
+    first, last = np.full((n, len(near)), np.inf), np.full((n, len(near)), -np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for sx, sy in ((x0, y0), (x1, y1)):
+            fx, fy = ax - sx, ay - sy
+            b, c = dx * fx + dy * fy, fx * fx + fy * fy - r * r
+            root = np.sqrt(np.maximum(b * b - a * c, 0.0))
+            s, t = np.where(a > 0, (-b - root) / a, 0.0), np.where(a > 0, (-b + root) / a, 1.0)
+            ok = np.where(a > 0, b * b > a * c, c <= 0)
+            first, last = np.where(ok, np.minimum(first, s), first), np.where(ok, np.maximum(last, t), last)
+        ux, uy = (x1 - x0) / long, (y1 - y0) / long
+        gx, gy = ax - x0, ay - y0
+        (s0, t0), (s1, t1) = _clips(gx * ux + gy * uy, dx * ux + dy * uy, 0.0, long), _clips(gx * uy - gy * ux, dx * uy - dy * ux, -r, r)
+        s, t = np.maximum(s0, s1), np.minimum(t0, t1)
+        ok = (long > 0) & (t > s)
+    # a capsule is convex: what its parts cut out is one interval
+    first, last = np.where(ok, np.minimum(first, s), first), np.where(ok, np.maximum(last, t), last)
+    first, last = np.maximum(first, lo[:, None]), np.minimum(last, hi[:, None])
+    row, k = np.nonzero(last > first)
+    begin, end = first[row, k], last[row, k]
+    if own:
+        more = [(i, *p) for i in range(n) for m, s in own for p in inner_parts(tuple(lines[i]), lo[i], hi[i], m, s, cx, cy)]
+        if more:
+            i, p, q = map(np.array, zip(*more))
+            row, begin, end = np.concatenate([row, i]), np.concatenate([begin, p]), np.concatenate([end, q])
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    # the furthest end before, of a row's intervals: shares are below 2, so rows don't mix
+    to = np.maximum.accumulate(end + 2.0 * row) - 2.0 * row if len(row) else end
+    to = np.where(np.r_[True, row[1:] != row[:-1]], -1.0, np.r_[-1.0, to[:-1]]) if len(row) else to
+    return np.bincount(row, np.maximum(0.0, end - np.maximum(begin, to)), n)
+
+
+SALTS = 4  # a cell's lines are measured in so many groups
+
+
+def measured(lines: DataFrame, squares: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind, share: how much of each line (keys, x0, y0, x1, y1, with a row for each cell c) is in the zone of a kind;
+    squares: kind, c, PART. A line is measured cell by cell over the cell's squares, and squares don't overlap, so no row
+    is made of a line and a side."""
+    types = dict(lines.dtypes)
+    held = squares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = lines.select(*dict.fromkeys([*keys, *ENDS]), "c", F.pmod(F.xxhash64(*ENDS), F.lit(SALTS)).cast("int").alias("salt"))
+
+    def share(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            at = np.stack([a.column(e).to_numpy() for e in ENDS], 1)
+            kinds, near = np.array(b.column("kind").to_pylist()), _lists(b.column("near").combine_chunks())
+            own = [[(o["middle"], np.array([[q[e] for e in ENDS] for q in o["sides"]]).reshape(-1, 4)) for o in v] for v in b.column("own").to_pylist()]
+            x, y, side, r, whole = (b.column(c).to_pylist() for c in ("x", "y", "side", "r", "whole"))
+            for kind in dict.fromkeys(kinds.tolist()):
+                sums = np.zeros(len(at))
+                for i in np.flatnonzero(kinds == kind).tolist():
+                    sums += _shares(at, x[i], y[i], side[i], r[i], whole[i], near[i], own[i])
+                some = np.flatnonzero(sums > 0)
+                out.append(pa.table([*[a.column(k).take(some) for k in keys], pa.array([kind] * len(some), pa.string()), pa.array(sums[some])], names=[*keys, "kind", "share"]))
+        return pa.concat_tables(out) if out else pa.table([*[a.column(k).slice(0, 0) if a.num_columns else [] for k in keys], pa.array([], pa.string()), pa.array([], pa.float64())], names=[*keys, "kind", "share"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", kind string, share double"
+    return rows.groupBy("c", "salt").cogroup(held.groupBy("c", "salt")).applyInArrow(share, schema).groupBy(*keys, "kind").agg(F.sum("share").alias("share"))
 
 
 def celled(edges: DataFrame, size: float) -> DataFrame:
@@ -146,11 +283,14 @@ def exposure(edges: DataFrame, features: DataFrame, radii: DataFrame, size: floa
     lines = scratch.keep(celled(lines, size), "lines")
     whole = features.join(F.broadcast(radii), "kind").withColumn("feature", F.xxhash64("rings"))
     outline = scratch.keep(sides(whole, ["kind", "radius", "feature"]).where(fair(*ENDS)).distinct(), "sides")
-    around = outline.select("kind", "radius", *[F.col(c).alias(f"s{c}") for c in ENDS], F.explode(geo.line_cells(*[F.col(c) for c in ENDS], F.col("radius"), size)).alias("c"))
-    near = near_sides(lines.join(around, "c").select("shape", "kind", "radius", *ENDS, *[f"s{c}" for c in ENDS]), F.col("radius")).select("shape", "kind", "lo", "hi")
-    inner = inner_intervals(lines, interior(outline.select("kind", "feature", *ENDS), ["kind", "feature"], size, scratch), ["shape", "kind"], size)
-    share = geo.union_length(near.union(inner).distinct(), ["shape", "kind"])
-    return e.join(share, "shape").select("id", "kind", (F.least(F.lit(1.0), "covered") * F.col("length_m")).alias("covered"))
+    # sides that two features share count once for each radius
+    around = outline.select("kind", "radius", *ENDS).distinct().select("kind", "radius", *ENDS, F.explode(geo.line_cells(*[F.col(c) for c in ENDS], F.col("radius"), size)).alias("c"))
+    cells = interior(outline.select("kind", "feature", *ENDS), ["kind", "feature"], size, scratch)
+    held = scratch.keep(parts(around, cells, size), "parts")
+    share = measured(lines, held, list(ENDS))
+    ends = F.struct(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")).alias("p"), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("q"))
+    share = share.where("share > 1e-12").select(ends.alias("shape"), "kind", "share")
+    return e.join(share, "shape").select("id", "kind", (F.least(F.lit(1.0), "share") * F.col("length_m")).alias("covered"))
 
 
 def region_index(rings: DataFrame, reach: float, size: float = C.CELL_M) -> DataFrame:
@@ -183,18 +323,25 @@ def region_index(rings: DataFrame, reach: float, size: float = C.CELL_M) -> Data
 def covered_share(lines: DataFrame, index: DataFrame, reach: float, keys: list[str], size: float = C.CELL_M) -> DataFrame:
     """keys, share: how much of each line (x0, y0, x1, y1) is in the region or within reach of it; lines that have none
     are left out."""
-    on = celled(lines.where(fair(*ENDS)), size).join(index, "c")
-    cx, cy = F.col("c.cx"), F.col("c.cy")
-    a, b = clip(F.col("x0"), F.col("x1"), cx * size, (cx + 1) * size), clip(F.col("y0"), F.col("y1"), cy * size, (cy + 1) * size)
-    # a line along a cell's border is in both cells, one without length in a cell all the same
-    full = on.where("inside").withColumns({"lo": F.greatest(a["lo"], b["lo"]), "hi": F.least(a["hi"], b["hi"])}).where("hi >= lo").select(*keys, "lo", "hi")
-    rim = on.where("not inside")
-    near = near_sides(rim.select(*keys, *ENDS, F.explode("near").alias("s")).select(*keys, *ENDS, *[F.col(f"s.{c}").alias(f"s{c}") for c in ENDS]), F.lit(reach)).select(*keys, "lo", "hi")
-    own = index.where("not inside and own is not null").select("c", F.explode("own").alias("o")).select("c", "o.middle", "o.sides")
-    inner = inner_intervals(rim.where("own is not null").select(*keys, *ENDS, "c").distinct(), own, keys, size)
-    return geo.union_length(full.union(near).union(inner).distinct(), keys).select(*keys, F.col("covered").alias("share"))
+    on = celled(lines.where(fair(*ENDS)).select(*dict.fromkeys([*keys, *ENDS])), size).join(index.select("c", "inside"), "c")
+    lo, hi = F.lit(0.0), F.lit(1.0)
+    for v in "xy":
+        begin, d, low = F.col(f"{v}0"), F.nullif(F.col(f"{v}1") - F.col(f"{v}0"), F.lit(0.0)), F.col(f"c.c{v}") * size
+        s, t = (low - begin) / d, (low + size - begin) / d
+        # a line along a cell's border is in one cell
+        lo, hi = F.greatest(lo, F.coalesce(F.least(s, t), F.when((begin >= low) & (begin < low + size), 0.0).otherwise(2.0))), F.least(hi, F.coalesce(F.greatest(s, t), F.lit(1.0)))
+    full = on.where("inside").select(*keys, F.greatest(hi - lo, F.lit(0.0)).alias("share")).where("share > 0")
+    none = F.array().cast(SIDES)
+    own = F.transform(F.coalesce("own", F.array().cast(f"array<struct<middle:boolean,sides:{SIDES}>>")), lambda o: F.struct(o["middle"].alias("middle"), F.coalesce(o["sides"], none).alias("sides")))
+    rim = index.where("not inside").select(F.lit("").alias("kind"), "c", (F.col("c.cx") * size).alias("x"), (F.col("c.cy") * size).alias("y"), F.lit(size).alias("side"), F.lit(float(reach)).alias("r"), F.lit(False).alias("whole"), F.coalesce("near", none).alias("near"), own.alias("own"))
+    part = measured(on.where("not inside"), rim, keys).select(*keys, "share")
+    return full.unionByName(part).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum("share")).alias("share"))
 
 
 def covered(lines: DataFrame, index: DataFrame, reach: float, keys: list[str], size: float = C.CELL_M) -> DataFrame:
-    """keys of the lines that are covered from end to end: up to a millionth of their length."""
+    """keys of the lines that are covered from end to end: up to a millionth of their length. Only lines with both ends in
+    cells of the index are measured."""
+    for i in "01":
+        at = F.struct(geo.cell(F.col(f"x{i}"), size).alias("cx"), geo.cell(F.col(f"y{i}"), size).alias("cy"))
+        lines = lines.join(index.select(F.col("c").alias("_c")), at == F.col("_c"), "left_semi")
     return covered_share(lines, index, reach, keys, size).where(F.col("share") >= 1 - 1e-6).select(*keys)
