@@ -3,7 +3,8 @@
 Lines are cut where they meet. Every piece is two half-edges; around each node they are ordered by angle, and the one
 clockwise next to a half-edge's twin is where its face goes on, so that bounded faces are walked anticlockwise. Faces are
 told apart, and their corners put in order, by pointer doubling: after k rounds a half-edge knows the least half-edge
-among the 2**k that follow and how far off that is. A piece with the same face on both sides bounds nothing: such pieces
+among the 2**k that follow and how far off that is. Half-edges of a key never lead out of it, so this is done for many keys
+at once in one task, and by joins for keys with too many half-edges (faces()). A piece with the same face on both sides bounds nothing: such pieces
 are left over. The outline of all faces of a connected part is the face that is walked clockwise, the other way around.
 
 All tables are keyed: lines of different keys never meet. A key's lines are met over cells of its own size, twice the
@@ -12,6 +13,8 @@ mean length of its pieces.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +23,7 @@ from wegloom.functions import geo
 from wegloom.plans.shared import Scratch, materialize
 
 POINT = "struct<x:double,y:double>"
+MOST = 200_000
 
 
 def point(x: str, y: str) -> Column:
@@ -60,11 +64,13 @@ def noded(sides: DataFrame, keys: list[str]) -> DataFrame:
     """pieces cut where they meet others of their key; n adds up where cut pieces lie on one another."""
     size = sides.groupBy(*keys).agg(F.avg(geo.distance(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")) * 2).alias("size"))
     cell = geo.line_cells(F.col("p.x") / F.col("size"), F.col("p.y") / F.col("size"), F.col("q.x") / F.col("size"), F.col("q.y") / F.col("size"), 0.0, 1.0)
-    spread = sides.join(size, keys).select(*keys, "p", "q", F.explode(cell).alias("c"))
+    # one shuffle serves both sides of the join
+    spread = sides.join(size, keys).select(*keys, "p", "q", F.explode(cell).alias("c")).repartition(*keys, "c")
     other = spread.select(*keys, "c", F.col("p").alias("r"), F.col("q").alias("s"))
-    met = spread.join(other, [*keys, "c"]).where(F.struct("p", "q") < F.struct("r", "s")).select(*keys, "p", "q", "r", "s").distinct()
-    met = met.withColumn("at", meetings(*[F.col(c) for c in "pqrs"])).where(F.size("at") > 0)
-    cuts = met.select(*keys, "p", "q", F.explode("at").alias("m")).union(met.select(*keys, "r", "s", F.explode("at"))).where("m != p and m != q")
+    # sides that meet in several cells give the same cuts again: pairs aren't made distinct
+    met = spread.join(other, [*keys, "c"]).where(F.struct("p", "q") < F.struct("r", "s")).select(*keys, "p", "q", "r", "s", F.explode(meetings(*[F.col(c) for c in "pqrs"])).alias("m"))
+    both = F.array(F.struct("p", "q"), F.struct(F.col("r").alias("p"), F.col("s").alias("q")))
+    cuts = met.select(*keys, "m", F.explode(both).alias("e")).select(*keys, "e.p", "e.q", "m").where("m != p and m != q")
     cuts = cuts.groupBy(*keys, "p", "q").agg(F.collect_set("m").alias("cuts"))
     # along a side points are in the order of x, or of y where it is upright: that of p < q
     stops = F.array_sort(F.concat(F.array("p", "q"), F.coalesce("cuts", F.array().cast(f"array<{POINT}>"))))
@@ -82,7 +88,7 @@ def half_edges(sides: DataFrame, keys: list[str]) -> DataFrame:
     d = d.withColumn("angle", F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")))
     d = d.withColumn("before", F.coalesce(F.lag("h").over(around), F.max_by("h", F.struct("angle", "h")).over(whole)))
     # a face that comes in along the twin goes out along the half-edge clockwise next to it
-    return d.select(*keys, "h", "twin", "a", "b").join(d.select(F.col("twin").alias("h"), F.col("before").alias("next")), "h")
+    return d.select(*keys, F.col("twin").alias("h"), F.col("h").alias("twin"), F.col("b").alias("a"), F.col("a").alias("b"), F.col("before").alias("next"))
 
 
 def walked(halves: DataFrame, scratch: Scratch) -> DataFrame:
@@ -101,24 +107,67 @@ def walked(halves: DataFrame, scratch: Scratch) -> DataFrame:
             return state.select("h", "face", "left")
 
 
-def faces(sides: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _around(jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """walked() for half-edges 0, 1, ... and the places of those that follow them."""
+    face, left, size = np.arange(len(jump)), np.zeros(len(jump), np.int64), 1
+    while True:
+        nearer = face[jump] < face
+        if not nearer.any():
+            return face, left
+        face, left, jump, size = np.where(nearer, face[jump], face), np.where(nearer, left[jump] + size, left), jump[jump], 2 * size
+
+
+def _settled(t: pa.Table) -> pa.Table:
+    """Half-edges of whole keys with open (whether their piece bounds no face), and face and left without such pieces."""
+    h = t.column("h").to_numpy()
+    order = np.argsort(h)
+    t, h = t.take(order), h[order]
+    follow, twin = (np.searchsorted(h, t.column(c).to_numpy()) for c in ("next", "twin"))
+    face, _ = _around(follow)
+    shut = face == face[twin]
+    # around the node on to the first half-edge that stays; pieces left over only follow themselves
+    ahead, pending = follow.copy(), np.flatnonzero(~shut)
+    while len(pending := pending[shut[ahead[pending]]]):
+        ahead[pending] = follow[twin[ahead[pending]]]
+    ahead[shut] = np.flatnonzero(shut)
+    face, left = _around(ahead)
+    return t.drop_columns(["bucket", "next", "twin"]).append_column("open", pa.array(shut)).append_column("face", pa.array(h[face])).append_column("left", pa.array(left))
+
+
+def settled(numbered: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """As _settled(), by joins: for keys with any number of half-edges. numbered: keys, p, q, piece."""
+    halves = scratch.keep(half_edges(numbered, keys), "halves")
+    of = walked(halves, scratch)
+    pair = halves.select("h", "twin").join(of.select("h", "face"), "h").join(of.select(F.col("h").alias("twin"), F.col("face").alias("other")), "twin")
+    marked = scratch.keep(pair.where("h % 2 = 0").select((F.col("h") / 2).cast("bigint").alias("piece"), (F.col("face") == F.col("other")).alias("open")), "marked")
+    closed = scratch.keep(half_edges(numbered.join(marked.where("not open").select("piece"), "piece", "left_semi"), keys), "halves")
+    kept = closed.join(walked(closed, scratch), "h").select(*keys, "h", "a", "b", F.lit(False).alias("open"), "face", "left")
+    over = numbered.join(marked.where("open").select("piece"), "piece", "left_semi").select(*keys, F.explode(F.array(F.col("piece") * 2, F.col("piece") * 2 + 1)).alias("h"), F.col("p").alias("a"), F.col("q").alias("b"), F.lit(True).alias("open"))
+    return kept.unionByName(over.select("*", F.col("h").alias("face"), F.lit(0).cast("bigint").alias("left")))
+
+
+def faces(sides: DataFrame, keys: list[str], scratch: Scratch, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(rings, loose). rings: keys, face, ring (closed array of points), area (negative for the outline of a connected
     part), anticlockwise faces and outlines; loose: keys of the sides that bound no face, with n_loose and the number of
-    all sides. sides: noded, keys, p, q."""
+    all sides. sides: noded, keys, p, q.
+
+    Keys are dealt over buckets, each settled in one task; a bucket with more than `most` sides is settled by joins.
+    """
     numbered = scratch.keep(sides.select(*keys, "p", "q").withColumn("piece", F.monotonically_increasing_id()), "sides")
-    halves = scratch.keep(half_edges(numbered, keys), "halves")
-    of = walked(halves, scratch)
-    pair = halves.select(*keys, "h", "twin").join(of.select("h", "face"), "h").join(of.select(F.col("h").alias("twin"), F.col("face").alias("other")), "twin")
-    marked = scratch.keep(pair.where("h % 2 = 0").select(*keys, (F.col("h") / 2).cast("bigint").alias("piece"), (F.col("face") == F.col("other")).alias("open")), "marked")
-    loose = marked.groupBy(*keys).agg(F.count_if("open").alias("n_loose"), F.count(F.lit(1)).alias("n_sides"))
-    if marked.where("open").limit(1).count():
-        kept = numbered.join(marked.where("not open").select("piece"), "piece", "left_semi").select(*keys, "p", "q", "piece")
-        halves = scratch.keep(half_edges(kept, keys), "halves")
-        of = walked(halves, scratch)
-    step = halves.join(of, "h")
+    buckets = numbered.count() * 4 // most + 1
+    dealt = numbered.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    crowded = [r["bucket"] for r in dealt.groupBy("bucket").count().where(F.col("count") > most).collect()]  # a few numbers
+    few = dealt.where(~F.col("bucket").isin(crowded)) if crowded else dealt
+    kinds = dict(numbered.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"h bigint, a {POINT}, b {POINT}, open boolean, face bigint, left bigint"])
+    near = half_edges(few.repartition("bucket"), ["bucket", *keys]).select("bucket", *keys, "h", "twin", "a", "b", "next").groupBy("bucket").applyInArrow(_settled, schema)
+    if crowded:
+        near = near.unionByName(settled(dealt.where(F.col("bucket").isin(crowded)).drop("bucket"), keys, scratch))
+    step = scratch.keep(near, "halves")
+    loose = step.where("h % 2 = 0").groupBy(*keys).agg(F.count_if("open").alias("n_loose"), F.count(F.lit(1)).alias("n_sides"))
     wedge = F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")
     corners = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("i"), "a"))), lambda s: s["a"])
-    ring = step.groupBy(*keys, "face").agg(corners.alias("open_ring"), (F.sum(wedge) / 2).alias("area"))
+    ring = step.where("not open").groupBy(*keys, "face").agg(corners.alias("open_ring"), (F.sum(wedge) / 2).alias("area"))
     closed = F.concat("open_ring", F.slice("open_ring", 1, 1))
     return scratch.keep(ring.select(*keys, "face", closed.alias("ring"), "area"), "rings"), loose
 
@@ -137,18 +186,20 @@ def union(rings: DataFrame, keys: list[str]) -> DataFrame:
     """keys, face, ring, area: the outlines of the union of all faces, anticlockwise; one that lies inside another of its
     key is left out. rings: as of faces()."""
     out = rings.where("area < 0").select(*keys, "face", F.reverse("ring").alias("ring"), (-F.col("area")).alias("area")).withColumn("box", bounds(F.col("ring")))
+    out = out.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    single, out = out.where("parts = 1"), out.where("parts > 1")
     # outlines of different parts don't meet: one corner tells
     inner = out.select(*keys, "face", "box", F.element_at("ring", 1).alias("at"))
     around = out.select(*keys, F.col("face").alias("other"), "ring", F.col("box").alias("wide"))
     pairs = inner.join(around, keys).where("face != other and wide.x0 <= box.x0 and wide.x1 >= box.x1 and wide.y0 <= box.y0 and wide.y1 >= box.y1")
     hidden = pairs.where(geo.ring_contains(F.col("at.x"), F.col("at.y"), F.col("ring"))).select(*keys, "face").distinct()
-    return out.join(hidden, [*keys, "face"], "left_anti").drop("box")
+    return out.join(hidden, [*keys, "face"], "left_anti").select(single.columns).union(single).drop("box", "parts")
 
 
 def uncovered(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
     """keys (distinct) where a part of the inner outlines is outside the outer ones. inner, outer: keys, ring."""
     side = lambda d: pieces(d.select(*keys, F.col("ring").alias("line")), keys)
-    rim = side(outer).withColumn("k", F.lit(1)).drop("n")
+    rim = side(outer.join(inner.select(*keys).distinct(), keys, "left_semi")).withColumn("k", F.lit(1)).drop("n")
     both = noded(side(inner).withColumn("k", F.lit(0)).drop("n").unionByName(rim).select(*keys, "p", "q", F.when(F.col("k") == 0, 1 << 20).otherwise(1).cast("bigint").alias("n")).groupBy(*keys, "p", "q").agg(F.sum("n").alias("n")), keys)
     # n tells who owns a piece: inner ones count 2**20 each, outer ones 1
     alone = both.where(f"n >= {1 << 20} and n % {1 << 20} = 0").select(*keys, "p", "q", ((F.col("p.x") + F.col("q.x")) / 2).alias("mx"), ((F.col("p.y") + F.col("q.y")) / 2).alias("my"))
