@@ -13,6 +13,9 @@ from wegloom.functions import geo, tags, text
 from wegloom.plans.shared import Scratch, materialize
 
 
+PART = 250_000
+
+
 def candidates(objects: DataFrame, members: DataFrame, way_refs: DataFrame, locations: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
     """(candidates, unresolved). objects: osm_type, id, tags; members: id, mtype, mid; way_refs: way, node; locations:
     node, lon, lat; inside: whether a vertex (lon, lat) is in the region.
@@ -23,13 +26,17 @@ def candidates(objects: DataFrame, members: DataFrame, way_refs: DataFrame, loca
     """
     h = objects.where(tags.is_hospital(F.col("tags")))
     direct = h.where("osm_type = 'node'").select("osm_type", "id", F.col("id").alias("node"))
-    of_way = h.where("osm_type = 'way'").join(way_refs.withColumnRenamed("way", "id"), "id").select("osm_type", "id", "node")
+    # vertices hardly repeat: to make them distinct before they are shuffled would hold a whole input split in memory, so the
+    # parts that they are shuffled to, bounded in their rows, do that, and again for the rows of an object
+    parts = max(int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")), (way_refs.count() + members.count()) // PART + 1)
+    refs = way_refs.repartition(parts, "way")
+    of_way = h.where("osm_type = 'way'").join(refs.withColumnRenamed("way", "id"), "id").select("osm_type", "id", "node")
     rel = h.where("osm_type = 'relation'").select("osm_type", "id").join(members, "id")
-    via = rel.where("mtype = 1").join(way_refs.withColumnRenamed("way", "mid"), "mid", "left").select("osm_type", "id", "node")
+    via = rel.where("mtype = 1").join(refs.withColumnRenamed("way", "mid"), "mid", "left").select("osm_type", "id", "node")
     nodes = rel.where("mtype = 0").select("osm_type", "id", F.col("mid").alias("node"))
     nested = rel.where("mtype = 2").select("osm_type", "id").distinct().withColumn("nested", F.lit(True))
-    vertices = direct.unionByName(of_way).unionByName(via).unionByName(nodes).distinct().join(locations, "node", "left")
-    per = vertices.groupBy("osm_type", "id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count_if(F.col("lon").isNull()).alias("missing"), F.bool_or(inside).alias("some"), F.bool_and(F.coalesce(inside, F.lit(False))).alias("all"))
+    vertices = direct.unionByName(of_way).unionByName(via).unionByName(nodes).repartition(parts, "node").distinct().join(locations.repartition(parts, "node"), "node", "left")
+    per = vertices.drop("node").repartition(parts, "osm_type", "id").groupBy("osm_type", "id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count_if(F.col("lon").isNull()).alias("missing"), F.bool_or(inside).alias("some"), F.bool_and(F.coalesce(inside, F.lit(False))).alias("all"))
     d = h.join(per, ["osm_type", "id"], "left").join(nested, ["osm_type", "id"], "left")
     bad = F.col("lon").isNull() | (F.col("missing") > 0) | F.col("nested").isNotNull()
     good = d.where(~bad & F.col("some")).select("osm_type", "id", "tags", "lon", "lat", (~F.col("all")).alias("boundary_review"))
