@@ -135,15 +135,18 @@ def main_component(weak: DataFrame) -> DataFrame:
 def nearest_nodes(points: DataFrame, nodes: DataFrame, reach: float = C.HOSPITAL_GAP_M) -> DataFrame:
     """points (point_id, px, py, ...) with their nearest node (node, x, y): road_node, gap_m; the smaller node of ties.
 
-    Nodes are met over grid cells of the size `reach`, so only pairs in neighbouring cells are made; points without a
-    node in reach are met, in rings of doubling cells, until each has one. Saved tables are small for what they hold
-    in memory, so none is left to be broadcast by its estimate.
+    Nodes are met over grid cells of a size of which each has two on average (`reach` at most), so only pairs in
+    neighbouring cells are made, few for each point however many nodes there are; points without a node so near are met,
+    in rings of cells four times as wide, until each has one. Saved tables are small for what they hold in memory, so none
+    is left to be broadcast by its estimate.
     """
-    found, left, size = None, points, reach
-    spread = points.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")).crossJoin(nodes.agg(F.min("x").alias("a0"), F.max("x").alias("a1"), F.min("y").alias("b0"), F.max("y").alias("b1"))).first()
+    found, left = None, points
+    spread = points.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")).crossJoin(nodes.agg(F.min("x").alias("a0"), F.max("x").alias("a1"), F.min("y").alias("b0"), F.max("y").alias("b1"), F.count("x").alias("n"))).first()
     if spread is None or spread["x0"] is None or spread["a0"] is None:
         return points.withColumns({"road_node": F.lit(None).cast(dict(nodes.dtypes)["node"]), "gap_m": F.lit(None).cast("double")})
     span = max(spread["x1"], spread["a1"]) - min(spread["x0"], spread["a0"]) + max(spread["y1"], spread["b1"]) - min(spread["y0"], spread["b0"])
+    size = (2 * (spread["a1"] - spread["a0"]) * (spread["b1"] - spread["b0"]) / spread["n"]) ** 0.5
+    size = max(reach / 64, size) if size < reach else reach
     while left is not None:
         around = left.select("*", F.explode(geo.cells(F.col("px") - size, F.col("px") + size, F.col("py") - size, F.col("py") + size, size)).alias("c"))
         own = nodes.select("node", "x", "y", F.struct(geo.cell(F.col("x"), size).alias("cx"), geo.cell(F.col("y"), size).alias("cy")).alias("c"))
